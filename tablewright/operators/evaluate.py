@@ -65,23 +65,38 @@ def confusion_wide(matrix: DataFrame) -> DataFrame:
     return matrix.groupBy("actual").pivot("predicted").agg(F.first("n")).orderBy("actual")
 
 
+def _class_tallies(counts: DataFrame, *extra: str) -> DataFrame:
+    """``class, support, npred, tp`` per class seen on either side; ``extra`` sums go to the actual class."""
+    none = F.lit(0).cast("bigint")
+    hit = F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(none)
+
+    def side(c: str, support: Column, npred: Column, tp: Column, keep: bool) -> Column:
+        more = [(F.col(e) if keep else F.lit(None).cast("double")).alias(e) for e in extra]
+        return F.struct(
+            F.col(c).alias("class"), support.alias("s"), npred.alias("p"), tp.alias("tp"), *more
+        )
+
+    both = F.array(
+        side("actual", F.col("n"), none, hit, True), side("predicted", none, F.col("n"), none, False)
+    )
+    return (
+        counts.select(F.explode(both).alias("x"))
+        .groupBy("x.class")
+        .agg(
+            F.sum("x.s").alias("support"),
+            F.sum("x.p").alias("npred"),
+            F.sum("x.tp").alias("tp"),
+            *[F.sum(f"x.{e}").alias(e) for e in extra],
+        )
+    )
+
+
 def class_report(
     scored: DataFrame, actual: str = "actual", predicted: str = "predicted"
 ) -> DataFrame:
     """``class, precision, recall, f1, support`` per class, then accuracy, macro and weighted rows."""
     counts = pair_counts(scored, actual, predicted)
-    hit = F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)
-    sides = counts.select(
-        F.explode(
-            F.array(
-                F.struct(F.col("actual").alias("class"), F.col("n").alias("s"), F.lit(0).cast("bigint").alias("p"), hit.alias("tp")),
-                F.struct(F.col("predicted").alias("class"), F.lit(0).cast("bigint"), F.col("n"), F.lit(0).cast("bigint")),
-            )
-        ).alias("x")
-    )
-    tallies = sides.groupBy("x.class").agg(
-        F.sum("x.s").alias("support"), F.sum("x.p").alias("npred"), F.sum("x.tp").alias("tp")
-    )
+    tallies = _class_tallies(counts)
     zero = F.lit(0.0)
     p = F.coalesce(F.try_divide("tp", "npred"), zero)
     r = F.coalesce(F.try_divide("tp", "support"), zero)
@@ -244,24 +259,11 @@ def classification_scores(
     eps = 1e-15
     loss = -F.ln(F.least(F.greatest("q", F.lit(eps)), F.lit(1 - eps)))
     counts = keyed.groupBy("actual", "predicted").agg(F.count(F.lit(1)).alias("n"), F.sum(loss).alias("loss"))
-    hit = F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)
-    sides = counts.select(
-        F.explode(
-            F.array(
-                F.struct(
-                    F.col("actual").alias("c"), F.col("n").alias("s"), F.lit(0).cast("bigint").alias("p"),
-                    hit.alias("tp"), F.col("loss").alias("loss"),
-                ),
-                F.struct(
-                    F.col("predicted").alias("c"), F.lit(0).cast("bigint"), F.col("n"),
-                    F.lit(0).cast("bigint"), F.lit(None).cast("double"),
-                ),
-            )
-        ).alias("x")
-    )
-    per_class = sides.groupBy("x.c").agg(
-        F.sum("x.s").cast("double").alias("s"), F.sum("x.p").cast("double").alias("p"),
-        F.sum("x.tp").cast("double").alias("tp"), F.sum("x.loss").alias("loss"),
+    per_class = _class_tallies(counts, "loss").select(
+        F.col("support").cast("double").alias("s"),
+        F.col("npred").cast("double").alias("p"),
+        F.col("tp").cast("double").alias("tp"),
+        "loss",
     )
     f1 = F.coalesce(F.try_divide(2 * F.col("tp"), F.col("p") + F.col("s")), F.lit(0.0))
     n = F.sum("s")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -70,9 +71,9 @@ def read_json_document(spark: SparkSession, path: str | Sequence[str], schema: s
     return _or_empty(spark, read, f"{schema}, _file string")
 
 
-def run_id(file_column: str = "_file"):
-    """Name of the directory that holds the artifact."""
-    return F.regexp_extract(file_column, r"([^/]+)/[^/]+$", 1)
+def run_id(artifact: str, file_column: str = "_file"):
+    """Name of the directory that holds the artifact (itself a file or a directory of parts)."""
+    return F.regexp_extract(file_column, r"([^/]+)/" + re.escape(artifact) + r"(/[^/]*)?$", 1)
 
 
 def read_run_artifact(
@@ -96,7 +97,7 @@ def read_run_artifact(
             return None
         raise
     df = df.withColumn("_file", F.col("_metadata.file_path"))
-    return nan_to_null(df.withColumn("run_id", run_id()).drop("_file"))
+    return nan_to_null(df.withColumn("run_id", run_id(artifact)).drop("_file"))
 
 
 def union_ragged(frames: Sequence[DataFrame]) -> DataFrame:

@@ -1 +1 @@
-
+"""Structured Streaming: scoring with confidence flags, windowed drift."""
