@@ -65,7 +65,7 @@ def confusion_wide(matrix: DataFrame) -> DataFrame:
     return matrix.groupBy("actual").pivot("predicted").agg(F.first("n")).orderBy("actual")
 
 
-def _class_tallies(counts: DataFrame, *extra: str) -> DataFrame:
+def _class_tallies(counts: DataFrame, *extra: str, by: Sequence[str] = ()) -> DataFrame:
     """``class, support, npred, tp`` per class seen on either side; ``extra`` sums go to the actual class."""
     none = F.lit(0).cast("bigint")
     hit = F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(none)
@@ -80,8 +80,8 @@ def _class_tallies(counts: DataFrame, *extra: str) -> DataFrame:
         side("actual", F.col("n"), none, hit, True), side("predicted", none, F.col("n"), none, False)
     )
     return (
-        counts.select(F.explode(both).alias("x"))
-        .groupBy("x.class")
+        counts.select(*by, F.explode(both).alias("x"))
+        .groupBy(*by, "x.class")
         .agg(
             F.sum("x.s").alias("support"),
             F.sum("x.p").alias("npred"),
@@ -249,17 +249,28 @@ def classification_scores(
     actual: str = "actual",
     predicted: str = "predicted",
     prob_of_actual: Column | None = None,
+    positive: str | None = None,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """One row of multiclass scores: accuracy, balanced accuracy, f1 macro / weighted, mcc, log loss."""
+    """Accuracy, balanced accuracy, f1 macro / weighted, mcc and log loss: one row per ``by`` group.
+
+    ``positive`` (a class as text) adds its ``f1``. The rows are read once and reduced to one
+    line per class pair.
+    """
     keyed = scored.select(
+        *by,
         typed_key(scored, actual).alias("actual"),
         typed_key(scored, predicted).alias("predicted"),
         (prob_of_actual if prob_of_actual is not None else F.lit(None).cast("double")).alias("q"),
     )
     eps = 1e-15
     loss = -F.ln(F.least(F.greatest("q", F.lit(eps)), F.lit(1 - eps)))
-    counts = keyed.groupBy("actual", "predicted").agg(F.count(F.lit(1)).alias("n"), F.sum(loss).alias("loss"))
-    per_class = _class_tallies(counts, "loss").select(
+    counts = keyed.groupBy(*by, "actual", "predicted").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(loss).alias("loss")
+    )
+    per_class = _class_tallies(counts, "loss", by=by).select(
+        *by,
+        "class",
         F.col("support").cast("double").alias("s"),
         F.col("npred").cast("double").alias("p"),
         F.col("tp").cast("double").alias("tp"),
@@ -269,17 +280,19 @@ def classification_scores(
     n = F.sum("s")
     cov = F.sum("tp") * n - F.sum(F.col("s") * F.col("p"))
     spread = F.sqrt(n * n - F.sum(F.col("p") * F.col("p"))) * F.sqrt(n * n - F.sum(F.col("s") * F.col("s")))
-    return per_class.agg(
+    more = [F.max(F.when(F.col("class") == positive, f1)).alias("f1")] if positive is not None else []
+    return per_class.groupBy(*by).agg(
         (F.sum("tp") / n).alias("accuracy"),
         F.avg(F.try_divide("tp", "s")).alias("balanced_accuracy"),
         F.avg(f1).alias("f1_macro"),
         (F.sum(f1 * F.col("s")) / n).alias("f1_weighted"),
         F.coalesce(F.try_divide(cov, spread), F.lit(0.0)).alias("mcc"),
         (F.sum("loss") / n).alias("log_loss"),
+        *more,
     )
 
 
-def _r2(actual: Column, residual: Column) -> Column:
+def r2_score(actual: Column, residual: Column) -> Column:
     total = F.var_pop(actual) * F.count(actual)
     return F.coalesce(F.lit(1.0) - F.try_divide(F.sum(residual * residual), total), F.lit(0.0))
 
@@ -299,7 +312,7 @@ def residual_stats(scored: DataFrame, actual: str = "actual", predicted: str = "
         F.max(r).alias("max_residual"),
         F.avg(F.abs(r)).alias("mean_absolute_error"),
         F.sqrt(F.avg(r * r)).alias("root_mean_squared_error"),
-        _r2(F.col("a"), r).alias("r2"),
+        r2_score(F.col("a"), r).alias("r2"),
     )
 
 
@@ -366,6 +379,6 @@ def prediction_stats(scored: DataFrame, predicted: str, label: str | None = None
             F.avg(r).alias("mean_residual"),
             F.avg(F.abs(r)).alias("mean_absolute_error"),
             F.sqrt(F.avg(r * r)).alias("root_mean_squared_error"),
-            _r2(col(label).cast("double"), r).alias("r2"),
+            r2_score(col(label).cast("double"), r).alias("r2"),
         ]
     return scored.agg(*exprs)

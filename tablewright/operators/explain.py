@@ -332,26 +332,26 @@ def partial_dependence(
         for f in features
         for i, v in enumerate(grid[f])
     ]
-    copies = rows.withColumn("_p", F.explode(F.array(*points)))
+    copies = rows.withColumn("_point", F.explode(F.array(*points)))
     types = dict(df.dtypes)
     # a numeric column takes fractional grid values, so it is scored as a double
     shifted = _replace(
         copies,
         features,
         lambda f: F.when(
-            F.col("_p.feature") == f,
-            F.col("_p.number") if f in numeric else F.col("_p.word").cast(types[f]),
+            F.col("_point.feature") == f,
+            F.col("_point.number") if f in numeric else F.col("_point.word").cast(types[f]),
         ).otherwise(col(f).cast("double") if f in numeric else col(f)),
     )
     return (
         predict(shifted)
-        .groupBy("_p")
+        .groupBy("_point")
         .agg(F.round(F.avg("prediction"), 6).alias("pdp"))
         .select(
-            "_p.feature",
-            "_p.position",
-            F.col("_p.number").isNotNull().alias("is_numeric"),
-            F.coalesce(F.col("_p.number").cast("string"), F.col("_p.word")).alias("grid"),
+            "_point.feature",
+            "_point.position",
+            F.col("_point.number").isNotNull().alias("is_numeric"),
+            F.coalesce(F.col("_point.number").cast("string"), F.col("_point.word")).alias("grid"),
             "pdp",
         )
     )

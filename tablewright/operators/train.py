@@ -155,43 +155,58 @@ class Fitted:
             out["decision_threshold"] = self.threshold
         return out
 
-    def _raw(self, df: DataFrame, model: str) -> DataFrame:
-        """Add ``_p``: class probabilities as an array, or the predicted value."""
-        fitted = self.models[model]
-        out = fitted.transform(df)
-        temp = [c for c in ("rawPrediction", "probability", "prediction") if c in out.columns]
-        if self.kind in ("regression", "quantile"):
+    def _value(self, df: DataFrame, model: str, out: str) -> DataFrame:
+        """Add ``out``: class probabilities as an array, or the predicted value."""
+        scored = self.models[model].transform(df)
+        temp = [c for c in ("rawPrediction", "probability", "prediction") if c in scored.columns]
+        if not self.classes:
             value = F.col("prediction")
-        elif "probability" in out.columns:
+        elif "probability" in scored.columns:
             value = vector_to_array("probability")
         else:
-            hot = [F.when(F.col("prediction") == i, 1.0).otherwise(0.0) for i in range(len(self.classes))]
-            value = F.array(*hot)
-        return out.withColumn("_p", value).drop(*temp)
+            value = F.array(
+                *[F.when(F.col("prediction") == i, 1.0).otherwise(0.0) for i in range(len(self.classes))]
+            )
+        return scored.withColumn(out, value).drop(*temp)
+
+    def _values(self, df: DataFrame, models: Sequence[str]) -> tuple[DataFrame, dict[str, Column]]:
+        """Score ``models`` in one pass; returns the table and one value expression per model."""
+        single = [m for m in self.models if m in models or ("Blend" in models and m in self.weights)]
+        scored = self.prepare.transform(df)
+        for i, name in enumerate(single):
+            scored = self._value(scored, name, f"_value{i}")
+        scored = scored.select(*[col(c) for c in df.columns], *[f"_value{i}" for i in range(len(single))])
+        values = {name: F.col(f"_value{i}") for i, name in enumerate(single)}
+        if "Blend" in models:
+            total = sum(self.weights.values())
+            shares = [(values[m], F.lit(w / total)) for m, w in self.weights.items()]
+            if self.classes:
+                parts = [
+                    sum((F.get(v, F.lit(k)) * w for v, w in shares), F.lit(0.0))
+                    for k in range(len(self.classes))
+                ]
+                values["Blend"] = F.array(*parts)
+            else:
+                values["Blend"] = sum((v * w for v, w in shares), F.lit(0.0))
+        return scored, {m: values[m] for m in models}
 
     def _outputs(self, df: DataFrame, model: str) -> DataFrame:
-        assembled = self.prepare.transform(df)
-        if model != "Blend":
-            scored = self._raw(assembled, model)
-        else:
-            scored, total, mix = assembled, sum(self.weights.values()), None
-            for i, (name, w) in enumerate(self.weights.items()):
-                scored = self._raw(scored, name).withColumnRenamed("_p", f"_p{i}")
-                share = F.lit(w / total)
-                if self.kind in ("regression", "quantile"):
-                    part = F.col(f"_p{i}") * share
-                    mix = part if mix is None else mix + part
-                else:
-                    part = [F.get(f"_p{i}", F.lit(k)) * share for k in range(len(self.classes))]
-                    mix = part if mix is None else [a + b for a, b in zip(mix, part, strict=True)]
-            scored = scored.withColumn("_p", mix if isinstance(mix, Column) else F.array(*mix))
-        return scored.select(*[col(c) for c in df.columns], "_p")
+        scored, values = self._values(df, [model])
+        out = scored.withColumn("_value", values[model])
+        return out.select(*[col(c) for c in df.columns], "_value")
+
+    def _pick(self, value: Column, cut: float | None) -> Column:
+        """Predicted class of a probability array; the cutoff is used for two classes only."""
+        if self.kind == "binary" and cut is not None:
+            return F.when(F.get(value, F.lit(1)) >= cut, F.lit(self.classes[1])).otherwise(F.lit(self.classes[0]))
+        values = F.array(*[F.lit(c) for c in self.classes])
+        return F.get(values, (F.array_position(value, F.array_max(value)) - 1).cast("int"))
 
     def predict(self, df: DataFrame, model: str | None = None) -> DataFrame:
         """Add numeric ``prediction``: probability of the highest class, or the predicted value."""
         out = self._outputs(df, model or self.best)
-        value = F.col("_p") if not self.classes else F.get("_p", F.lit(len(self.classes) - 1))
-        return out.withColumn("prediction", value).drop("_p")
+        value = F.col("_value") if not self.classes else F.get("_value", F.lit(len(self.classes) - 1))
+        return out.withColumn("prediction", value).drop("_value")
 
     def score(
         self,
@@ -207,16 +222,10 @@ class Fitted:
         out = self._outputs(df, model or self.best)
         name = f"{self.label}_predicted"
         if not self.classes:
-            return out.withColumn(name, F.col("_p")).drop("_p")
-        probs = [F.get("_p", F.lit(i)) for i in range(len(self.classes))]
-        named = {f"prob_{c}": p for c, p in zip(self.classes, probs, strict=True)}
-        values = F.array(*[F.lit(c) for c in self.classes])
+            return out.withColumnRenamed("_value", name)
         cut = decision_threshold if decision_threshold is not None else self.threshold
-        if self.kind == "binary" and cut is not None:
-            pick = F.when(probs[1] >= cut, F.lit(self.classes[1])).otherwise(F.lit(self.classes[0]))
-        else:
-            pick = F.get(values, (F.array_position("_p", F.array_max("_p")) - 1).cast("int"))
-        out = out.withColumns({**named, name: pick}).drop("_p")
+        named = {f"prob_{c}": F.get("_value", F.lit(i)) for i, c in enumerate(self.classes)}
+        out = out.withColumns({**named, name: self._pick(F.col("_value"), cut)}).drop("_value")
         out = out.withColumn("confidence", predicted_probability(out.select(*named, name), name))
         return flag_low_confidence(out, min_confidence)
 
@@ -226,30 +235,56 @@ class Fitted:
         out = out.withColumn("actual", col(self.label))
         return out if self.classes else out.withColumn("residual", F.col("actual") - F.col("predicted"))
 
-    def evaluate(self, df: DataFrame, model: str | None = None) -> dict[str, float]:
-        """All metrics of the problem type, each from one aggregation over the scored table."""
-        scored = self.scored_table(df, model)
+    def evaluate_models(
+        self, df: DataFrame, models: Sequence[str], metrics: Sequence[str] | None = None
+    ) -> dict[str, dict[str, float]]:
+        """Metrics per model; all models are scored and aggregated in one pass over ``df``.
+
+        Only ROC AUC, which needs its own score table, adds a pass per model.
+        """
+        scored, values = self._values(df, list(models))
+        truth = col(self.label)
         if not self.classes:
+            y = truth.cast("double")
             row = scored.agg(
-                F.sqrt(F.avg(F.col("residual") ** 2)).alias("root_mean_squared_error"),
-                F.avg(F.abs("residual")).alias("mean_absolute_error"),
-                evaluate._r2(F.col("actual").cast("double"), F.col("residual")).alias("r2"),
+                *[
+                    F.struct(
+                        F.sqrt(F.avg((y - v) ** 2)).alias("root_mean_squared_error"),
+                        F.avg(F.abs(y - v)).alias("mean_absolute_error"),
+                        evaluate.r2_score(y, y - v).alias("r2"),
+                    ).alias(f"m{i}")
+                    for i, v in enumerate(values.values())
+                ]
             ).first()
-            return {k: float(v) for k, v in row.asDict().items()}
-        own = F.coalesce(
-            *[F.when(F.col("actual") == F.lit(c), F.col(f"`prob_{c}`")) for c in self.classes], F.lit(0.0)
+            return {m: {k: float(x) for k, x in row[i].asDict().items()} for i, m in enumerate(values)}
+        index = F.array_position(F.array(*[F.lit(c) for c in self.classes]), truth) - 1
+        cells = [
+            F.struct(
+                F.lit(m).alias("model"),
+                self._pick(v, self.threshold).alias("predicted"),
+                F.coalesce(F.get(v, index.cast("int")), F.lit(0.0)).alias("q"),
+            )
+            for m, v in values.items()
+        ]
+        long = scored.select(truth.alias("actual"), F.inline(F.array(*cells)))
+        positive = evaluate.class_key(F.lit(self.classes[1]), scored.schema[self.label].dataType) if self.kind == "binary" else None
+        table = evaluate.classification_scores(
+            long, prob_of_actual=F.col("q"), positive=positive, by=["model"]
         )
-        scores = evaluate.classification_scores(scored, prob_of_actual=own).first().asDict()
-        if self.kind == "binary":
-            positive = self.classes[1]
-            table = evaluate.threshold_table(scored, "actual", f"prob_{positive}", positive)
-            scores["roc_auc"] = evaluate.roc_auc(table).first()[0]
-            hit, said = F.col("actual") == F.lit(positive), F.col("predicted") == F.lit(positive)
-            tp, either = scored.agg(
-                F.count_if(hit & said), F.count_if(hit) + F.count_if(said)
-            ).first()
-            scores["f1"] = 2 * tp / either if either else 0.0
-        return {k: float(v) for k, v in scores.items() if v is not None}
+        out = {r["model"]: {k: float(x) for k, x in r.asDict().items() if k != "model" and x is not None} for r in table.collect()}
+        if self.kind == "binary" and (metrics is None or "roc_auc" in metrics):
+            for m, v in values.items():
+                ranked = scored.select(truth.alias("actual"), F.get(v, F.lit(1)).alias("score"))
+                area = evaluate.roc_auc(
+                    evaluate.threshold_table(ranked, "actual", "score", self.classes[1])
+                ).first()[0]
+                if area is not None:
+                    out[m]["roc_auc"] = float(area)
+        return out
+
+    def evaluate(self, df: DataFrame, model: str | None = None, metrics: Sequence[str] | None = None) -> dict[str, float]:
+        model = model or self.best
+        return self.evaluate_models(df, [model], metrics)[model]
 
     def signed(self, scores: Mapping[str, float]) -> float:
         value = scores[self.metric]
@@ -308,7 +343,7 @@ def fit(
             begin = time.perf_counter()
             run.models[name] = est.fit(ready.where("NOT is_test"))
             fitted = time.perf_counter()
-            value = run.signed(run.evaluate(slice_rows, name))
+            value = run.signed(run.evaluate(slice_rows, name, [metric]))
             board.append((name, value, fitted - begin, time.perf_counter() - fitted))
         board.sort(key=lambda r: (-r[1], r[0]))
         run.best = board[0][0]
@@ -317,7 +352,7 @@ def fit(
             low = board[-1][1]
             run.weights = {n: (v - low) / ((board[0][1] - low) or 1.0) + 0.1 for n, v, _, _ in board}
             begin = time.perf_counter()
-            value = run.signed(run.evaluate(slice_rows, "Blend"))
+            value = run.signed(run.evaluate(slice_rows, "Blend", [metric]))
             board.append(("Blend", value, sum(r[2] for r in board), time.perf_counter() - begin))
             board.sort(key=lambda r: (-r[1], r[0]))
             run.best = board[0][0]
@@ -337,7 +372,8 @@ def fit(
 def test_leaderboard(run: Fitted, leaderboard: DataFrame, test: DataFrame) -> DataFrame:
     """Leaderboard with ``score_test``, best test score first."""
     rows = test.where(col(run.label).isNotNull())
-    scores = [(r["model"], run.signed(run.evaluate(rows, r["model"]))) for r in leaderboard.collect()]
+    names = [r["model"] for r in leaderboard.collect()]
+    scores = [(m, run.signed(s)) for m, s in run.evaluate_models(rows, names, [run.metric]).items()]
     tested = test.sparkSession.createDataFrame(scores, "model string, score_test double")
     return leaderboard.join(tested, "model").orderBy(F.desc("score_test"), "model")
 

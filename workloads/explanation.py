@@ -91,7 +91,7 @@ SOURCE = """(SELECT o_orderkey, o_totalprice / 100000 AS price, month(o_orderdat
 
 
 def formula_sql(p, m, c):
-    return f"({p} + 0.0137 * {m} * {m} - {p} * {m} / 19 + {c} / 4999)"
+    return f"({p} + 0.0137 * {m} * {m} - 0.0526317 * {p} * {m} + {c} / 4999)"
 
 
 def frame(spark, sf_dir):
@@ -106,7 +106,7 @@ def frame(spark, sf_dir):
 
 def predict(df):
     p, m, c = F.col("price"), F.col("month"), F.col("cust")
-    return df.withColumn("prediction", p + 0.0137 * m * m - p * m / 19 + c / 4999)
+    return df.withColumn("prediction", p + 0.0137 * m * m - 0.0526317 * p * m + c / 4999)
 
 
 def importance_sql():
@@ -199,15 +199,15 @@ def pdp_sql():
     return " UNION ALL ".join(parts)
 
 
-@R.add(f"SELECT feature, position, round(pdp, 5) AS pdp FROM ({pdp_sql()})")
+@R.add(pdp_sql())
 def partial_dependence(spark, sf_dir):
     out = explain.partial_dependence(
         frame(spark, sf_dir), predict, ["price", "month"], ["o_orderkey"], sample_size=None
     )
-    return rounded(out.select("feature", "position", "pdp"), 5)
+    return out.select("feature", "position", "pdp")
 
 
-@R.add("""SELECT 'o_orderpriority' AS feature, p AS grid, round(avg(o_totalprice / 100000 + length(p)), 5) AS pdp
+@R.add("""SELECT 'o_orderpriority' AS feature, p AS grid, round(avg(o_totalprice / 100000 + length(p)), 6) AS pdp
 FROM orders, (SELECT DISTINCT o_orderpriority AS p FROM orders) GROUP BY 2""")
 def partial_dependence_categories(spark, sf_dir):
     df = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
@@ -216,17 +216,17 @@ def partial_dependence_categories(spark, sf_dir):
         return x.withColumn("prediction", F.col("o_totalprice") / 100000 + F.length("o_orderpriority"))
 
     out = explain.partial_dependence(df, by_length, ["o_orderpriority"], ["o_orderkey"], sample_size=None)
-    return rounded(out.select("feature", "grid", "pdp"), 5)
+    return out.select("feature", "grid", "pdp")
 
 
 @R.add(f"""WITH c AS ({pdp_sql()}), d AS (SELECT *, pdp - lag(pdp) OVER (PARTITION BY feature ORDER BY position) AS d FROM c)
 SELECT feature, CASE WHEN min(d) >= 0 THEN 'increasing' WHEN max(d) <= 0 THEN 'decreasing' WHEN max(pdp) - min(pdp) > 0.05 THEN 'non-monotonic' END AS shape,
-  round(max(pdp) - min(pdp), 4) AS span FROM d GROUP BY 1""")
+  round(max(pdp) - min(pdp), 6) AS span FROM d GROUP BY 1""")
 def pdp_shape(spark, sf_dir):
     curves = explain.partial_dependence(
         frame(spark, sf_dir), predict, ["price", "month"], ["o_orderkey"], sample_size=None
     )
-    return rounded(explain.pdp_shapes(curves), 4)
+    return explain.pdp_shapes(curves)
 
 
 @R.add("""SELECT o_orderkey FROM orders ORDER BY md5(concat_ws('|', o_orderkey, '42')), o_orderkey LIMIT 500""")

@@ -242,7 +242,7 @@ c AS (SELECT s, b.i, count(value) FILTER (value >= lo AND (value < hi OR (last A
   FROM w JOIN events ON time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01') = s, b GROUP BY 1, 2),
 h AS (SELECT s, greatest(a / sum(a) OVER (PARTITION BY s), 1e-6) AS a, greatest(p / sum(p) OVER (PARTITION BY s), 1e-6) AS p, p AS cnt FROM c JOIN x USING (i))
 SELECT s AS window_start, 'value' AS feature, (SELECT count(*) FROM events WHERE time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01') = s)::BIGINT AS n,
-  sum(cnt)::BIGINT AS in_range_rows, round(sum((p - a) * ln(p / a)), 5) AS psi FROM h GROUP BY s"""
+  sum(cnt)::BIGINT AS in_range_rows, round(sum((p - a) * ln(p / a)), 6) AS psi FROM h GROUP BY s"""
 
 
 def _profile(spark, sf_dir):
@@ -251,11 +251,16 @@ def _profile(spark, sf_dir):
     return monitor.training_profile(early, ["value"])
 
 
+def _report(df):
+    start = F.col("window_start").cast("timestamp_ntz").alias("window_start")
+    return df.select(start, "feature", "n", "in_range_rows", "psi")
+
+
 @R.add(STREAM_DRIFT)
 def windowed_drift(spark, sf_dir):
     """The monitor's plan on a batch table."""
     out = monitor.drift_by_window(table(spark, sf_dir, "events"), "ts", _profile(spark, sf_dir), "7 days")
-    return rounded(out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "feature", "n", "in_range_rows", "psi"), 5)
+    return _report(out)
 
 
 @R.add(STREAM_DRIFT)
@@ -270,5 +275,4 @@ def stream_drift(spark, sf_dir):
         query.processAllAvailable()
     finally:
         query.stop()
-    report = spark.read.parquet(out)
-    return rounded(report.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "feature", "n", "in_range_rows", "psi"), 5)
+    return _report(spark.read.parquet(out))
