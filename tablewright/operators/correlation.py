@@ -8,7 +8,7 @@ from itertools import combinations
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright import constants as K
@@ -35,8 +35,9 @@ def correlation_long(
     if not pairs:
         return df.sparkSession.createDataFrame([], SCHEMA)
     frames = []
-    gaps = df.agg(*[F.count_if(col(c).isNull()).alias(f"c{i}") for i, c in enumerate(names)]).first()
-    full = {c for i, c in enumerate(names) if gaps[i] == 0}
+    facts = df.agg(*[_facts(c).alias(f"c{i}") for i, c in enumerate(names)]).first()
+    fact = dict(zip(names, facts, strict=True))
+    full = {c for c in names if fact[c]["gaps"] == 0}
     if len(names) > WIDE:
         frames.append(_gramian(df, [p for p in pairs if full.issuperset(p[1])], [c for c in names if c in full]))
         pairs = [p for p in pairs if not full.issuperset(p[1])]
@@ -45,12 +46,12 @@ def correlation_long(
         cells = []
         for k, (a, b) in part:
             x, y = col(a).cast("double"), col(b).cast("double")
-            if full.issuperset((a, b)):
-                # without gaps each column needs one deviation, shared by all its pairs
-                r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-                n = F.count(F.lit(1))
-            else:
+            if not full.issuperset((a, b)):
                 r, n = pair_corr(x, y), pair_count(x, y)
+            elif fact[a]["lo"] == fact[a]["hi"] or fact[b]["lo"] == fact[b]["hi"]:
+                r, n = F.lit(None).cast("double"), F.count(F.lit(1))
+            else:
+                r, n = _centred_corr(x - F.lit(fact[a]["mid"]), y - F.lit(fact[b]["mid"])), F.count(F.lit(1))
             cells.append(
                 F.struct(
                     F.lit(k).cast("bigint").alias("pair"),
@@ -64,6 +65,24 @@ def correlation_long(
     return reduce(DataFrame.unionByName, frames)
 
 
+def _facts(c: str) -> Column:
+    x = col(c).cast("double")
+    return F.struct(
+        F.count_if(x.isNull()).alias("gaps"), F.avg(x).alias("mid"), F.min(x).alias("lo"), F.max(x).alias("hi")
+    )
+
+
+def _centred_corr(x: Column, y: Column) -> Column:
+    """Pearson from plain sums, which is safe once both columns are centred on their means.
+
+    One product sum per pair; the other sums are shared by all pairs of a column.
+    """
+    n = F.count(F.lit(1))
+    xy = F.sum(x * y) - F.sum(x) * F.sum(y) / n
+    xx, yy = F.sum(x * x) - F.sum(x) * F.sum(x) / n, F.sum(y * y) - F.sum(y) * F.sum(y) / n
+    return F.try_divide(xy, F.sqrt(xx) * F.sqrt(yy))
+
+
 def _gramian(df: DataFrame, pairs: list, names: list[str]) -> DataFrame:
     """Matrix of the NULL-free columns; its size depends on the column count only."""
     vec = VectorAssembler(inputCols=names, outputCol="v").transform(

@@ -9,11 +9,9 @@ from pyspark.sql import functions as F
 
 from tablewright import constants as K
 from tablewright.functions.schema import col, numeric_columns
-from tablewright.operators.profile import per_column
+from tablewright.plans.binning import binned_long
 from tablewright.plans.selection import exact_quantiles
 
-FEATURES_PER_SCAN = 40
-
 
 def shared_numeric(train: DataFrame, other: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
     return sorted(set(numeric_columns(train, exclude)) & set(numeric_columns(other, exclude)))
@@ -38,19 +36,48 @@ def bin_counts(x: Column, edges: Sequence[float]) -> Column:
 
 
 def side_stats(df: DataFrame, edges: Mapping[str, Sequence[float]]) -> DataFrame:
-    """``feature, n, mean, std, counts``: one aggregation per side, nothing is unpivoted."""
-
-    def build(c: str) -> Column:
-        x = col(c).cast("double")
-        return F.struct(
-            F.lit(c).alias("feature"),
-            F.count(x).alias("n"),
-            F.avg(x).alias("mean"),
-            F.stddev_samp(x).alias("std"),
-            bin_counts(x, edges[c]).alias("counts"),
+    """``feature, n, mean, std, counts`` from one pass over a side.
+
+    Moments are summed per bin around the middle edge, so they stay exact when combined.
+    """
+    centre = {f: (v[len(v) // 2] if v else 0.0) for f, v in edges.items()}
+    long = binned_long(df, {f: col(f) for f in edges}, edges)
+    middle = F.lit(0.0)
+    for f, c in centre.items():
+        middle = F.when(F.col("feature") == f, F.lit(c)).otherwise(middle)
+    d = F.col("x") - middle
+    # the last bin is closed: values equal to the last edge go down one bin
+    last = F.lit(None).cast("double")
+    for f, v in edges.items():
+        if v:
+            last = F.when(F.col("feature") == f, F.lit(v[-1])).otherwise(last)
+    closed = F.when(F.col("x") == last, F.col("bin") - 1).otherwise(F.col("bin"))
+    per_bin = (
+        long.groupBy("feature", closed.alias("bin"))
+        .agg(F.count(F.lit(1)).alias("k"), F.sum(d).alias("s"), F.sum(d * d).alias("q"))
+    )
+    n, total, squares = F.sum("k"), F.sum("s"), F.sum("q")
+    stats = per_bin.groupBy("feature").agg(
+        n.alias("n"),
+        (total / n).alias("shift"),
+        F.sqrt(F.try_divide(F.greatest(squares - total * total / n, F.lit(0.0)), n - 1)).alias("std"),
+        F.map_from_entries(F.collect_list(F.struct("bin", "k"))).alias("m"),
+    )
+    cells = [
+        F.struct(
+            F.lit(f).alias("feature"),
+            F.lit(centre[f]).alias("centre"),
+            F.lit(max(0, len(v) - 1)).alias("bins"),
         )
-
-    return per_column(df, list(edges), build, FEATURES_PER_SCAN)
+        for f, v in edges.items()
+    ]
+    named = df.sparkSession.range(1).select(F.inline(F.array(*cells)))
+    # bins 1..k lie between two edges; 0 and k + 1 are outside the training range
+    inside = F.when(F.col("bins") > 0, F.sequence(F.lit(1), F.col("bins"))).otherwise(F.array().cast("array<int>"))
+    counts = F.transform(inside, lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("bigint")))
+    return named.join(stats, "feature").select(
+        "feature", "n", (F.col("centre") + F.col("shift")).alias("mean"), "std", counts.alias("counts")
+    )
 
 
 def array_total(counts: Column) -> Column:

@@ -13,7 +13,7 @@ from tablewright.functions.schema import col
 from tablewright.functions.stats import pct
 from tablewright.operators.profile import numeric_profile
 from tablewright.plans.selection import exact_quantiles
-from tablewright.plans.totals import bucket_edges, running_totals
+from tablewright.plans.totals import ROWS_PER_BUCKET, bucket_edges, running_totals
 
 MAX_CLASSES = 10_000
 
@@ -149,13 +149,18 @@ def threshold_table(
 
     Other classes count as negative (one against the rest).
     """
-    pos_label = positive_class(scored, actual) if pos_label is None else pos_label
+    known = scored.where(col(score).isNotNull() & col(actual).isNotNull())
+    tally = known.groupBy(col(actual).alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = {r["c"]: r["n"] for r in tally.limit(MAX_CLASSES + 1).collect()}
+    if len(sizes) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes")
+    if pos_label is None:
+        pos_label = max(sizes) if sizes else positive_class(scored, actual)
+    p = sizes.get(pos_label, 0)
+    n = sum(sizes.values()) - p
     if edges is None:
-        edges = bucket_edges(scored.where(col(score).isNotNull()), score)
+        edges = bucket_edges(known, score) if p + n > ROWS_PER_BUCKET else []
     groups = _score_groups(scored, actual, score, pos_label)
-    p, n = scored.where(col(score).isNotNull() & col(actual).isNotNull()).agg(
-        F.count_if(col(actual) == F.lit(pos_label)), F.count_if(col(actual) != F.lit(pos_label))
-    ).first()
     return running_totals(groups, "threshold", ["pos", "neg"], edges, descending=True).select(
         "threshold",
         "pos",
@@ -181,14 +186,13 @@ def roc_curve(table: DataFrame, drop_intermediate: bool = True) -> DataFrame:
         | (F.col("pos") != F.col("next_pos"))
         | (F.col("neg") != F.col("next_neg"))
     )
-    points = table.where(first | bend) if drop_intermediate else table
-    curve = points.select(
-        F.try_divide("fp", "n").alias("fpr"), F.try_divide("tp", "p").alias("tpr"), "threshold"
-    )
-    start = table.where(first).select(
-        F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"), F.lit(float("inf")).alias("threshold")
+    point = F.struct(
+        F.try_divide("fp", "n").alias("fpr"), F.try_divide("tp", "p").alias("tpr"), F.col("threshold").alias("threshold")
     )
-    return start.unionByName(curve)
+    start = F.struct(F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"), F.lit(float("inf")).alias("threshold"))
+    kept = table.where(first | bend) if drop_intermediate else table
+    # the first row brings the start point along, so the curve is computed once
+    return kept.select(F.inline(F.when(first, F.array(start, point)).otherwise(F.array(point))))
 
 
 def roc_auc(table: DataFrame) -> DataFrame:
@@ -204,7 +208,9 @@ def pr_curve(table: DataFrame) -> DataFrame:
         F.coalesce(F.try_divide("tp", "p"), F.lit(1.0)).alias("recall"),
         "threshold",
     )
-    end = table.agg(F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"), F.lit(None).cast("double").alias("threshold"))
+    end = table.sparkSession.range(1).select(
+        F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"), F.lit(None).cast("double").alias("threshold")
+    )
     return curve.unionByName(end)
 
 

@@ -19,6 +19,7 @@ from tablewright.functions.hashing import hash_order, hash_prefix
 from tablewright.functions.schema import categorical_columns, col, numeric_columns, require_columns
 from tablewright.functions.stats import pair_corr
 from tablewright.operators.sampling import hash_sample
+from tablewright.plans.attach import spread_for_copies
 
 Predict = Callable[[DataFrame], DataFrame]
 
@@ -118,7 +119,9 @@ def shapley_values(
     source = df if background is None else background
     rows = hash_sample(df, key, max_rows, seed) if max_rows is not None else df
     base_rows = _background(source, features, key, background_rows, seed)
-    own = rows.select(*[col(k) for k in key], *[col(f) for f in features if f not in key]).withColumn(
+    steps = 2 ** len(features) if len(features) <= EXACT_FEATURES else permutations * (len(features) + 1)
+    slim = rows.select(*[col(k) for k in key], *[col(f) for f in features if f not in key])
+    own = spread_for_copies(slim, key, len(base_rows) * steps).withColumn(
         "_own", F.struct(*[col(f).alias(f) for f in features])
     )
     with_base = own.withColumn("_bg", F.explode(_literal_rows(base_rows, df, features)))
@@ -332,7 +335,7 @@ def partial_dependence(
         for f in features
         for i, v in enumerate(grid[f])
     ]
-    copies = rows.withColumn("_point", F.explode(F.array(*points)))
+    copies = spread_for_copies(rows, key, len(points)).withColumn("_point", F.explode(F.array(*points)))
     types = dict(df.dtypes)
     # a numeric column takes fractional grid values, so it is scored as a double
     shifted = _replace(

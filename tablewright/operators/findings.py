@@ -187,8 +187,8 @@ def dependency_closure(edges: DataFrame, start: DataFrame, max_depth: int = MAX_
     ``edges`` is ``run_id, parent, child``; cycles end by themselves, since only models not
     seen before are followed. Each level is written to the checkpoint folder.
     """
-    links = edges.select("run_id", F.col("parent").alias("model"), "child").distinct()
-    seen = start.select("run_id", "model").distinct()
+    links = cut(edges.select("run_id", F.col("parent").alias("model"), "child").distinct())
+    seen = cut(start.select("run_id", "model").distinct())
     frontier = seen
     for _ in range(max_depth):
         reached = frontier.join(links, ["run_id", "model"]).select("run_id", F.col("child").alias("model"))

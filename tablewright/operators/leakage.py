@@ -12,7 +12,6 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +20,7 @@ from tablewright import constants as K
 from tablewright.functions.schema import col, feature_columns, is_classification, label_values, require_columns
 from tablewright.functions.stats import to_micros
 from tablewright.operators.splits import assign_folds
+from tablewright.plans.binning import binned_long
 
 MAX_BINS = 256
 TEXT_SAMPLE = 10_000
@@ -35,26 +35,12 @@ def _numeric(df: DataFrame, c: str) -> Column:
 
 def _numeric_stats(df: DataFrame, names: Sequence[str], stats: Column) -> DataFrame:
     points = [i / MAX_BINS for i in range(1, MAX_BINS)]
-    values = df.select("_fold", "_y", *[_numeric(df, c).alias(f"n{i}") for i, c in enumerate(names)])
-    edges = values.agg(
-        *[F.percentile_approx(f"n{i}", points, 10_000).alias(f"n{i}") for i in range(len(names))]
+    values = {c: _numeric(df, c) for c in names}
+    found = df.agg(
+        *[F.percentile_approx(v, points, 10_000).alias(f"n{i}") for i, v in enumerate(values.values())]
     ).first()
-    splits = [[float("-inf"), *sorted(set(edges[i] or [0.0])), float("inf")] for i in range(len(names))]
-    binned = Bucketizer(
-        splitsArray=splits,
-        inputCols=[f"n{i}" for i in range(len(names))],
-        outputCols=[f"b{i}" for i in range(len(names))],
-        handleInvalid="keep",
-    ).transform(values)
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("feature"), F.when(F.col(f"n{i}").isNotNull(), F.col(f"b{i}")).cast("int").alias("bin")
-            )
-            for i, c in enumerate(names)
-        ]
-    )
-    long = binned.select("_fold", "_y", F.inline(cells)).where("bin IS NOT NULL")
+    edges = {c: sorted(set(found[i] or [])) for i, c in enumerate(names)}
+    long = binned_long(df, values, edges, ["_fold", "_y"])
     return long.groupBy("feature", F.col("_fold").alias("fold"), "bin").agg(stats.alias("stats"))
 
 

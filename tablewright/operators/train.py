@@ -66,9 +66,13 @@ def problem_type(df: DataFrame, label: str, forced: str | None = None) -> str:
         if forced not in ("binary", "multiclass", "regression", "quantile"):
             raise ValueError(f"Unsupported problem type: {forced}")
         return forced
-    if not is_classification(df, label, K.CLASSIFICATION_MAX_CLASSES):
+    return _kind_of(len(label_values(df, label, K.CLASSIFICATION_MAX_CLASSES + 1)))
+
+
+def _kind_of(n_classes: int) -> str:
+    if n_classes > K.CLASSIFICATION_MAX_CLASSES:
         return "regression"
-    return "binary" if len(label_values(df, label, 3)) == 2 else "multiclass"
+    return "binary" if n_classes == 2 else "multiclass"
 
 
 def default_metric(kind: str) -> str:
@@ -316,14 +320,15 @@ def fit(
     """
     require_columns(train, [label, *key], "fit")
     known = train.where(col(label).isNotNull())
-    kind = problem_type(known, label, forced_type)
+    found = label_values(known, label, MAX_CLASSES + 1)
+    kind = problem_type(known, label, forced_type) if forced_type else _kind_of(len(found))
     metric = eval_metric or default_metric(kind)
     allowed = {"binary": BINARY_METRICS, "multiclass": CLASS_METRICS}.get(kind, REGRESSION_METRICS)
     if metric not in allowed:
         raise ValueError(f"'{metric}' is not a metric for {kind}: {allowed}")
     classes: list = []
     if kind in ("binary", "multiclass"):
-        classes = sorted(label_values(known, label, MAX_CLASSES + 1))
+        classes = sorted(found)
         if len(classes) > MAX_CLASSES:
             raise ValueError(f"'{label}' has more than {MAX_CLASSES} classes")
     features = [

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -47,3 +48,18 @@ def attach_group_stats(
     )
     right = stats.withColumn("_salt", F.explode(copies))
     return left.join(right, [*keys, "_salt"], "left").drop("_salt")
+
+
+COPIES_PER_TASK = 1_000_000
+
+
+def spread_for_copies(
+    df: DataFrame, key: Sequence[str], copies: int, copies_per_task: int = COPIES_PER_TASK
+) -> DataFrame:
+    """Partition narrow rows by key before each becomes ``copies`` rows.
+
+    The task count follows the rows that will exist afterwards, and a later ``groupBy`` on
+    the key finds its rows already together.
+    """
+    tasks = math.ceil(df.count() * copies / copies_per_task)
+    return df.repartition(tasks, *[col(k) for k in key]) if tasks > 1 else df

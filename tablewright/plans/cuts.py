@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CELL_ROWS = 250_000
+CELL_ROWS = 50_000
 
 
 def _digits(largest_group: int, cell_rows: int) -> int:

@@ -18,10 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.schema import col
+from tablewright.plans.binning import binned_long
 
 EXACT_ROWS = 20_000
-BUILTIN_ROWS = 1_000_000
-ACCURACY = 10_000
+BUILTIN_ROWS = 50_000
+MIN_ACCURACY, MAX_ACCURACY = 1_000, 10_000
 
 
 @dataclass
@@ -58,7 +59,6 @@ def order_statistics(
     wanted: Mapping[str, Sequence[int]],
     sizes: Mapping[str, int],
     exact_rows: int = EXACT_ROWS,
-    accuracy: int = ACCURACY,
 ) -> dict[str, dict[int, tuple]]:
     """``{column: {rank: (value, rows strictly below value)}}`` for zero-based ranks.
 
@@ -76,7 +76,9 @@ def order_statistics(
         if not big:
             _finish(df, open_hunts)
             break
-        _narrow(df, big, accuracy)
+        # just sharp enough for the next bracket to be collected, within what a sketch can hold
+        largest = max(h.size for h in big)
+        _narrow(df, big, min(MAX_ACCURACY, max(MIN_ACCURACY, 8 * largest // exact_rows)))
     out: dict[str, dict[int, tuple]] = {name: {} for name in wanted}
     for h in hunts:
         out[h.name][h.rank] = (h.value, h.below)
@@ -121,12 +123,9 @@ def _narrow(df: DataFrame, hunts: list[_Hunt], accuracy: int) -> None:
         for j, h in enumerate(members):
             edges.append((h, row[i][2 * j], row[i][2 * j + 1]))
     marks = list(dict.fromkeys((h.name, e) for h, a, b in edges for e in (a, b)))
-    counts = df.agg(
-        *[F.count_if(col(n) < F.lit(e)).alias(f"lt{i}") for i, (n, e) in enumerate(marks)],
-        *[F.count_if(col(n) <= F.lit(e)).alias(f"le{i}") for i, (n, e) in enumerate(marks)],
-    ).first()
-    lt = {m: counts[f"lt{i}"] for i, m in enumerate(marks)}
-    le = {m: counts[f"le{i}"] for i, m in enumerate(marks)}
+    below = _rank_of_marks(df, marks)
+    lt = {m: below[m][0] for m in marks}
+    le = {m: below[m][1] for m in marks}
     for h, a, b in edges:
         end = h.below + h.size
         for edge in (a, b):
@@ -142,42 +141,57 @@ def _narrow(df: DataFrame, hunts: list[_Hunt], accuracy: int) -> None:
             h.size = end - h.below
 
 
+def _rank_of_marks(df: DataFrame, marks: list[tuple]) -> dict[tuple, tuple[int, int]]:
+    """``{(column, value): (rows below, rows at or below)}`` from one binned count."""
+    edges: dict[str, set[float]] = {}
+    for name, v in marks:
+        # the next double splits "equal" from "above"
+        edges.setdefault(name, set()).update((float(v), math.nextafter(float(v), math.inf)))
+    ordered = {name: sorted(vs) for name, vs in edges.items()}
+    long = binned_long(df, {name: col(name) for name in ordered}, ordered)
+    rows = long.groupBy("feature", "bin").count().collect()
+    counts = {name: [0] * (len(vs) + 1) for name, vs in ordered.items()}
+    for r in rows:
+        counts[r["feature"]][r["bin"]] = r["count"]
+    out = {}
+    for name, v in marks:
+        at = ordered[name].index(float(v))
+        out[(name, v)] = (sum(counts[name][: at + 1]), sum(counts[name][: at + 2]))
+    return out
+
+
 def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],
     probs: Sequence[float],
     builtin_rows: int = BUILTIN_ROWS,
     exact_rows: int = EXACT_ROWS,
-    rows: int | None = None,
 ) -> dict[str, list[float | None]]:
     """Linear-interpolation quantiles per column (NULL ignored), computed exactly."""
     if not columns:
         return {}
     frame = df.select(*[col(c).cast("double").alias(c) for c in columns])
-    rows = frame.count() if rows is None else rows
-    if rows <= builtin_rows:
+    sizes = frame.agg(*[F.count(col(c)).alias(c) for c in columns]).first().asDict()
+    out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns}
+    present = [c for c in columns if sizes[c]]
+    if not present:
+        return out
+    if max(sizes.values()) <= builtin_rows:
         # few enough rows for the built-in aggregate, whose buffer holds distinct values
         row = frame.agg(
-            *[F.percentile(col(c), F.array(*[F.lit(p) for p in probs])).alias(c) for c in columns]
+            *[F.percentile(col(c), F.array(*[F.lit(p) for p in probs])).alias(c) for c in present]
         ).first()
-        return {c: list(row[c]) if row[c] is not None else [None] * len(probs) for c in columns}
-    sizes = frame.agg(*[F.count(col(c)).alias(c) for c in columns]).first().asDict()
+        return out | {c: list(row[c]) for c in present}
     wanted: dict[str, list[int]] = {}
-    for c in columns:
-        if sizes[c]:
-            wanted[c] = [
-                r for p in probs for r in (math.floor(p * (sizes[c] - 1)), math.ceil(p * (sizes[c] - 1)))
-            ]
-    stats = order_statistics(frame, wanted, sizes, exact_rows)
-    out: dict[str, list[float | None]] = {}
-    for c in columns:
-        if not sizes[c]:
-            out[c] = [None] * len(probs)
-            continue
+    for c in present:
+        spots = [p * (sizes[c] - 1) for p in probs]
+        wanted[c] = [r for x in spots for r in (math.floor(x), math.ceil(x))]
+    found = order_statistics(frame, wanted, sizes, exact_rows)
+    for c in present:
         values = []
         for p in probs:
-            pos = p * (sizes[c] - 1)
-            lo, hi = stats[c][math.floor(pos)][0], stats[c][math.ceil(pos)][0]
-            values.append(lo + (hi - lo) * (pos - math.floor(pos)))
+            spot = p * (sizes[c] - 1)
+            lo, hi = found[c][math.floor(spot)][0], found[c][math.ceil(spot)][0]
+            values.append(lo + (hi - lo) * (spot - math.floor(spot)))
         out[c] = values
     return out

@@ -28,7 +28,7 @@ def bucket_edges(
     def sketch(n: int) -> tuple[list[float], int]:
         points = [i / n for i in range(1, n)]
         return df.agg(
-            F.percentile_approx(F.col(column).cast("double"), points, max(10_000, 10 * n)),
+            F.percentile_approx(F.col(column).cast("double"), points, max(1_000, 10 * n)),
             F.count(column),
         ).first()
 
@@ -60,18 +60,20 @@ def running_totals(
     """
     b = with_bucket(grouped, column, edges, "_bucket")
     way = F.desc if descending else F.asc
-    head = (F.max_by if descending else F.min_by)(F.struct(*values), column)
-    totals = b.groupBy("_bucket").agg(*[F.sum(v).alias(v) for v in values], head.alias("_head"))
+    head = F.max_by if descending else F.min_by
+    totals = b.groupBy("_bucket").agg(
+        *[F.sum(v).alias(v) for v in values], *[head(v, column).alias(f"_head_{v}") for v in values]
+    )
     order = Window.orderBy(way("_bucket"))
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         "_bucket",
         *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"_off_{v}") for v in values],
-        F.lead("_head").over(order).alias("_next"),
+        *[F.lead(f"_head_{v}").over(order).alias(f"_next_{v}") for v in values],
     )
     inside = Window.partitionBy("_bucket").orderBy(way(column))
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     new = {f"cum_{v}": F.sum(v).over(upto) + F.col(f"_off_{v}") for v in values}
-    new |= {f"next_{v}": F.coalesce(F.lead(v).over(inside), F.col(f"_next.{v}")) for v in values}
+    new |= {f"next_{v}": F.coalesce(F.lead(v).over(inside), F.col(f"_next_{v}")) for v in values}
     joined = b.join(F.broadcast(offsets), "_bucket").withColumns(new)
-    return joined.drop("_bucket", "_next", *[f"_off_{v}" for v in values])
+    return joined.drop("_bucket", *[f"_{x}_{v}" for v in values for x in ("off", "next")])

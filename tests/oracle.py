@@ -22,6 +22,7 @@ def spark_session(shuffle: int = 8):
         .config("spark.sql.shuffle.partitions", str(shuffle))
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )

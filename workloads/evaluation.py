@@ -73,10 +73,10 @@ def thresholds(spark, sf_dir):
     return evaluate.threshold_table(scored_binary(spark, sf_dir), "actual", "score")
 
 
-@R.add(f"""SELECT round(fp / n, 8) AS fpr, round(tp / p, 8) AS tpr, threshold FROM {TABLE_SQL}
+@R.add(f"""SELECT fp / n AS fpr, tp / p AS tpr, threshold FROM {TABLE_SQL}
 WHERE i = 1 OR next_pos IS NULL OR pos <> next_pos OR neg <> next_neg UNION ALL SELECT 0, 0, 'infinity'::DOUBLE""")
 def roc_curve(spark, sf_dir):
-    return rounded(evaluate.roc_curve(thresholds(spark, sf_dir)), 8, ["fpr", "tpr"])
+    return evaluate.roc_curve(thresholds(spark, sf_dir))
 
 
 @R.add(f"SELECT round(sum(neg * (tp - pos / 2.0::DOUBLE)) / (any_value(p)::DOUBLE * any_value(n)), 8) AS roc_auc FROM {TABLE_SQL}")
@@ -84,10 +84,10 @@ def roc_auc(spark, sf_dir):
     return rounded(evaluate.roc_auc(thresholds(spark, sf_dir)), 8)
 
 
-@R.add(f"""SELECT round(tp / (tp + fp), 8) AS precision, round(tp / p, 8) AS recall, threshold FROM {TABLE_SQL}
+@R.add(f"""SELECT tp / (tp + fp) AS precision, tp / p AS recall, threshold FROM {TABLE_SQL}
 UNION ALL SELECT 1, 0, NULL""")
 def pr_curve(spark, sf_dir):
-    return rounded(evaluate.pr_curve(thresholds(spark, sf_dir)), 8, ["precision", "recall"])
+    return evaluate.pr_curve(thresholds(spark, sf_dir))
 
 
 @R.add(f"SELECT round(sum(pos / p * tp / (tp + fp)), 8) AS average_precision FROM {TABLE_SQL}")
