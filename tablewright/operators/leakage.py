@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +24,7 @@ from tablewright.plans.binning import binned_long
 
 MAX_BINS = 256
 TEXT_SAMPLE = 10_000
+SAMPLE_SLOTS = 1_000_000_007
 
 
 def _numeric(df: DataFrame, c: str) -> Column:
@@ -53,14 +54,13 @@ def _text_stats(df: DataFrame, names: Sequence[str], stats: Column, width: int)
         .groupBy("feature", F.col("_fold").alias("fold"), "value")
         .agg(stats.alias("stats"))
     )
-    pick = Window.partitionBy("feature").orderBy(F.md5(F.col("value").cast("binary")), "value")
-    sample = (
-        per_value.select("feature", "value")
-        .distinct()
-        .withColumn("k", F.row_number().over(pick))
-        .where(F.col("k") <= TEXT_SAMPLE)
-        .collect()
-    )
+    sizes = df.agg(*[F.approx_count_distinct(col(c)) for c in names]).first()
+    share = F.lit(0.0)
+    for c, n in zip(names, sizes, strict=True):
+        share = F.when(F.col("feature") == c, F.lit(min(1.0, TEXT_SAMPLE / max(1, n)))).otherwise(share)
+    # about TEXT_SAMPLE values per feature place the edges; every row is still binned
+    picked = F.pmod(F.xxhash64("value"), F.lit(SAMPLE_SLOTS)) < share * SAMPLE_SLOTS
+    sample = per_value.where(picked).select("feature", "value").distinct().collect()
     number = F.lit(0)
     for c in names:
         known = sorted(r["value"] for r in sample if r["feature"] == c)

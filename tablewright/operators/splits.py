@@ -18,7 +18,7 @@ from tablewright.functions.schema import col, drop_columns, numeric_columns
 from tablewright.functions.stats import to_micros
 from tablewright.plans.cuts import CELL_ROWS, hash_cuts, segment_by_cuts
 from tablewright.plans.selection import exact_quantiles, order_statistics
-from tablewright.plans.totals import bucket_edges, with_bucket
+from tablewright.plans.totals import weighted_edges, with_bucket
 
 MAX_STRATA = 1_000
 
@@ -236,17 +236,24 @@ def global_row_number(
 ) -> DataFrame:
     """1-based position after sorting by ``order`` (a number or date), ties in hash order.
 
-    Cells are value ranges; a value that fills several ranges on its own is cut further by
-    digest prefix. Cell offsets come from a window over cell counts.
+    Cells are value ranges; a value that fills several ranges on its own is cut into as many
+    digest ranges, so there are at most three cells per bucket. Cell offsets come from a
+    window over cell counts.
     """
     number = col(order).cast("double") if order in numeric_columns(df) else to_micros(col(order)).cast("double")
     keyed = df.withColumns({"_v": number, "_h": hash_order(key, seed)})
-    edges = bucket_edges(keyed.where("_v IS NOT NULL"), "_v")
-    on_edge = F.col("_v").isin(edges) if edges else F.lit(False)
-    cells = with_bucket(keyed.where("_v IS NOT NULL"), "_v", edges, "_b").withColumns(
+    known = keyed.where("_v IS NOT NULL")
+    weights = weighted_edges(known, "_v")
+    on_edge = F.col("_v").isin(list(weights)) if weights else F.lit(False)
+    heavy = {e: n for e, n in weights.items() if n > 1}
+    parts = F.lit(1)
+    if heavy:
+        pairs = [F.lit(x) for e, n in heavy.items() for x in (e, n)]
+        parts = F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("_v")), F.lit(1))
+    cells = with_bucket(known, "_v", list(weights), "_b").withColumns(
         {
             "_above": (~on_edge).cast("int"),
-            "_sub": F.when(on_edge, hash_prefix(F.col("_h"), 2)).otherwise(F.lit(0)),
+            "_sub": F.floor(hash_prefix(F.col("_h")) * parts / F.lit(65536)).cast("int"),
         }
     )
     cell = ["_b", "_above", "_sub"]

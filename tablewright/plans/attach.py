@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.schema import col
+from tablewright.plans.lineage import cut
 
 BROADCAST_GROUPS = 100_000
 HOT_FRACTION = 1_000
@@ -31,10 +32,12 @@ def attach_group_stats(
 ) -> DataFrame:
     """Left join of one-row-per-key ``stats`` to ``df`` on ``keys``.
 
-    Few keys: the statistics are broadcast and the rows do not move. Many keys: rows of
+    The statistics are written to the checkpoint folder once, since both the size check and
+    the join read them. Few keys: they are broadcast and the rows do not move. Many keys: rows of
     keys above ``rows / HOT_FRACTION`` (at most ``HOT_FRACTION`` such keys can exist) are
     spread over ``salts`` partitions, and only those keys' statistics are replicated.
     """
+    stats = cut(stats)
     if has_at_most(stats, broadcast_groups):
         return df.join(F.broadcast(stats), list(keys), "left")
     limit = max(1, rows // HOT_FRACTION)

@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from tablewright.functions.schema import col
 from tablewright.plans.binning import binned_long
 
-EXACT_ROWS = 20_000
+EXACT_ROWS = 4_000
+COLUMNS_PER_PASS = 50
 BUILTIN_ROWS = 50_000
 MIN_ACCURACY, MAX_ACCURACY = 1_000, 10_000
 
@@ -170,6 +171,12 @@ def exact_quantiles(
     """Linear-interpolation quantiles per column (NULL ignored), computed exactly."""
     if not columns:
         return {}
+    if len(columns) > COLUMNS_PER_PASS:
+        # bounds what one aggregation row, and the driver, has to hold
+        head, rest = columns[:COLUMNS_PER_PASS], columns[COLUMNS_PER_PASS:]
+        return exact_quantiles(df, head, probs, builtin_rows, exact_rows) | exact_quantiles(
+            df, rest, probs, builtin_rows, exact_rows
+        )
     frame = df.select(*[col(c).cast("double").alias(c) for c in columns])
     sizes = frame.agg(*[F.count(col(c)).alias(c) for c in columns]).first().asDict()
     out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns}

@@ -9,6 +9,7 @@ bucketed, so one value holding most of the rows is still a single row here.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -20,10 +21,13 @@ MAX_BUCKETS = 20_000
 FIRST_BUCKETS = 64
 
 
-def bucket_edges(
+def weighted_edges(
     df: DataFrame, column: str, rows_per_bucket: int = ROWS_PER_BUCKET, max_buckets: int = MAX_BUCKETS
-) -> list[float]:
-    """Interior edges that leave about ``rows_per_bucket`` rows between two of them."""
+) -> dict[float, int]:
+    """Interior edges about ``rows_per_bucket`` rows apart, with how many quantile points each one is.
+
+    An edge that is several points in a row stands for a value with that many buckets of rows.
+    """
 
     def sketch(n: int) -> tuple[list[float], int]:
         points = [i / n for i in range(1, n)]
@@ -36,7 +40,13 @@ def bucket_edges(
     need = min(max_buckets, math.ceil(rows / rows_per_bucket))
     if need > FIRST_BUCKETS:
         edges, _ = sketch(need)
-    return sorted(set(edges or []))
+    return dict(sorted(Counter(edges or []).items()))
+
+
+def bucket_edges(
+    df: DataFrame, column: str, rows_per_bucket: int = ROWS_PER_BUCKET, max_buckets: int = MAX_BUCKETS
+) -> list[float]:
+    return list(weighted_edges(df, column, rows_per_bucket, max_buckets))
 
 
 def with_bucket(df: DataFrame, column: str, edges: Sequence[float], out: str = "bucket") -> DataFrame:
