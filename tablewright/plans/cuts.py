@@ -42,9 +42,8 @@ def hash_cuts(
         wanted = spark.createDataFrame(flat, f"g {g_type}, r bigint")
         digits = _digits(largest_group, cell_rows)
         cell = F.substring("h", 1, digits) if digits else F.lit("")
-        cells = rows.join(F.broadcast(wanted.select("g").distinct()), "g", "left_semi").withColumn(
-            "cell", cell
-        )
+        # groups and cells are filtered by literal sets, which costs no join and no broadcast
+        cells = rows.where(F.col("g").isin(list(found))).withColumn("cell", cell)
         if digits:
             # at most 16**digits rows per group: a bounded window over counts, not over rows
             sums = (
@@ -59,14 +58,16 @@ def hash_cuts(
                 .select("g", "cell", "r", "before")
                 .collect()
             )
-            wanted = spark.createDataFrame(
-                [tuple(x) for x in hits], f"g {g_type}, cell string, r bigint, before bigint"
-            )
         else:
-            wanted = wanted.select("g", F.lit("").alias("cell"), "r", F.lit(0).cast("bigint").alias("before"))
+            hits = [(g, "", r, 0) for g, r in flat]
+        wanted = spark.createDataFrame(
+            [tuple(x) for x in hits], f"g {g_type}, cell string, r bigint, before bigint"
+        )
+        name = F.concat_ws("|", "cell", F.col("g").cast("string"))
+        held = [x["n"] for x in wanted.select(name.alias("n")).collect()]
         in_cell = Window.partitionBy("g", "cell").orderBy("h")
         ranked = (
-            cells.join(F.broadcast(wanted.select("g", "cell").distinct()), ["g", "cell"], "left_semi")
+            cells.where(name.isin(sorted(set(held))))
             .groupBy("g", "cell", "h")
             .count()
             .withColumn("upto", F.sum("count").over(in_cell))

@@ -5,8 +5,9 @@ from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
-from tablewright.operators import splits, train
+from tablewright.operators import explain, report, splits, train
 from tablewright.plans.lineage import scratch_path
+from tablewright.sources.models import load_run, save_run
 from tablewright.streaming import monitor
 
 KEY = ["id"]
@@ -107,3 +108,45 @@ def test_backtest_by_cutoff(noise):
     scores, agg = train.temporal_backtest(df, "y", "d", KEY, "2024-05-01", drop=["d"], estimators=ols, blend=False)
     assert {r["fold"] for r in scores.collect()} == {1}
     assert agg.where("metric = 'r2'").first()["mean"] == pytest.approx(1.0)
+
+
+def test_reports_and_saved_run(spark, three, tmp_path):
+    df = three.withColumns({"a2": F.col("a") * 2, "y": (F.col("y") == "top").cast("int")})
+    out = report.train_report(df, "y", KEY, profile_first=True, estimators=tree(), blend=False)
+    assert out["dropped"] == ["a"] and out["run"].features == ["b", "c", "a2"]
+    codes = {r["code"] for r in out["findings"].collect()}
+    assert {"few_models", "small_test", "low_importance"} <= codes
+    assert out["artifacts"]["confusion_matrix"].count() == 4 and out["artifacts"]["roc_auc"].first()[0] > 0.9
+    assert "b" in {r["feature"] for r in out["low_importance"].collect()}
+
+    path = str(tmp_path / "run")
+    save_run(spark, out["run"], path)
+    again = load_run(spark, path)
+    assert again.info() == out["run"].info()
+    first = out["run"].score(df).orderBy("id").select("id", "prob_1", "y_predicted").collect()
+    assert again.score(df).orderBy("id").select("id", "prob_1", "y_predicted").collect() == first
+
+    tables = report.score_report(again, df, df, KEY, min_confidence=0.9)
+    assert tables["summary"].first()["has_ground_truth"] and tables["drift"].where("status <> 'no_drift'").count() == 0
+    assert sum(r["count"] for r in tables["distribution"].collect()) == 400
+    assert "flagged_low_confidence" in tables["predictions"].columns
+
+    source = str(tmp_path / "in")
+    df.drop("y").write.parquet(source)
+    stream = spark.readStream.schema(df.drop("y").schema).parquet(source)
+    to = scratch_path(spark, "scored")
+    query = again.score(stream).writeStream.option("checkpointLocation", scratch_path(spark, "s")).trigger(availableNow=True).start(to, format="parquet")
+    query.awaitTermination()
+    assert spark.read.parquet(to).orderBy("id").select("id", "prob_1", "y_predicted").collect() == first
+
+
+def test_regression_reports(spark, noise):
+    df = noise(150, "x").select("id", "x", (2 * F.col("x")).alias("y"))
+    ols = {"Linear": LinearRegression(featuresCol="_features", labelCol="_label", solver="normal")}
+    out = report.train_report(df, "y", KEY, estimators=ols, blend=False)
+    assert out["artifacts"]["residual_stats"].first()["r2"] == pytest.approx(1.0)
+    tables = report.score_report(out["run"], df)
+    assert {"residual", "y_predicted"} <= set(tables["predictions"].columns)
+    shap = explain.shapley_values(df, ["x"], KEY, out["run"].predict, background_rows=10, max_rows=20)
+    meta = report.explanation_tables(shap, KEY, ["x"])["metadata"].first()
+    assert meta["n_rows"] == 20 and meta["n_features"] == 1 and meta["top_features"] == ["x"]

@@ -108,11 +108,6 @@ def _tree():
     return {"DecisionTree": DecisionTreeClassifier(featuresCol="_features", labelCol="_label", maxDepth=4)}
 
 
-SPLIT_EVENTS = """(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(concat_ws('|', event_id, '42'))) AS i,
-   count(*) OVER (PARTITION BY label) AS n, count(*) OVER () AS total FROM
-   (SELECT event_id, ((value > 60 AND hour(ts) < 16) OR (event_type = 'purchase' AND day(ts) > 20))::INT AS label FROM events)))"""
-
-
 @R.add("""SELECT event_id, true AS sums_to_one, true AS confidence_is_largest, true AS predicted_is_largest FROM events""")
 def batch_score(spark, sf_dir):
     """Every row is scored; probabilities sum to one and the prediction is the largest."""
@@ -231,6 +226,28 @@ def stream_score(spark, sf_dir):
     return spark.read.parquet(out)
 
 
+@R.add("""SELECT event_id, true AS sums_to_one, true AS flag_agrees FROM events""")
+def stream_model_score(spark, sf_dir):
+    """A fitted model on a stream of raw events."""
+    run, _, _ = _fit_purchases(spark, sf_dir, estimators=_tree(), blend=False)
+    out, state = scratch_path(spark, "model-scored"), scratch_path(spark, "model-state")
+    raw = event_stream(spark, sf_dir).select(
+        "event_id", "value", "event_type", F.hour("ts").alias("hour"), F.dayofmonth("ts").alias("day")
+    )
+    query = (
+        monitor.score_stream(raw, run.score, 0.8)
+        .writeStream.option("checkpointLocation", state)
+        .trigger(availableNow=True)
+        .start(out, format="parquet")
+    )
+    query.awaitTermination()
+    return spark.read.parquet(out).select(
+        "event_id",
+        (F.abs(F.col("prob_0") + F.col("prob_1") - 1) < 1e-9).alias("sums_to_one"),
+        (F.col("flagged_low_confidence") == (F.col("confidence") < 0.8)).alias("flag_agrees"),
+    )
+
+
 EDGES10 = "[0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]"
 STREAM_DRIFT = f"""
 WITH t AS (SELECT value FROM events WHERE ts < TIMESTAMP '2024-01-11'),

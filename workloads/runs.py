@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablewright.operators import findings, runs
+from tablewright.operators import findings, runs, train
 from tablewright.plans.lineage import scratch_path
 from tablewright.sources import readers, writers
 from workloads.common import Registry, rounded, table
@@ -128,6 +128,13 @@ def importance_findings(spark, sf_dir):
     return out.select("run_id", F.concat_ws(",", "low").alias("low"), F.concat_ws(",", "harmful").alias("harmful"))
 
 
+@R.add(f"SELECT run_id, feature, importance < 0 AS negative FROM {IMPORTANCE} WHERE importance <= 0.001")
+def low_importance(spark, sf_dir):
+    table_ = importance(spark, sf_dir).select("run_id", F.struct("run_id", "feature").alias("feature"), "importance")
+    low = train.low_importance(table_)
+    return low.select("feature.run_id", "feature.feature", "negative")
+
+
 @R.add(f"""SELECT run_id, n_train < n_features * 10 AS few_rows_per_feature, n_test < 100 AS small_test FROM {SIZES}""")
 def size_findings(spark, sf_dir):
     return findings.size_findings(run_sizes(spark, sf_dir)).drop("rows_per_feature")
