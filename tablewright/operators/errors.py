@@ -26,7 +26,7 @@ def join_predictions(predictions: DataFrame, rows: DataFrame, key: Sequence[str]
     )
     if n_pred != n_rows or bad:
         raise ValueError(
-            f"Row count mismatch: {n_pred} predictions vs {n_rows} test rows, {bad} keys do not pair up"
+            f"Row count mismatch: {n_pred} predictions, {n_rows} rows, {bad} keys do not pair up"
         )
     extra = [c for c in rows.columns if c not in predictions.columns]
     return predictions.join(rows.select(*key, *extra), list(key))
@@ -114,7 +114,7 @@ def error_hints(df: DataFrame) -> DataFrame:
     classes = class_error_shares(df).where("overrepresented").select(
         F.lit("overrepresented_class").alias("code"),
         F.format_string(
-            "Class %s is overrepresented in errors: %.1f%% of errors vs %.1f%% of rows",
+            "Class %s makes up %.1f%% of the errors but only %.1f%% of the rows",
             "class",
             F.col("error_share") * 100,
             F.col("prevalence") * 100,
@@ -124,13 +124,13 @@ def error_hints(df: DataFrame) -> DataFrame:
     confident = summary.where("confident_errors > 0").select(
         F.lit("confident_errors").alias("code"),
         F.format_string(
-            "%d errors have confidence > 0.9: check for label noise or leakage", "confident_errors"
+            "%d wrong predictions were made with over 0.9 confidence: suspect noisy labels or leakage", "confident_errors"
         ).alias("hint"),
     )
     close = summary.where("close_calls > 0").select(
         F.lit("close_calls").alias("code"),
         F.format_string(
-            "%d errors are close-call (margin < 0.1, confidence < 0.6): the model is uncertain",
+            "%d wrong predictions were near ties between two classes: more data or features may separate them",
             "close_calls",
         ).alias("hint"),
     )
@@ -176,12 +176,12 @@ def residual_hints(df: DataFrame) -> DataFrame:
     summary = residual_summary(df)
     bias = summary.where("bias IS NOT NULL").select(
         F.lit("bias").alias("code"),
-        F.format_string("Model is systematically %s (mean residual = %.2f)", "bias", "mean_residual").alias("hint"),
+        F.format_string("the model is %s on average (mean residual %.2f)", "bias", "mean_residual").alias("hint"),
     )
     spread = summary.where("heteroscedastic").select(
         F.lit("heteroscedastic").alias("code"),
         F.format_string(
-            "Error size correlates with the target (r = %.2f): consider a log target", "size_correlation"
+            "errors grow or shrink with the target (r %.2f): a log target may help", "size_correlation"
         ).alias("hint"),
     )
     return bias.unionByName(spread)
