@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import token_counts
+from tablewright.llm import line_frequency, mixing, sharding, token_counts
 from tablewright.llm.common import read_table
 from workloads.common import Registry
 
@@ -17,3 +17,29 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_counts.over_limit(token_counts.count_tokens(docs))
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@R.add()
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    mixed = mixing.mix(docs)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
+
+
+@R.add()
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    placed = sharding.shard(docs, shards=24)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+@R.add()
+def op9_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    judged = line_frequency.apply_rules(docs)
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "n_removed_lines", "n_lost_words",
+    )
