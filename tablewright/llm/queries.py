@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import decontamination, line_frequency, mixing, sharding, token_counts
+from tablewright.llm import decontamination, jaccard_join, line_frequency, mixing, sharding, token_counts
 from tablewright.llm.common import read_table
 from workloads.common import Registry
 
@@ -50,3 +50,9 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     leaks = decontamination.find_leaks(docs, read_table(spark, sf_dir, "benchmark"))
     return leaks.select("doc_id", "item_id", "item_words", "matched_words", "coverage", F.size("tiles").alias("n_tiles"))
+
+
+@R.add()
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_join.join_components(docs).select("doc_id", "n_shingles", "component_id")
