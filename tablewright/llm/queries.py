@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import decontamination, jaccard_join, line_frequency, mixing, sharding, token_counts
-from tablewright.llm.common import read_table
+from tablewright.llm import decontamination, jaccard_join, line_frequency, mixing, sharding, token_counts, toxicity
+from tablewright.llm.common import held_out, read_table
 from workloads.common import Registry
 
 R = Registry()
@@ -56,3 +56,11 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return jaccard_join.join_components(docs).select("doc_id", "n_shingles", "component_id")
+
+
+@R.add()
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
