@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import decontamination, jaccard_join, line_frequency, mixing, sharding, token_counts, toxicity
+from tablewright.llm import decontamination, jaccard_join, language_id, line_frequency, mixing, sharding, token_counts, toxicity
 from tablewright.llm.common import held_out, read_table
 from workloads.common import Registry
 
@@ -64,3 +64,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@R.add()
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = language_id.fit(docs)
+    named = language_id.predict(docs.select("doc_id", "text"), model)
+    return named.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
