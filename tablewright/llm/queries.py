@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import decontamination, jaccard_join, language_id, line_frequency, mixing, sharding, token_counts, toxicity
+from tablewright.llm import decontamination, importance, jaccard_join, language_id, line_frequency, mixing, sharding, token_counts, toxicity
 from tablewright.llm.common import held_out, read_table
 from workloads.common import Registry
 
@@ -72,3 +72,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.fit(docs)
     named = language_id.predict(docs.select("doc_id", "text"), model)
     return named.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@R.add()
+def op4_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample is as large as the share of good documents among the labelled ones."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels").where("quality IS NOT NULL")
+    share = labels.agg(F.avg(F.col("quality").cast("double"))).first()[0]
+    sample = importance.resample(docs, labels.where("quality = 1"), share=1.0 if share is None else share)
+    return sample.select("doc_id", "log_weight", "sample_key", "kept")

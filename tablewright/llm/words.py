@@ -7,6 +7,7 @@ the batch; one longer text makes one longer slice.
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,8 +16,12 @@ SLICE = 1 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
 #: Odd multipliers of the words of a shingle.
 PLACES = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
-SPACE = np.zeros(256, bool)
-SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Kinds of bytes: white space 0, all else 1.
+WORDS = np.ones(256, np.uint8)
+WORDS[[0x20, *range(0x09, 0x0E)]] = 0
+#: The same, ASCII punctuation apart as 2.
+WORDS_AND_MARKS = WORDS.copy()
+WORDS_AND_MARKS[list(string.punctuation.encode())] = 2
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -49,16 +54,22 @@ def slices(texts: list[bytes | None]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def hash_words(texts: list[bytes | None], lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of one slice: word hashes, the row of each word, and its first and past-last byte in its text."""
-    parts = [(t.lower() if lower else t) if t else b"" for t in texts]
+def hash_words(
+    texts: list[bytes | None], kinds: np.ndarray = WORDS
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of one slice, A-Z as a-z: word hashes, the row of each word, and its first and past-last byte in its text.
+
+    A word is a run of bytes of one kind other than 0.
+    """
+    parts = [t.lower() if t else b"" for t in texts]
     data = np.frombuffer(b" ".join([*parts, b""]), np.uint8)
     if not len(data):
         empty = np.zeros(0, np.int64)
         return empty.astype(np.uint64), empty, empty, empty
-    solid = ~SPACE[data]
-    edge = np.flatnonzero(np.diff(np.r_[False, solid, False].astype(np.int8)))
-    first, past = edge[::2], edge[1::2]
+    kind = kinds[data]
+    edge = np.r_[0, np.flatnonzero(kind[1:] != kind[:-1]) + 1, len(data)]
+    solid = kind[edge[:-1]] > 0
+    first, past = edge[:-1][solid], edge[1:][solid]
     up, down = powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
