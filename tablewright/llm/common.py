@@ -15,12 +15,10 @@ from tablewright.plans.lineage import cut
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows per Arrow batch: a thousand long documents fit beside each other in a Python worker.
 BATCH_ROWS = 500
-COPIES_PER_TASK = 4_096
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    fit_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -33,12 +31,16 @@ def append_columns(
     """Add columns computed from the bytes of ``text``, one Arrow batch at a time.
 
     ``make`` runs once per task and returns the function of a batch; that returns one sequence per
-    column of ``schema``. An input column with the name of a new one is replaced.
+    column of ``schema``. An input column with the name of a new one is replaced. Names that begin with an
+    underscore are kept for the operators.
     """
     new = T.StructType.fromDDL(schema)
     kept = [f for f in df.schema if f.name not in new.names]
-    source = df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text}`").alias("_text_in"))
     names = [f.name for f in kept]
+    source = df.select(*[F.col(f"`{n}`") for n in names])
+    if text not in names:
+        source = source.withColumn("_text_in", df[f"`{text}`"])
+    place = names.index(text) if text in names else len(names)
     out = T.StructType([*kept, *new])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,13 +49,19 @@ def append_columns(
         work = make()
         types = to_arrow_schema(new)
         for batch in batches:
-            made = work(batch.column(len(names)).cast(pa.binary()).to_pylist())
+            made = work(batch.column(place).cast(pa.binary()).to_pylist())
             arrays = [pa.array(v, type=t.type) for v, t in zip(made, types, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(names))] + arrays, names + new.names)
 
     return source.mapInArrow(run, out)
 
 
+def fit_batches(spark: SparkSession) -> None:
+    """Batches of few documents, so that long ones fit a worker."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def explode_from(
     df: DataFrame, text: str, keys: Sequence[str], schema: str, make: Callable[[], Callable]
 ) -> DataFrame:

@@ -71,8 +71,8 @@ def fingerprint(s: np.ndarray) -> int:
     return int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum().view(np.int64)) if len(s) else 0
 
 
-def with_sets(docs: DataFrame, text: str) -> DataFrame:
-    """``n_shingles`` and ``_class``: equal for equal sets."""
+def with_sets(docs: DataFrame, text: str, size: str = "n_shingles") -> DataFrame:
+    """The set's size and ``_class``: equal for equal sets."""
 
     def make():
         def work(texts):
@@ -81,7 +81,7 @@ def with_sets(docs: DataFrame, text: str) -> DataFrame:
 
         return work
 
-    return append_columns(docs, text, "n_shingles bigint, _class bigint", make)
+    return append_columns(docs, text, f"{size} bigint, _class bigint", make)
 
 
 def smallest_hashes(docs: DataFrame, text: str, key: str) -> DataFrame:
@@ -294,6 +294,6 @@ def one_per_component(docs: DataFrame, text: str = "text", key: str = "doc_id")
     chosen = named.where(F.col(f"`{key}`").eqNullSafe(F.col("component_id")) & (F.col("n_shingles") > 0))
     chosen = chosen.select(null_safe(F.col(f"`{key}`")).alias("_key"), "_class").distinct()
     names = [F.col(f"`{c}`") for c in docs.columns]
-    tagged = with_sets(docs.withColumn("_key", null_safe(F.col(f"`{key}`"))).withColumn("_body", F.col(f"`{text}`")), "_body")
-    worded = tagged.where("n_shingles > 0").join(chosen, ["_key", "_class"], "left_semi").dropDuplicates(["_key", "_class"])
-    return worded.select(*names).union(tagged.where("n_shingles = 0").select(*names))
+    tagged = with_sets(docs.withColumn("_key", null_safe(F.col(f"`{key}`"))), text, "_size")
+    worded = tagged.where("_size > 0").join(chosen, ["_key", "_class"], "left_semi").dropDuplicates(["_key", "_class"])
+    return worded.select(*names).union(tagged.where("_size = 0").select(*names))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import decontamination, importance, jaccard_join, language_id, line_frequency, mixing, sharding, token_counts, toxicity
+from tablewright.llm import decontamination, importance, jaccard_join, language_id, line_frequency, mixing, sharding, substring_dedup, token_counts, toxicity
 from tablewright.llm.common import held_out, read_table
 from workloads.common import Registry
 
@@ -82,3 +82,10 @@ def op4_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     share = labels.agg(F.avg(F.col("quality").cast("double"))).first()[0]
     sample = importance.resample(docs, labels.where("quality = 1"), share=1.0 if share is None else share)
     return sample.select("doc_id", "log_weight", "sample_key", "kept")
+
+
+@R.add()
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    spans = substring_dedup.repeated_spans(docs)
+    return spans.select("doc_id", "first_word", "n_words", "component_id", "first_doc", "removed")

@@ -298,6 +298,15 @@ def score(docs: DataFrame, model: tuple[Lexicon, list[float]], text: str = "text
 
 def drop_toxic(docs: DataFrame, model: tuple[Lexicon, list[float]], text: str = "text") -> DataFrame:
     """Documents that the grammar does not reject, columns as they were."""
-    kept = docs.columns
-    marked = score(docs.withColumn("_body", F.col(f"`{text}`")).select(F.struct("*").alias("_row"), "_body"), model, "_body")
-    return marked.where("predicted = 0").select(*[F.col(f"_row.`{c}`") for c in kept])
+    lexicon, coefficients = model
+
+    def make():
+        scorer = Scorer(lexicon, coefficients)
+
+        def work(texts):
+            return [[scorer.score(t.decode() if t else "") >= 0.5 for t in texts]]
+
+        return work
+
+    marked = append_columns(docs, text, "_toxic boolean", make)
+    return marked.where("NOT _toxic").select(*[F.col(f"`{c}`") for c in docs.columns])
