@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright import constants as K
-from tablewright.functions.schema import col, numeric_columns
+from tablewright.functions.schema import col, nan_to_null, numeric_columns
 from tablewright.functions.stats import pair_corr, pair_count
 
 PAIRS_PER_SCAN = 150
@@ -28,6 +28,7 @@ def correlation_long(
     Pairwise-complete moments in one aggregation. Tables wider than ``WIDE`` columns use
     one distributed Gramian for the columns without NULLs and pair moments for the rest.
     """
+    df = nan_to_null(df)
     names = list(columns) if columns is not None else numeric_columns(df)
     if label in names:
         names = [c for c in names if c != label] + [label]

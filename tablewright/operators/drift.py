@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright import constants as K
-from tablewright.functions.schema import col, numeric_columns
+from tablewright.functions.schema import col, nan_to_null, numeric_columns
 from tablewright.plans.binning import binned_long
 from tablewright.plans.selection import exact_quantiles
 
@@ -40,6 +40,7 @@ def side_stats(df: DataFrame, edges: Mapping[str, Sequence[float]]) -> DataFrame
 
     Moments are summed per bin around the middle edge, so they stay exact when combined.
     """
+    df = nan_to_null(df)
     centre = {f: (v[len(v) // 2] if v else 0.0) for f, v in edges.items()}
     long = binned_long(df, {f: col(f) for f in edges}, edges)
     middle = F.lit(0.0)

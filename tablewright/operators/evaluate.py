@@ -307,7 +307,7 @@ def residual_stats(scored: DataFrame, actual: str = "actual", predicted: str = "
     """One row: mean, median, sample std, min, max, MAE, RMSE and R2 of ``actual - predicted``."""
     rows = scored.select(
         col(actual).cast("double").alias("a"), (col(actual) - col(predicted)).cast("double").alias("r")
-    ).where("r IS NOT NULL")
+    ).where("r IS NOT NULL AND NOT isnan(r)")
     median = exact_quantiles(rows, ["r"], [0.5])["r"][0]
     r = F.col("r")
     return rows.agg(

@@ -7,6 +7,7 @@ MLlib ``transform`` wrapped by :func:`tablewright.operators.train.Fitted.predict
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Sequence
 from itertools import combinations
@@ -105,15 +106,16 @@ def shapley_values(
     predict: Predict,
     background: DataFrame | None = None,
     background_rows: int = K.SHAP_BACKGROUND,
-    max_rows: int | None = K.SHAP_ROWS,
+    max_rows: int | None = None,
     permutations: int = 32,
     seed: int = K.SEED,
 ) -> DataFrame:
-    """Long ``(key..., feature, shap_value, feature_value, prediction, base_value)``.
+    """Long ``(key..., prediction, base_value, method, feature, shap_value, feature_value)``.
 
     Up to ``EXACT_FEATURES`` features every coalition is evaluated, which is exact for the
-    given background; above that, random orderings are averaged. All copies of a row are
-    aggregated in the task that made them before anything is shuffled.
+    given background (``method`` is ``exact``); above that, random orderings are averaged (``sampled``). All
+    copies of a row are aggregated in the task that made them before anything is shuffled. For one class of
+    several, pass a ``predict`` that gives its probability.
     """
     require_columns(df, [*features, *key], "shapley_values")
     source = df if background is None else background
@@ -125,13 +127,14 @@ def shapley_values(
         "_own", F.struct(*[col(f).alias(f) for f in features])
     )
     with_base = own.withColumn("_bg", F.explode(_literal_rows(base_rows, df, features)))
-    if len(features) <= EXACT_FEATURES:
+    exact = len(features) <= EXACT_FEATURES
+    if exact:
         copies, weights = _coalitions(with_base, features)
+        full, none = F.col("_in") == 2 ** len(features) - 1, F.col("_in") == 0
     else:
         copies, weights = _orderings(with_base, features, permutations, seed)
+        full, none = F.col("_step") == len(features), F.col("_step") == 0
     scored = predict(copies)
-    full = _subset_is(features, full=True)
-    none = _subset_is(features, full=False)
     per_row = scored.groupBy(*[col(k) for k in key]).agg(
         F.first("_own").alias("_own"),
         F.avg(F.when(full, F.col("prediction"))).alias("prediction"),
@@ -151,20 +154,14 @@ def shapley_values(
             for i, f in enumerate(features)
         ]
     )
-    return per_row.select(*[col(k) for k in key], "prediction", "base_value", F.inline(cells))
+    return per_row.select(*[col(k) for k in key], "prediction", "base_value", F.lit("exact" if exact else "sampled").alias("method"), F.inline(cells))
 
 
-def _subset_is(features: Sequence[str], full: bool) -> Column:
-    return F.col("_in") == (2 ** len(features) - 1 if full else 0)
-
-
-def _use(copies: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Feature ``i`` comes from the explained row when bit ``i`` of ``_in`` is set."""
-    bit = {f: F.lit(1 << i) for i, f in enumerate(features)}
+def _use(copies: DataFrame, features: Sequence[str], has: Callable[[int], Column]) -> DataFrame:
+    """Feature ``i`` comes from the explained row where ``has(i)``, else from the background row."""
+    place = {f: i for i, f in enumerate(features)}
     return _replace(
-        copies,
-        features,
-        lambda f: F.when(F.col("_in").bitwiseAND(bit[f]) > 0, F.col(f"_own.`{f}`")).otherwise(F.col(f"_bg.`{f}`")),
+        copies, features, lambda f: F.when(has(place[f]), F.col(f"_own.`{f}`")).otherwise(F.col(f"_bg.`{f}`"))
     )
 
 
@@ -174,44 +171,35 @@ def _coalitions(df: DataFrame, features: Sequence[str]) -> tuple[DataFrame, list
     size = F.bit_count("_in")
     # weight of adding a feature to a coalition that already holds s others
     table = F.array(*[F.lit(math.factorial(s) * math.factorial(n - s - 1) / math.factorial(n)) for s in range(n)])
-    weights = []
-    for i in range(n):
-        has = F.col("_in").bitwiseAND(F.lit(1 << i)) > 0
-        weights.append(F.when(has, F.get(table, size - 1)).otherwise(-F.get(table, size)))
-    return _use(copies, features), weights
+
+    def has(i: int) -> Column:
+        return F.col("_in").bitwiseAND(F.lit(1 << i)) > 0
+
+    weights = [F.when(has(i), F.get(table, size - 1)).otherwise(-F.get(table, size)) for i in range(n)]
+    return _use(copies, features, has), weights
 
 
 def _orderings(
     df: DataFrame, features: Sequence[str], permutations: int, seed: int
 ) -> tuple[DataFrame, list[Column]]:
-    """Orderings of the features by digest; step ``k`` of one holds its first ``k`` features."""
-    import hashlib
-
+    """Orderings of the features by digest. In step ``k`` of one a row has the ``k`` features that come first."""
     n = len(features)
-    steps = []
-    for p in range(permutations):
+
+    def places(p: int) -> list[int]:
         order = sorted(range(n), key=lambda i: hashlib.md5(f"{features[i]}|{p}|{seed}".encode()).hexdigest())
-        held = 0
-        for k in range(n + 1):
-            added, following = (order[k - 1] if k else -1), (order[k] if k < n else -1)
-            steps.append((held, added, following))
-            if k < n:
-                held |= 1 << order[k]
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(h).cast("bigint").alias("s"), F.lit(a).alias("added"), F.lit(b).alias("following")
-            )
-            for h, a, b in steps
-        ]
-    )
-    copies = df.withColumn("_step", F.explode(cells)).withColumn("_in", F.col("_step.s"))
+        return [order.index(i) for i in range(n)]
+
+    orders = F.array(*[F.array(*[F.lit(x) for x in places(p)]) for p in range(permutations)])
+    copies = df.withColumn("_places", F.explode(orders)).withColumn("_step", F.explode(F.sequence(F.lit(0), F.lit(n))))
+
+    def place(i: int) -> Column:
+        return F.get("_places", F.lit(i))
+
     weights = [
-        (F.when(F.col("_step.added") == i, 1.0).when(F.col("_step.following") == i, -1.0).otherwise(0.0))
-        / F.lit(float(permutations))
+        F.when(place(i) == F.col("_step") - 1, 1.0).when(place(i) == F.col("_step"), -1.0).otherwise(0.0) / F.lit(float(permutations))
         for i in range(n)
     ]
-    return _use(copies, features), weights
+    return _use(copies, features, lambda i: place(i) < F.col("_step")), weights
 
 
 def shap_summary(shap: DataFrame) -> DataFrame:
@@ -299,6 +287,9 @@ def pdp_grid(df: DataFrame, features: Sequence[str], n_values: int = K.PDP_GRID)
         ).first()
         for i, f in enumerate(numeric):
             lo, hi = row[i], row[len(numeric) + i]
+            if lo is None:
+                grid[f] = []
+                continue
             step = (hi - lo) / max(1, n_values - 1)
             grid[f] = [lo + step * k for k in range(n_values - 1)] + [hi]
     for f in text:
@@ -313,12 +304,12 @@ def partial_dependence(
     features: Sequence[str],
     key: Sequence[str],
     n_values: int = K.PDP_GRID,
-    sample_size: int | None = K.PDP_SAMPLE,
+    sample_size: int | None = None,
     seed: int = K.SEED,
 ) -> DataFrame:
     """``feature, position, is_numeric, grid, pdp``: mean prediction with the feature set to each value.
 
-    ``sample_size=None`` averages over every row. All curves come from one scoring pass, and
+    Every row counts unless ``sample_size`` asks for fewer. A feature without a value has no curve. All curves come from one scoring pass, and
     copies are averaged before they are shuffled.
     """
     require_columns(df, [*features, *key], "partial_dependence")

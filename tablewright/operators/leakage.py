@@ -17,7 +17,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright import constants as K
-from tablewright.functions.schema import col, feature_columns, is_classification, label_values, require_columns
+from tablewright.functions.schema import (
+    col,
+    feature_columns,
+    is_classification,
+    label_values,
+    nan_to_null,
+    require_columns,
+)
 from tablewright.functions.stats import to_micros
 from tablewright.operators.splits import assign_folds
 from tablewright.plans.binning import binned_long
@@ -150,6 +157,7 @@ def leakage_scores(
     Rows without a label are dropped, rows without a value are dropped per feature, and a
     feature with fewer than ten rows left is skipped.
     """
+    df = nan_to_null(df)
     require_columns(df, [label, *key], "leakage_scores")
     names = list(features) if features is not None else feature_columns(df, label, key)
     known = df.where(col(label).isNotNull())

@@ -13,6 +13,7 @@ from tablewright.functions.schema import (
     categorical_columns,
     col,
     is_classification,
+    nan_to_null,
     numeric_columns,
     require_columns,
 )
@@ -74,6 +75,7 @@ def overview(df: DataFrame) -> DataFrame:
 
 def missing_values(df: DataFrame) -> DataFrame:
     """``feature, missing_count, missing_pct`` for every column, most missing first."""
+    df = nan_to_null(df)
 
     def build(c: str) -> Column:
         missing = F.count_if(col(c).isNull())
@@ -94,6 +96,7 @@ def numeric_profile(
     The label is included and marked. Quartiles are exact; the fences are literals by the
     time the statistics pass runs, so everything else is one aggregation.
     """
+    df = nan_to_null(df)
     columns = list(columns) if columns is not None else numeric_columns(df)
     quartiles = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
 
@@ -176,6 +179,7 @@ def label_classes(df: DataFrame, label: str) -> DataFrame:
 
 def label_summary(df: DataFrame, label: str) -> DataFrame:
     """One row describing the label, for either task type."""
+    df = nan_to_null(df)
     if label not in df.columns:
         return df.sparkSession.createDataFrame(
             [(f"label '{label}' not found in dataset",)], "error string"
@@ -256,11 +260,11 @@ def deep_profile(df: DataFrame, label: str) -> DataFrame:
             F.array(
                 F.when(
                     (skew > 1.0) & (F.col("min") >= 0) & (F.col("missing_pct") == 0),
-                    F.lit("log transform (positive skew, non-negative values)"),
-                ).when(skew < -1.0, F.lit("negative skew: reflect then log, or keep")),
+                    F.lit("long right tail and no negatives: try log"),
+                ).when(skew < -1.0, F.lit("long left tail: mirror the values first if a log is wanted")),
                 F.when(
                     out > K.OUTLIER_COLUMN_PCT,
-                    F.concat(F.format_number(out, 1), F.lit("% outliers: tree models cope")),
+                    F.concat(F.format_number(out, 1), F.lit("% of values beyond the fences: prefer splits to slopes")),
                 ),
             )
         )
@@ -290,14 +294,14 @@ def deep_profile(df: DataFrame, label: str) -> DataFrame:
                 F.lit(None).cast("double").alias("outlier_pct"),
                 n.alias("cardinality"),
                 "top_value",
-                F.when(n < 2, F.lit("constant: drop"))
-                .when(n == 2, F.lit("binary categorical: one-hot is safe"))
-                .when(n <= 20, F.format_string("low cardinality (%d): one-hot encode", n))
+                F.when(n < 2, F.lit("one value only: carries nothing"))
+                .when(n == 2, F.lit("two values: one indicator is enough"))
+                .when(n <= 20, F.format_string("%d values: an indicator each", n))
                 .when(
                     n <= 100,
-                    F.format_string("medium cardinality (%d): one-hot with _other or target mean", n),
+                    F.format_string("%d values: indicators for the frequent ones, or a label mean", n),
                 )
-                .otherwise(F.format_string("high cardinality (%d): target mean or drop", n))
+                .otherwise(F.format_string("%d values: a label mean, or leave it out", n))
                 .alias("recommendation"),
                 F.when(n.between(2, 20), F.lit("onehot")).alias("transform"),
             )

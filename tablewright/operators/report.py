@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 
 from tablewright import constants as K
 from tablewright.functions.schema import col, drop_columns
-from tablewright.operators import correlation, drift, evaluate, explain, findings, splits, train
+from tablewright.operators import correlation, drift, evaluate, explain, features, findings, splits, train
 from tablewright.operators.runs import top_leaderboard
+from tablewright.sources.writers import write_report, write_table
 
 
 def run_findings(result: dict, fit_on: DataFrame, test: DataFrame, run_id: str = "run") -> DataFrame:
@@ -118,6 +120,22 @@ def score_report(
     return out
 
 
+def engineer_and_save(
+    df: DataFrame, spec: dict, path: str, label: str | None = None, fmt: str = "parquet", out_of_range: str | None = "nan"
+) -> features.Report:
+    """Apply a transform spec and write ``<path>/data`` and, as one JSON row, ``<path>/spec``: what was asked for and done.
+
+    A table given as ``interact_top_k`` importance is named by its columns, since only plain values are JSON.
+    """
+    out, report = features.apply_transformations(df, spec, label, out_of_range)
+    write_table(out, f"{path}/data", fmt=fmt)
+    plain = json.dumps(spec, sort_keys=True, default=lambda v: getattr(v, "columns", str(v)))
+    row = [(plain, label, report.new_features, report.dropped_features, report.warnings)]
+    schema = "spec string, label string, new_features array<string>, dropped_features array<string>, warnings array<string>"
+    write_report(df.sparkSession.createDataFrame(row, schema).coalesce(1), f"{path}/spec")
+    return report
+
+
 def explanation_tables(shap: DataFrame, key: Sequence[str], features: Sequence[str]) -> dict[str, DataFrame]:
     """Wide values, summary, top features per row, and one row of metadata."""
     summary = explain.shap_summary(shap)

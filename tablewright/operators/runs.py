@@ -80,10 +80,10 @@ def run_summary(
 
 def cv_columns(cv: DataFrame) -> DataFrame:
     """``cv_<metric>_mean`` and ``cv_<metric>_std`` from ``n_folds`` and the score map."""
-    metrics = [
-        r["m"]
-        for r in cv.select(F.explode(F.map_keys("aggregate_scores")).alias("m")).distinct().limit(MAX_PARAMETERS).collect()
-    ]
+    named = cv.select(F.explode(F.map_keys("aggregate_scores")).alias("m")).distinct()
+    metrics = [r["m"] for r in named.limit(MAX_PARAMETERS + 1).collect()]
+    if len(metrics) > MAX_PARAMETERS:
+        raise ValueError(f"more than {MAX_PARAMETERS} different metrics")
     cells = [
         F.try_element_at("aggregate_scores", F.lit(m))[part].alias(f"cv_{m}_{part}")
         for m in sorted(metrics)
@@ -93,7 +93,7 @@ def cv_columns(cv: DataFrame) -> DataFrame:
 
 
 def compare_runs(spark: SparkSession, base: str) -> DataFrame:
-    """Summary of every run directory under ``base``: one scan per artifact kind."""
+    """Summary of every run directory under ``base``: one scan per artifact kind and header."""
 
     def read(name: str, schema: str | None = None) -> DataFrame | None:
         return readers.read_run_artifact(spark, base, name, schema)

@@ -7,6 +7,7 @@ come from the evaluation operators, so no prediction ever leaves the cluster.
 
 from __future__ import annotations
 
+import hashlib
 import time
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
@@ -19,7 +20,7 @@ from pyspark.ml.classification import (
     OneVsRest,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import FeatureHasher, Imputer, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import FeatureHasher, Imputer, OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (
     DecisionTreeRegressor,
@@ -30,13 +31,13 @@ from pyspark.ml.regression import (
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewright import constants as K
 from tablewright.functions.schema import (
     categorical_columns,
     col,
     drop_columns,
-    is_classification,
     label_values,
     numeric_columns,
     require_columns,
@@ -66,11 +67,12 @@ def problem_type(df: DataFrame, label: str, forced: str | None = None) -> str:
         if forced not in ("binary", "multiclass", "regression", "quantile"):
             raise ValueError(f"Unsupported problem type: {forced}")
         return forced
-    return _kind_of(len(label_values(df, label, K.CLASSIFICATION_MAX_CLASSES + 1)))
+    return _kind_of(len(label_values(df, label, K.CLASSIFICATION_MAX_CLASSES + 1)), label in numeric_columns(df))
 
 
-def _kind_of(n_classes: int) -> str:
-    if n_classes > K.CLASSIFICATION_MAX_CLASSES:
+def _kind_of(n_classes: int, numeric: bool) -> str:
+    """Only a number can be regressed on, however many values the label has."""
+    if numeric and n_classes > K.CLASSIFICATION_MAX_CLASSES:
         return "regression"
     return "binary" if n_classes == 2 else "multiclass"
 
@@ -82,11 +84,19 @@ def default_metric(kind: str) -> str:
 def preparation(df: DataFrame, features: Sequence[str]) -> list:
     """Impute numbers, index and encode categories; near-unique text is hashed to a fixed width.
 
-    The category limit is checked first, since an indexer keeps every category on the driver.
+    Booleans become 0 and 1, dates their day number, month and weekday, timestamps also their time of day, all
+    imputed like numbers. The category limit is checked first, since an indexer keeps every category on the driver.
     """
     numeric = [f for f in numeric_columns(df) if f in features]
-    text = [f for f in categorical_columns(df) if f in features]
+    text = [f for f in categorical_columns(df) if f in features and isinstance(df.schema[f].dataType, T.StringType)]
+    derived = {
+        name: sql for f in features if f in categorical_columns(df) for name, sql in _as_numbers(f, df.schema[f].dataType).items()
+    }
     stages, parts = [], []
+    if derived:
+        made = ", ".join(f"{sql} AS `{name}`" for name, sql in derived.items())
+        stages.append(SQLTransformer(statement=f"SELECT *, {made} FROM __THIS__"))
+        numeric = [*numeric, *derived]
     if numeric:
         stages.append(Imputer(strategy="median", inputCols=numeric, outputCols=[f"_i_{c}" for c in numeric]))
         parts += [f"_i_{c}" for c in numeric]
@@ -111,6 +121,23 @@ def preparation(df: DataFrame, features: Sequence[str]) -> list:
     return stages
 
 
+def _as_numbers(name: str, kind: T.DataType) -> dict[str, str]:
+    """SQL of the numbers that stand for a boolean or a date."""
+    c = f"`{name}`"
+    if isinstance(kind, T.BooleanType):
+        return {f"_n_{name}": f"CAST(CAST({c} AS INT) AS DOUBLE)"}
+    if not isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return {}
+    out = {
+        f"_n_{name}": f"CAST(DATEDIFF(CAST({c} AS DATE), DATE'1970-01-01') AS DOUBLE)",
+        f"_n_{name}_month": f"CAST(MONTH({c}) AS DOUBLE)",
+        f"_n_{name}_weekday": f"CAST(WEEKDAY({c}) AS DOUBLE)",
+    }
+    if not isinstance(kind, T.DateType):
+        out[f"_n_{name}_hour"] = f"HOUR({c}) + MINUTE({c}) / 60.0D"
+    return out
+
+
 def candidates(kind: str, seed: int = K.SEED, quick: bool = False) -> dict[str, object]:
     """Estimators fitted by a run; boosting needs one-vs-rest on more than two classes."""
     trees, rounds, depth = (10, 5, 4) if quick else (50, 30, 5)
@@ -127,8 +154,8 @@ def candidates(kind: str, seed: int = K.SEED, quick: bool = False) -> dict[str,
         "RandomForest": RandomForestClassifier(**f, numTrees=trees, maxDepth=depth, seed=seed),
         "DecisionTree": DecisionTreeClassifier(**f, maxDepth=depth, seed=seed),
     }
-    if kind == "binary":
-        out["GradientBoosting"] = GBTClassifier(**f, maxIter=rounds, maxDepth=depth, seed=seed)
+    boost = GBTClassifier(**f, maxIter=rounds, maxDepth=depth, seed=seed)
+    out["GradientBoosting"] = boost if kind == "binary" else OneVsRest(classifier=boost, **f)
     return out
 
 
@@ -168,9 +195,10 @@ class Fitted:
         elif "probability" in scored.columns:
             value = vector_to_array("probability")
         else:
-            value = F.array(
-                *[F.when(F.col("prediction") == i, 1.0).otherwise(0.0) for i in range(len(self.classes))]
-            )
+            # one-against-the-rest margins of boosted trees, as probabilities that add up to one
+            chance = F.transform(vector_to_array("rawPrediction"), lambda x: 1.0 / (1.0 + F.exp(-2.0 * x)))
+            total = F.aggregate(chance, F.lit(0.0), lambda a, x: a + x)
+            value = F.transform(chance, lambda x: x / total)
         return scored.withColumn(out, value).drop(*temp)
 
     def _values(self, df: DataFrame, models: Sequence[str]) -> tuple[DataFrame, dict[str, Column]]:
@@ -194,6 +222,10 @@ class Fitted:
                 values["Blend"] = sum((v * w for v, w in shares), F.lit(0.0))
         return scored, {m: values[m] for m in models}
 
+    def outputs(self, df: DataFrame) -> DataFrame:
+        """Add ``_value`` of the best model: class probabilities in class order, or the predicted value."""
+        return self._outputs(df, self.best)
+
     def _outputs(self, df: DataFrame, model: str) -> DataFrame:
         scored, values = self._values(df, [model])
         out = scored.withColumn("_value", values[model])
@@ -206,10 +238,11 @@ class Fitted:
         values = F.array(*[F.lit(c) for c in self.classes])
         return F.get(values, (F.array_position(value, F.array_max(value)) - 1).cast("int"))
 
-    def predict(self, df: DataFrame, model: str | None = None) -> DataFrame:
-        """Add numeric ``prediction``: probability of the highest class, or the predicted value."""
+    def predict(self, df: DataFrame, model: str | None = None, of_class: object = None) -> DataFrame:
+        """Add numeric ``prediction``: probability of ``of_class`` (the highest by default), or the predicted value."""
         out = self._outputs(df, model or self.best)
-        value = F.col("_value") if not self.classes else F.get("_value", F.lit(len(self.classes) - 1))
+        at = len(self.classes) - 1 if of_class is None else self.classes.index(of_class)
+        value = F.col("_value") if not self.classes else F.get("_value", F.lit(at))
         return out.withColumn("prediction", value).drop("_value")
 
     def score(
@@ -321,7 +354,7 @@ def fit(
     require_columns(train, [label, *key], "fit")
     known = train.where(col(label).isNotNull())
     found = label_values(known, label, MAX_CLASSES + 1)
-    kind = problem_type(known, label, forced_type) if forced_type else _kind_of(len(found))
+    kind = problem_type(known, label, forced_type) if forced_type else _kind_of(len(found), label in numeric_columns(train))
     metric = eval_metric or default_metric(kind)
     allowed = {"binary": BINARY_METRICS, "multiclass": CLASS_METRICS}.get(kind, REGRESSION_METRICS)
     if metric not in allowed:
@@ -337,7 +370,9 @@ def fit(
         if c in {*numeric_columns(train), *categorical_columns(train)} and c not in {label, *key}
     ]
     split = assign_test(known, key, label if classes else None, VALIDATION_FRACTION, seed)
-    prepare = Pipeline(stages=preparation(known, features)).fit(known)
+    # medians and categories of the rows that are fitted on; the validation slice only passes through
+    fitting = split.where("NOT is_test").drop("is_test")
+    prepare = Pipeline(stages=preparation(fitting, features)).fit(fitting)
     run = Fitted(label, kind, metric, features, classes, prepare, {})
     ready = prepare.transform(_with_label(split, label, classes)).select("is_test", "_label", "_features").persist()
     slice_rows = split.where("is_test").drop("is_test").persist()
@@ -387,14 +422,41 @@ test_leaderboard.__test__ = False
 
 
 def score_expression(run: Fitted, cut: float = 0.5) -> Column:
-    """Aggregate over ``prediction`` used for permutation importance: accuracy or negative RMSE."""
-    if run.kind == "binary":
-        said = F.when(F.col("prediction") >= (run.threshold or cut), F.lit(run.classes[1])).otherwise(F.lit(run.classes[0]))
-        return F.avg((said == col(run.label)).cast("double"))
-    if run.kind == "multiclass":
-        truth = (col(run.label) == F.lit(run.classes[-1])).cast("double")
-        return -F.avg((F.col("prediction") - truth) ** 2)
-    return -F.sqrt(F.avg((F.col("prediction") - col(run.label)) ** 2))
+    """Aggregate used for permutation importance, over ``_value`` of :meth:`Fitted.outputs`; higher is better.
+
+    It is the run's metric: counts per class for the label metrics, negative errors for regression. ROC AUC is not
+    an aggregate of rows, so negative log loss stands in for it.
+    """
+    truth, value = col(run.label), F.col("_value")
+    if not run.classes:
+        gap = truth.cast("double") - value
+        if run.metric == "mean_absolute_error":
+            return -F.avg(F.abs(gap))
+        return evaluate.r2_score(truth.cast("double"), gap) if run.metric == "r2" else -F.sqrt(F.avg(gap**2))
+    said = run._pick(value, cut if run.threshold is None else run.threshold)
+    if run.metric in ("log_loss", "roc_auc"):
+        at = F.array_position(F.array(*[F.lit(c) for c in run.classes]), truth) - 1
+        return F.avg(F.log(F.greatest(F.coalesce(F.get(value, at.cast("int")), F.lit(0.0)), F.lit(1e-15))))
+    if run.metric == "accuracy":
+        return F.avg((said == truth).cast("double"))
+    hit = [F.count_if((said == F.lit(c)) & (truth == F.lit(c))).cast("double") for c in run.classes]
+    real = [F.count_if(truth == F.lit(c)).cast("double") for c in run.classes]
+    called = [F.count_if(said == F.lit(c)).cast("double") for c in run.classes]
+    n = F.count(truth).cast("double")
+    if run.metric == "mcc":
+        cross = sum((p * t for p, t in zip(called, real, strict=True)), F.lit(0.0))
+        spread = F.sqrt((n * n - sum((p * p for p in called), F.lit(0.0))) * (n * n - sum((t * t for t in real), F.lit(0.0))))
+        return F.coalesce(F.try_divide(sum(hit, F.lit(0.0)) * n - cross, spread), F.lit(0.0))
+    if run.metric == "balanced_accuracy":
+        shares = [F.try_divide(h, t) for h, t in zip(hit, real, strict=True)]
+        found = sum((F.when(t > 0, 1.0).otherwise(0.0) for t in real), F.lit(0.0))
+        return F.try_divide(sum((F.coalesce(x, F.lit(0.0)) for x in shares), F.lit(0.0)), found)
+    f1 = [F.coalesce(F.try_divide(2 * h, t + p), F.lit(0.0)) for h, t, p in zip(hit, real, called, strict=True)]
+    if run.metric == "f1":
+        return f1[1]
+    if run.metric == "f1_weighted":
+        return F.try_divide(sum((x * t for x, t in zip(f1, real, strict=True)), F.lit(0.0)), n)
+    return sum(f1, F.lit(0.0)) / len(f1)
 
 
 def feature_importance(
@@ -402,7 +464,7 @@ def feature_importance(
 ) -> DataFrame:
     """Permutation importance of the best model on test rows, most important first."""
     table = permutation_importance(
-        test, run.features, key, run.predict, score_expression(run), repeats, seed
+        test.where(col(run.label).isNotNull()), run.features, key, run.outputs, score_expression(run), repeats, seed
     )
     return table.orderBy(F.desc("importance"), "feature")
 
@@ -454,7 +516,7 @@ def cross_validate(
 ) -> tuple[DataFrame, DataFrame]:
     """Separate fit per fold; returns ``fold, metric, score`` rows and their aggregate."""
     known = df.where(col(label).isNotNull())
-    classes = is_classification(known, label, K.CLASSIFICATION_MAX_CLASSES)
+    classes = problem_type(known, label, options.get("forced_type")) in ("binary", "multiclass")
     marked = assign_folds(known, key, folds, label if classes else None, seed, column="_cv").persist()
     rows = []
     try:
@@ -492,7 +554,7 @@ def temporal_backtest(
 
 
 def search_space(family: str, kind: str, n_trials: int, seed: int = K.SEED) -> list[tuple[object, dict]]:
-    """Up to ``n_trials`` (estimator, parameters) pairs of one family, in a fixed order."""
+    """Up to ``n_trials`` (estimator, parameters) pairs of one family: a hash sample of its grid."""
     if family not in FAMILIES:
         raise ValueError(f"model_family '{family}' not supported. Choose from: {sorted(FAMILIES)}")
     f = {"featuresCol": "_features", "labelCol": "_label", "seed": seed}
@@ -514,10 +576,15 @@ def search_space(family: str, kind: str, n_trials: int, seed: int = K.SEED) -> l
             .addGrid(est.maxDepth, [5, 8, 10])
             .addGrid(est.numTrees, [20, 50, 100])
             .addGrid(est.featureSubsetStrategy, ["auto", "onethird"])
+            .addGrid(est.minInstancesPerNode, [1, 5])
             .build()
         )
+    def place(params: dict) -> str:
+        named = sorted((p.name, str(v)) for p, v in params.items())
+        return hashlib.md5(f"{named}|{seed}".encode()).hexdigest()
+
     trials = []
-    for params in grid[:n_trials]:
+    for params in sorted(grid, key=place)[:n_trials]:
         one = est.copy(params)
         if FAMILIES[family] == "boost" and kind == "multiclass":
             one = OneVsRest(classifier=one, featuresCol="_features", labelCol="_label")
@@ -531,13 +598,13 @@ def tune_family(
     key: Sequence[str],
     family: str,
     n_trials: int = 20,
-    time_limit: float = 300.0,
+    time_limit: float | None = None,
     eval_metric: str | None = None,
     seed: int = K.SEED,
 ) -> tuple[Fitted, DataFrame]:
     """One row per trial (``trial, params, score_val, fit_time``), best first, and the best model.
 
-    No new trial starts after ``time_limit`` seconds.
+    With ``time_limit`` no new trial starts after so many seconds; the result then depends on the machine.
     """
     if family not in FAMILIES:
         raise ValueError(f"model_family '{family}' not supported. Choose from: {sorted(FAMILIES)}")
@@ -546,7 +613,7 @@ def tune_family(
     begin = time.perf_counter()
     best, rows = None, []
     for i, (est, params) in enumerate(trials):
-        if i and time.perf_counter() - begin > time_limit:
+        if i and time_limit is not None and time.perf_counter() - begin > time_limit:
             break
         run, board = fit(train, label, key, eval_metric=eval_metric, estimators={f"{family}_{i + 1}": est}, blend=False, seed=seed)
         row = board.first()

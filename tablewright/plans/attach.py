@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from tablewright.plans.lineage import cut
 BROADCAST_GROUPS = 100_000
 HOT_FRACTION = 1_000
 SALTS = 64
+ROWS_PER_SALT = 2_000_000
 
 
 def has_at_most(df: DataFrame, rows: int) -> bool:
@@ -35,22 +37,28 @@ def attach_group_stats(
     The statistics are written to the checkpoint folder once, since both the size check and
     the join read them. Few keys: they are broadcast and the rows do not move. Many keys: rows of
     keys above ``rows / HOT_FRACTION`` (at most ``HOT_FRACTION`` such keys can exist) are
-    spread over ``salts`` partitions, and only those keys' statistics are replicated.
+    spread over at least ``salts`` partitions, more when a key has more than ``ROWS_PER_SALT`` rows for each,
+    and only those keys' statistics are replicated. Rows with a NULL key match nothing, so they stay where
+    they are with NULL statistics.
     """
     stats = cut(stats)
     if has_at_most(stats, broadcast_groups):
         return df.join(F.broadcast(stats), list(keys), "left")
     limit = max(1, rows // HOT_FRACTION)
     hot = stats.where(F.col(count_column) > limit).select(*keys).withColumn("_hot", F.lit(True))
-    marked = df.join(F.broadcast(hot), list(keys), "left")
+    absent = reduce(lambda a, b: a | b, [col(k).isNull() for k in keys])
+    marked = df.where(~absent).join(F.broadcast(hot), list(keys), "left")
     others = [c for c in df.columns if c not in keys]
+    largest = stats.agg(F.max(count_column)).first()[0] or 0
+    salts = max(salts, math.ceil(largest / ROWS_PER_SALT))
     spread = F.pmod(F.xxhash64(*[col(c) for c in (others or keys)]), F.lit(salts)).cast("int")
     left = marked.withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0))).drop("_hot")
     copies = F.when(F.col(count_column) > limit, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
         F.array(F.lit(0))
     )
     right = stats.withColumn("_salt", F.explode(copies))
-    return left.join(right, [*keys, "_salt"], "left").drop("_salt")
+    met = left.join(right, [*keys, "_salt"], "left").drop("_salt")
+    return met.unionByName(df.where(absent), allowMissingColumns=True)
 
 
 COPIES_PER_TASK = 1_000_000

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.functions.schema import col
+from tablewright.functions.schema import col, nan_to_null
 from tablewright.plans.binning import binned_long
 
 EXACT_ROWS = 4_000
@@ -168,7 +168,7 @@ def exact_quantiles(
     builtin_rows: int = BUILTIN_ROWS,
     exact_rows: int = EXACT_ROWS,
 ) -> dict[str, list[float | None]]:
-    """Linear-interpolation quantiles per column (NULL ignored), computed exactly."""
+    """Linear-interpolation quantiles per column (NULL and NaN ignored), computed exactly."""
     if not columns:
         return {}
     if len(columns) > COLUMNS_PER_PASS:
@@ -177,7 +177,7 @@ def exact_quantiles(
         return exact_quantiles(df, head, probs, builtin_rows, exact_rows) | exact_quantiles(
             df, rest, probs, builtin_rows, exact_rows
         )
-    frame = df.select(*[col(c).cast("double").alias(c) for c in columns])
+    frame = nan_to_null(df.select(*[col(c).cast("double").alias(c) for c in columns]))
     sizes = frame.agg(*[F.count(col(c)).alias(c) for c in columns]).first().asDict()
     out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns}
     present = [c for c in columns if sizes[c]]

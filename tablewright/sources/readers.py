@@ -79,27 +79,50 @@ def run_id(artifact: str, file_column: str = "_file"):
 def read_run_artifact(
     spark: SparkSession, base: str, artifact: str, schema: str | None = None
 ) -> DataFrame | None:
-    """The same artifact of every run directory under ``base`` in one scan, keyed by ``run_id``.
+    """The same artifact of every run directory under ``base``, keyed by ``run_id``.
 
-    Returns ``None`` when no run has it.
+    CSV columns are matched by name: there is one scan per distinct header, however many runs share it, and
+    a column some runs lack is NULL for them. Returns ``None`` when no run has the artifact.
     """
     path = f"{base.rstrip('/')}/*/{artifact}"
     try:
         if artifact.endswith(".json"):
-            df = spark.read.schema(schema).json(path, multiLine=True) if schema else spark.read.json(
-                path, multiLine=True
-            )
+            reader = spark.read.schema(schema) if schema else spark.read
+            df = reader.json(path, multiLine=True).withColumn("_file", F.col("_metadata.file_path"))
         else:
-            reader = spark.read.option("header", True)
-            df = reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
+            df = _by_header(spark, path, schema)
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
-    df = df.withColumn("_file", F.col("_metadata.file_path"))
     return nan_to_null(df.withColumn("run_id", run_id(artifact)).drop("_file"))
 
 
+def _by_header(spark: SparkSession, path: str, schema: str | None) -> DataFrame:
+    """Union by name of one scan per distinct header among the files of ``path``, with ``_file``."""
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("line"),
+    )
+    # lines keep their order within the first block of a file
+    firsts = lines.where("start = 0").groupBy("file").agg(F.min_by("value", "line").alias("header"))
+    groups = firsts.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("header").collect()
+    frames = []
+    for g in groups:
+        reader = spark.read.option("header", True)
+        if schema is None:
+            part = reader.option("inferSchema", True).csv(g["files"])
+        else:
+            raw = reader.csv(g["files"])
+            known = T.StructType.fromDDL(schema)
+            typed = {f.name: F.col(f"`{f.name}`").cast(f.dataType) for f in known if f.name in raw.columns}
+            part = raw.withColumns(typed) if typed else raw
+        frames.append(part.withColumn("_file", F.col("_metadata.file_path")))
+    if not frames:
+        return spark.createDataFrame([], f"{schema}, _file string" if schema else "_file string")
+    return union_ragged(frames)
+
+
 def union_ragged(frames: Sequence[DataFrame]) -> DataFrame:
     """Union of tables with different columns; absent ones become NULL."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

@@ -173,3 +173,22 @@ def test_pdp_shapes(spark):
     curves = spark.createDataFrame(rows, "feature string, position int, is_numeric boolean, grid string, pdp double")
     got = {r["feature"]: r["shape"] for r in explain.pdp_shapes(curves).collect()}
     assert got == {"up": "increasing", "down": "decreasing", "peak": "non-monotonic", "flat_peak": None}
+
+
+def test_shapley_values_of_more_than_sixty_features(spark):
+    names = [f"x{i}" for i in range(70)]
+    df = spark.range(6).select("id", *[((F.col("id") * (i + 3)) % 7).cast("double").alias(n) for i, n in enumerate(names)])
+
+    def predict(t):
+        return t.withColumn("prediction", sum((F.col(n) * (i % 5) for i, n in enumerate(names)), F.lit(0.0)))
+
+    table = explain.shapley_values(df, names, ["id"], predict, background_rows=3, permutations=2)
+    assert {r.method for r in table.select("method").distinct().collect()} == {"sampled"}
+    gaps = table.groupBy("id").agg((F.sum("shap_value") + F.first("base_value") - F.first("prediction")).alias("gap"))
+    assert all(abs(r.gap) < 1e-6 for r in gaps.collect())
+
+
+def test_dependence_on_a_column_without_values(spark):
+    df = spark.range(5).selectExpr("id", "cast(NULL as double) AS empty", "cast(id as double) AS x")
+    out = explain.partial_dependence(df, lambda t: t.withColumn("prediction", F.col("x")), ["empty", "x"], ["id"], n_values=3)
+    assert {r.feature for r in out.collect()} == {"x"}

@@ -150,3 +150,53 @@ def test_regression_reports(spark, noise):
     shap = explain.shapley_values(df, ["x"], KEY, out["run"].predict, background_rows=10, max_rows=20)
     meta = report.explanation_tables(shap, KEY, ["x"])["metadata"].first()
     assert meta["n_rows"] == 20 and meta["n_features"] == 1 and meta["top_features"] == ["x"]
+
+
+def test_fit_takes_dates_booleans_and_text_labels(spark):
+    import datetime as dt
+
+    rows = [
+        (i, f"kind{i % 25:02d}", dt.date(2020, 1, 1) + dt.timedelta(days=i % 25 * 10), i % 2 == 0, dt.datetime(2020, 1, 1, i % 24) if i % 5 else None, float("nan") if i % 7 == 0 else float(i % 25))
+        for i in range(1500)
+    ]
+    df = spark.createDataFrame(rows, "id int, label string, day date, flag boolean, at timestamp, x double")
+    from pyspark.ml.classification import RandomForestClassifier
+
+    assert train.problem_type(df, "label") == "multiclass"
+    est = {"Forest": RandomForestClassifier(featuresCol="_features", labelCol="_label", numTrees=10, maxDepth=8, seed=1)}
+    run, _ = train.fit(df, "label", ["id"], estimators=est, blend=False)
+    assert run.kind == "multiclass" and len(run.classes) == 25 and set(run.features) == {"day", "flag", "at", "x"}
+    assert run.evaluate(df)["accuracy"] > 0.8
+
+
+def test_one_against_the_rest_gives_probabilities(spark):
+    from pyspark.ml.classification import GBTClassifier, OneVsRest
+
+    df = spark.range(300).selectExpr("id", "cast(id % 3 as int) AS label", "cast(id % 3 as double) + (id % 10) / 8.0 AS x", "cast(id % 2 as double) AS noise")
+    f = {"featuresCol": "_features", "labelCol": "_label"}
+    est = {"Boost": OneVsRest(classifier=GBTClassifier(maxIter=5, maxDepth=2, seed=1, **f), **f)}
+    run, _ = train.fit(df, "label", ["id"], estimators=est, blend=False)
+    scored = run.score(df).collect()
+    assert len({round(r.confidence, 6) for r in scored}) > 3 and all(r.confidence < 1 for r in scored)
+    assert all(abs(r.prob_0 + r.prob_1 + r.prob_2 - 1) < 1e-9 for r in scored)
+    assert run.evaluate(df)["log_loss"] < 1.1
+    imp = {r.feature: r.importance for r in train.feature_importance(run, df, ["id"]).collect()}
+    assert imp["x"] > 0.2 and abs(imp["noise"]) < 0.1
+    assert "GradientBoosting" in train.candidates("multiclass")
+
+
+def test_importance_by_the_metric_sees_every_class(spark):
+    from pyspark.ml.classification import LogisticRegression
+
+    df = spark.range(600).selectExpr("id", "cast(id % 3 as int) AS label", "cast(id % 3 = 0 as double) AS zero", "cast(id % 3 = 2 as double) AS two")
+    est = {"Linear": LogisticRegression(featuresCol="_features", labelCol="_label")}
+    for metric in train.CLASS_METRICS:
+        run, _ = train.fit(df, "label", ["id"], eval_metric=metric, estimators=est, blend=False)
+        imp = {r.feature: r.importance for r in train.feature_importance(run, df, ["id"]).collect()}
+        assert imp["zero"] > 0.05 and imp["two"] > 0.05, metric
+
+
+def test_search_space_is_a_sample_of_the_grid():
+    trials = train.search_space("GBM", "binary", 6)
+    assert len({p["maxDepth"] for _, p in trials}) > 1 and len({p["maxIter"] for _, p in trials}) > 1
+    assert len(train.search_space("RF", "binary", 20)) == 20

@@ -78,7 +78,7 @@ def test_deep_profile(noise):
     table = profile.deep_profile(df, "target")
     assert profile.suggested_transforms(table) == {"log": ["skewed"], "onehot": ["low"]}
     got = by(table)
-    assert "high cardinality (300)" in got["high"]["recommendation"] and "medium" in got["medium"]["recommendation"]
+    assert "300 values" in got["high"]["recommendation"] and "50 values" in got["medium"]["recommendation"]
     assert "constant" in got["fixed"]["recommendation"]
 
 
@@ -147,3 +147,15 @@ def test_psi_by_hand(spark):
     actual = [1 / 3] + [1e-6] * 8 + [2 / 3]
     assert row["psi"] == pytest.approx(sum((a - e) * math.log(a / e) for a, e in zip(actual, expected, strict=True)), abs=1e-6)
     assert row["in_range_rows"] == 3 and row["out_of_range_pct"] == 25.0
+
+
+def test_nan_is_missing_at_every_size(spark):
+    from tablewright.plans.selection import exact_quantiles
+
+    df = spark.range(3000).selectExpr("CASE WHEN id % 10 = 0 THEN double('NaN') ELSE cast(id as double) END AS x")
+    small = exact_quantiles(df, ["x"], [0.25, 0.5])["x"]
+    large = exact_quantiles(df, ["x"], [0.25, 0.5], builtin_rows=0, exact_rows=100)["x"]
+    assert small == large and small[1] == 1500.0
+    row = profile.numeric_profile(df.withColumn("y", F.lit(1)), "y").first()
+    assert row["missing"] == 300 if "missing" in row.asDict() else row["missing_pct"] == 10.0
+    assert row["max"] == 2999.0 and row["mean"] == row["mean"]

@@ -132,3 +132,17 @@ def test_sinks(spark, tmp_path):
     doc = readers.read_json_document(spark, str(tmp_path / "none.json"), "a int")
     assert doc.count() == 0 and doc.columns == ["a", "_file"]
     assert readers.union_ragged([df, df.select("a").withColumn("c", F.lit("x"))]).columns == ["a", "b", "c"]
+
+
+def test_run_files_are_matched_by_name(spark, tmp_path):
+    texts = {"a": "model,score_test,score_val\nm,0.5,1\n", "b": "model,score_val,score_test\nm,2,0.7\n", "c": "score_test,model,fit_time\n1,n,3.5\n"}
+    for run, text in texts.items():
+        (tmp_path / run).mkdir()
+        (tmp_path / run / "leaderboard_test.csv").write_text(text)
+    board = readers.read_run_artifact(spark, str(tmp_path), "leaderboard_test.csv")
+    got = {r.run_id: (r.model, float(r.score_test), r.score_val, r.fit_time) for r in board.collect()}
+    assert got == {"a": ("m", 0.5, 1, None), "b": ("m", 0.7, 2, None), "c": ("n", 1.0, None, 3.5)}
+    typed = readers.read_run_artifact(spark, str(tmp_path), "leaderboard_test.csv", "model string, score_test double")
+    assert dict(typed.dtypes)["score_test"] == "double" and typed.agg({"score_test": "sum"}).first()[0] == pytest.approx(2.2)
+    best = {r.run_id: r.best_test_score for r in runs.compare_runs(spark, str(tmp_path)).collect()}
+    assert best == {"a": 0.5, "b": 0.7, "c": 1.0}
