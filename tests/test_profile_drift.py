@@ -79,7 +79,7 @@ def test_deep_profile(noise):
     assert profile.suggested_transforms(table) == {"log": ["skewed"], "onehot": ["low"]}
     got = by(table)
     assert "300 values" in got["high"]["recommendation"] and "50 values" in got["medium"]["recommendation"]
-    assert "constant" in got["fixed"]["recommendation"]
+    assert "one value only" in got["fixed"]["recommendation"]
 
 
 def test_correlation_and_drop_advice(noise):

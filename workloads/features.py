@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tablewright.operators import features
 from tablewright.operators.features import apply_transformations, fit_target_mean
 from workloads.common import Registry, rounded, table
 
@@ -166,3 +167,22 @@ def fe_chained(spark, sf_dir):
         "l_orderkey", "l_linenumber", "log_l_extendedprice",
         F.round("log_l_extendedprice_x_l_quantity", 6).alias("chained"),
     )
+
+
+@R.add("""SELECT o_orderkey, year(o_orderdate) AS d_year, month(o_orderdate) AS d_month, day(o_orderdate) AS d_day,
+  (isodow(o_orderdate) - 1) AS d_dayofweek, CASE WHEN isodow(o_orderdate) IN (6, 7) THEN 1 ELSE 0 END AS d_is_weekend,
+  CASE WHEN o_orderkey % 4 = 3 THEN 7 END::BIGINT AS e_minus_d FROM orders""")
+def fe_dates_as_written(spark, sf_dir):
+    """One date column in four notations, and its distance to a week later where that is written."""
+    at, k = F.col("o_orderdate").cast("timestamp"), F.col("o_orderkey") % 4
+    text = (
+        F.when(k == 0, F.date_format(at, "M/d/yyyy")).when(k == 1, F.date_format(at, "d.M.yyyy"))
+        .when(k == 2, F.date_format(at, "d MMM yyyy")).otherwise(F.date_format(at, "yyyy-MM-dd"))
+    )
+    later = F.when(k == 3, F.date_format(at + F.expr("INTERVAL 7 DAYS"), "MMMM d, yyyy")).otherwise(F.lit("12/31/x"))
+    df = table(spark, sf_dir, "orders").select("o_orderkey", text.alias("d"), F.when(k == 3, later).alias("e"))
+    parts = apply_transformations(df, {"date_parts": ["d"]})[0]
+    # a quarter of the rows have the later date, so the column is marked as dates by a cast
+    gap = features.as_timestamp(df, "e").cast("timestamp")
+    both = apply_transformations(df.withColumns({"e": gap, "d": features.as_timestamp(df, "d")}), {"diff": [["e", "d"]]})[0]
+    return parts.drop("d", "e").join(both.select("o_orderkey", "e_minus_d"), "o_orderkey")

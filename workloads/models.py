@@ -293,3 +293,40 @@ def stream_drift(spark, sf_dir):
     finally:
         query.stop()
     return _report(spark.read.parquet(out))
+
+
+@R.add("""SELECT o_orderkey, round(0.25 * datediff('day', DATE '1990-01-01', o_orderdate::DATE) + 40.0 * (o_orderstatus = 'F')::INT, 3) AS predicted FROM orders""")
+def fit_dates_and_flags(spark, sf_dir):
+    """Least squares on a date and a boolean column recovers the line they were made with."""
+    df = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.col("o_orderdate").cast("date").alias("day"), (F.col("o_orderstatus") == "F").alias("done")
+    )
+    age = F.datediff("day", F.lit("1990-01-01").cast("date"))
+    df = df.withColumn("y", 0.25 * age + 40.0 * F.col("done").cast("int"))
+    run, _ = train.fit(df, "y", ["o_orderkey"], estimators=ols(), blend=False)
+    return rounded(run.score(df).select("o_orderkey", F.col("y_predicted").alias("predicted")), 3)
+
+
+@R.add("""SELECT c_custkey, 'n' || c_nationkey AS predicted FROM customer""")
+def fit_text_classes(spark, sf_dir):
+    """A text label of 25 classes that one feature decides: a tree finds every class."""
+    df = table(spark, sf_dir, "customer").select(
+        "c_custkey", F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("nation"), F.col("c_nationkey").cast("string").alias("code")
+    )
+    tree = {"Tree": DecisionTreeClassifier(featuresCol="_features", labelCol="_label", maxDepth=25, seed=1)}
+    run, _ = train.fit(df, "nation", ["c_custkey"], estimators=tree, blend=False)
+    return run.score(df).select("c_custkey", F.col("nation_predicted").alias("predicted"))
+
+
+@R.add("""SELECT feature, importance FROM (VALUES ('low', 1), ('high', 1), ('noise', 0)) t(feature, importance)""")
+def multiclass_importance(spark, sf_dir):
+    """Three classes of customers; what separates the lower two counts, what separates none does not."""
+    k = F.col("c_nationkey") % 3
+    df = table(spark, sf_dir, "customer").select(
+        "c_custkey", k.cast("int").alias("group"), (k == 0).cast("double").alias("low"), (k == 2).cast("double").alias("high"),
+        (F.col("c_custkey") % 2).cast("double").alias("noise"),
+    )
+    tree = {"Tree": DecisionTreeClassifier(featuresCol="_features", labelCol="_label", maxDepth=3, seed=1)}
+    run, _ = train.fit(df, "group", ["c_custkey"], estimators=tree, blend=False)
+    found = train.feature_importance(run, df, ["c_custkey"])
+    return found.select("feature", (F.col("importance") > 0.1).cast("int").alias("importance"))

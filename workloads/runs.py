@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablewright.operators import findings, runs, train
+from tablewright.operators import findings, report, runs, train
 from tablewright.plans.lineage import scratch_path
 from tablewright.sources import readers, writers
 from workloads.common import Registry, rounded, table
@@ -299,3 +299,63 @@ def run_partitions(spark, sf_dir):
 def ragged_union(spark, sf_dir):
     a = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
     return readers.union_ragged([a, table(spark, sf_dir, "customer").select("c_name")])
+
+
+def per_run(spark, sf_dir, of):
+    """Leaderboard of every third supplier, one row per model."""
+    third = board(spark, sf_dir).where(F.col("run_id") % 3 == of)
+    return third.groupBy("model").agg(F.max("score_val").alias("score_val"), F.max("score_test").alias("score_test"), F.max("fit_time").alias("fit_time"))
+
+
+@R.add(f"""SELECT 'run' || (run_id % 3) AS run_id, max(score_test) AS best_test_score, count(DISTINCT model)::BIGINT AS n_models FROM {BOARD} GROUP BY 1""")
+def runs_from_csv(spark, sf_dir):
+    """Three runs whose files name the same columns in other orders, one with a column more."""
+    base = scratch_path(spark, "runs-csv")
+    columns = [["model", "score_val", "score_test"], ["score_test", "model", "score_val", "fit_time"], ["model", "score_test", "score_val"]]
+    for k, names in enumerate(columns):
+        writers.write_csv(per_run(spark, sf_dir, k).select(*names), f"{base}/run{k}/leaderboard_test.csv")
+    return runs.compare_runs(spark, base).select("run_id", "best_test_score", "n_models")
+
+
+@R.add(f"""SELECT 'f' || l_linenumber AS feature, sum(t)::BIGINT AS importance FROM {SUMS} GROUP BY 1""")
+def keyed_csv_importance(spark, sf_dir):
+    """A CSV whose key column has no name."""
+    path = scratch_path(spark, "importance-csv")
+    rows = sums(spark, sf_dir).groupBy("l_linenumber").agg(F.sum("t").alias("t"))
+    lines = rows.select(F.concat(F.lit("f"), F.col("l_linenumber").cast("string"), F.lit(","), F.col("t").cast("string")).alias("value"))
+    # seven line numbers: one row holds the file
+    whole = lines.agg(F.concat(F.lit(",importance\n"), F.array_join(F.sort_array(F.collect_list("value")), "\n")).alias("value"))
+    whole.write.text(path)
+    return readers.read_importance(spark, path).select("feature", F.col("importance").cast("bigint").alias("importance"))
+
+
+@R.add("""SELECT o_orderstatus AS best_model, count(*)::BIGINT AS n_features FROM orders GROUP BY 1""")
+def json_documents(spark, sf_dir):
+    """One JSON document per file, read with its schema."""
+    path = scratch_path(spark, "model-info")
+    rows = table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("best_model")).agg(F.count(F.lit(1)).alias("n"))
+    made = rows.select("best_model", F.transform(F.sequence(F.lit(1), F.col("n")), lambda x: x.cast("string")).alias("features"))
+    made.repartition("best_model").write.option("maxRecordsPerFile", 1).json(path)
+    read = readers.read_json_document(spark, path, readers.MODEL_INFO_SCHEMA)
+    return read.select("best_model", F.size("features").cast("bigint").alias("n_features"))
+
+
+@R.add("""SELECT c_mktsegment AS segment, count(*)::BIGINT AS n, round(sum(c_acctbal), 2) AS total FROM customer GROUP BY 1""")
+def report_sink(spark, sf_dir):
+    """Nested report rows written as JSON and read back."""
+    path = scratch_path(spark, "report")
+    rows = table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("segment")).agg(
+        F.struct(F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total")).alias("facts")
+    )
+    writers.write_report(rows, path)
+    back = spark.read.schema("segment string, facts struct<n:bigint,total:double>").json(path)
+    return back.select("segment", "facts.n", "facts.total")
+
+
+@R.add("""SELECT o_orderkey, ln(1 + o_totalprice) AS log_o_totalprice FROM orders""")
+def engineer_and_save(spark, sf_dir):
+    """Features and their spec saved together, the table read back."""
+    path = scratch_path(spark, "features")
+    df = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    report.engineer_and_save(df, {"log": ["o_totalprice"]}, path)
+    return readers.read_parquet(spark, f"{path}/data").select("o_orderkey", "log_o_totalprice")
