@@ -43,7 +43,7 @@ def shuffle_within_buckets(
     buckets = max(1, math.ceil(rows / BUCKET_ROWS))
     digest = hash_order(key, seed)
     keyed = df.withColumns(
-        {"_h": digest, "_b": F.floor(hash_prefix(digest) * F.lit(buckets) / F.lit(65536)).cast("int")}
+        {"_h": digest, "_b": F.floor(hash_prefix(digest, 7) * F.lit(float(buckets)) / F.lit(16.0**7)).cast("int")}
     )
     cycle = Window.partitionBy("_b").orderBy("_h", *key)
     whole = cycle.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -12,6 +12,7 @@ from tablewright import constants as K
 from tablewright.functions.schema import col, drop_columns
 from tablewright.operators import correlation, drift, evaluate, explain, features, findings, splits, train
 from tablewright.operators.runs import top_leaderboard
+from tablewright.plans.lineage import cut
 from tablewright.sources.writers import write_report, write_table
 
 
@@ -39,8 +40,10 @@ def run_findings(result: dict, fit_on: DataFrame, test: DataFrame, run_id: str =
 
 
 def test_artifacts(run: train.Fitted, test: DataFrame) -> dict[str, DataFrame]:
-    """Evaluation tables of the best model for its problem type."""
+    """Evaluation tables of the best model for its problem type; the rows are scored and written once."""
     scored = run.scored_table(test.where(col(run.label).isNotNull()))
+    used = ["actual", "predicted", *[f"prob_{c}" for c in run.classes]] if run.classes else ["actual", "predicted", "residual"]
+    scored = cut(scored.select(*[col(c) for c in used]))
     if not run.classes:
         return {
             "residual_stats": evaluate.residual_stats(scored),

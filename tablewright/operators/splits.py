@@ -7,7 +7,7 @@ key and label (or date) columns, so the table itself is neither shuffled nor sor
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -208,6 +208,19 @@ def temporal_folds(
     return walk_forward(df, date, key, n_splits)
 
 
+def fold_pairs(
+    df: DataFrame, date: str, key: Sequence[str], cutoff: str | None = None, n_splits: int = 1, seed: int = K.SEED
+) -> Iterator[tuple[DataFrame, DataFrame]]:
+    """(train, test) per fold. Rows carry their chunk and are filtered by it, so no row is copied per fold."""
+    if n_splits == 1 and cutoff:
+        yield cutoff_split(df, date, cutoff)
+        return
+    cuts = walk_forward_cuts(df, date, key, n_splits, seed)
+    chunked = df.where(col(date).isNotNull()).withColumn("_chunk", _chunk_number(date, key, cuts, seed))
+    for f in range(1, n_splits + 1):
+        yield chunked.where(F.col("_chunk") < f).drop("_chunk"), chunked.where(F.col("_chunk") == f).drop("_chunk")
+
+
 def fold_ranges(folds: DataFrame, date: str) -> DataFrame:
     """Rows and first and last date per fold and role."""
     return folds.groupBy("fold", "role").agg(

@@ -45,7 +45,7 @@ from tablewright.functions.schema import (
 from tablewright.operators import evaluate
 from tablewright.operators.errors import flag_low_confidence, predicted_probability
 from tablewright.operators.explain import permutation_importance
-from tablewright.operators.splits import aggregate_scores, assign_folds, assign_test, temporal_folds
+from tablewright.operators.splits import aggregate_scores, assign_folds, assign_test, fold_pairs
 
 MAX_CLASSES = 1_000
 MAX_INDEXED_CATEGORIES = 1_000
@@ -541,14 +541,10 @@ def temporal_backtest(
 ) -> tuple[DataFrame, DataFrame]:
     """Fit per temporal fold without the date column; same two tables as cross-validation."""
     kept = drop_columns(df, drop, [date, label, *key])
-    folds = temporal_folds(kept, date, key, cutoff, n_splits)
     rows = []
-    for f in range(1, n_splits + 1):
-        part = folds.where(F.col("fold") == f)
-        train = part.where("role = 'train'").drop("fold", "role", date)
-        test = part.where("role = 'test'").drop("fold", "role", date)
-        run, _ = fit(train, label, key, **options)
-        rows += _score_rows(f, run.evaluate(test.where(col(label).isNotNull())))
+    for f, (train, test) in enumerate(fold_pairs(kept, date, key, cutoff, n_splits), 1):
+        run, _ = fit(train.drop(date), label, key, **options)
+        rows += _score_rows(f, run.evaluate(test.drop(date).where(col(label).isNotNull())))
     scores = df.sparkSession.createDataFrame(rows, "fold int, metric string, score double")
     return scores, aggregate_scores(scores)
 
