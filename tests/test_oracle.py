@@ -33,3 +33,24 @@ def test_entry(spark):
 
 def test_sql_only_for_known_queries():
     assert set(SQL) <= set(QUERIES)
+
+
+def test_entry_without_the_optional_parts():
+    """With the training-data subpackage and the pipeline taken out, everything else is still registered."""
+    import subprocess
+    import sys
+
+    code = """
+import sys
+class Gone:
+    def find_spec(self, name, path=None, target=None):
+        if name.startswith(("tablewright.llm", "corpus_pipeline")):
+            raise ModuleNotFoundError(f"No module named {name!r}", name=name)
+sys.meta_path.insert(0, Gone())
+import __spark_entry__ as e
+names = e.queries()
+assert len(names) > 100 and not [n for n in names if n.startswith("op1_") or n == "pipeline"]
+assert set(e.oracle_sql()) <= set(names)
+"""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)

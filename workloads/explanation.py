@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablewright.operators import explain, leakage
+from tablewright.operators import explain, leakage, report
 from workloads.common import Registry, rounded, table
 
 R = Registry()
@@ -235,3 +235,11 @@ def hash_sample(spark, sf_dir):
     from tablewright.operators.sampling import hash_sample as sample
 
     return sample(table(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"], 500)
+
+
+@R.add(f"""SELECT (SELECT count(*)::BIGINT FROM orders) AS n_rows, 3::BIGINT AS n_features, round(avg({formula_sql(*FEATURES)}), 6) AS base_value
+FROM (SELECT * FROM {SOURCE} ORDER BY md5(concat_ws('|', o_orderkey, '42')), o_orderkey LIMIT 25)""")
+def explanation_metadata(spark, sf_dir):
+    """The metadata row beside the explanation tables."""
+    out = report.explanation_tables(shap(spark, sf_dir), ["o_orderkey"], FEATURES)["metadata"]
+    return rounded(out.select("n_rows", "n_features", "base_value"), 6)

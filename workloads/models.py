@@ -10,7 +10,7 @@ from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
-from tablewright.operators import drift, explain, splits, train
+from tablewright.operators import drift, explain, report, splits, train
 from tablewright.plans.lineage import scratch_path
 from tablewright.streaming import monitor
 from workloads.common import Registry, rounded, table
@@ -40,10 +40,13 @@ ERRORS = """sqrt(avg((y - b - a * month) * (y - b - a * month))) AS rmse, avg(ab
   1 - sum((y - b - a * month) * (y - b - a * month)) / (var_pop(y) * count(*)) AS r2"""
 
 
-@R.add(f"""WITH o AS (SELECT *, row_number() OVER (ORDER BY {H}) AS i, ceil(0.2 * count(*) OVER ()) AS nt FROM {PRICED}),
+FIT_SCORES = f"""WITH o AS (SELECT *, row_number() OVER (ORDER BY {H}) AS i, ceil(0.2 * count(*) OVER ()) AS nt FROM {PRICED}),
 tr AS (SELECT *, row_number() OVER (ORDER BY {H}) AS j, ceil(0.2 * count(*) OVER ()) AS nv FROM o WHERE i > nt),
 m AS (SELECT regr_slope(y, month) AS a, regr_intercept(y, month) AS b FROM tr WHERE j > nv)
-SELECT round(rmse, 5) AS rmse, round(mae, 5) AS mae, round(r2, 5) AS r2 FROM (SELECT {ERRORS} FROM o, m WHERE i <= nt)""")
+SELECT round(rmse, 5) AS rmse, round(mae, 5) AS mae, round(r2, 5) AS r2 FROM (SELECT {ERRORS} FROM o, m WHERE i <= nt)"""
+
+
+@R.add(FIT_SCORES)
 def linear_fit_scores(spark, sf_dir):
     """Split, hold out a validation slice, fit, score the test rows."""
     fit_on, test = splits.train_test_split(priced(spark, sf_dir), "y", ["o_orderkey"], stratify=False)
@@ -330,3 +333,57 @@ def multiclass_importance(spark, sf_dir):
     run, _ = train.fit(df, "group", ["c_custkey"], estimators=tree, blend=False)
     found = train.feature_importance(run, df, ["c_custkey"])
     return found.select("feature", (F.col("importance") > 0.1).cast("int").alias("importance"))
+
+
+@R.add(FIT_SCORES)
+def train_report_scores(spark, sf_dir):
+    """The composed run, profile first: same split and fit, so the same scores."""
+    out = report.train_report(priced(spark, sf_dir), "y", ["o_orderkey"], profile_first=True, estimators=ols(), blend=False)
+    s = out["test_scores"]
+    row = (s["root_mean_squared_error"], s["mean_absolute_error"], s["r2"])
+    return rounded(spark.createDataFrame([row], "rmse double, mae double, r2 double"), 5)
+
+
+LINE = """(SELECT c_custkey, c_acctbal / 1000 AS a, c_nationkey::DOUBLE AS b, c_acctbal / 500 + 3.0 * c_nationkey AS y FROM customer)"""
+
+
+def on_a_line(spark, sf_dir):
+    a, b = F.col("c_acctbal") / 1000, F.col("c_nationkey").cast("double")
+    return table(spark, sf_dir, "customer").select("c_custkey", a.alias("a"), b.alias("b"), (F.col("c_acctbal") / 500 + 3.0 * F.col("c_nationkey")).alias("y"))
+
+
+@R.add(f"SELECT round(avg(y), 3) AS mean, round(quantile_cont(y, 0.5), 3) AS median, round(min(y), 3) AS min, round(max(y), 3) AS max FROM {LINE}")
+def score_report_stats(spark, sf_dir):
+    """Scoring with its summaries; the fit is exact, so predictions have the statistics of the truth."""
+    df = on_a_line(spark, sf_dir)
+    run, _ = train.fit(df, "y", ["c_custkey"], estimators=ols(), blend=False)
+    out = report.score_report(run, df, fit_on=df, key=["c_custkey"])
+    return rounded(out["prediction_stats"].select("mean", "median", "min", "max"), 3)
+
+
+@R.add(f"""WITH g AS (SELECT avg(a) AS a, avg(b) AS b FROM (SELECT * FROM {LINE} ORDER BY md5(concat_ws('|', c_custkey, '42')), c_custkey LIMIT 20))
+SELECT c_custkey, 'a' AS feature, round(2.0 * (l.a - g.a), 6) AS shap_value FROM {LINE} l, g
+UNION ALL SELECT c_custkey, 'b', round(3.0 * (l.b - g.b), 6) FROM {LINE} l, g""")
+def linear_model_shap(spark, sf_dir):
+    """Shapley values of a fitted line: slope times distance from the background's mean."""
+    df = on_a_line(spark, sf_dir)
+    run, _ = train.fit(df, "y", ["c_custkey"], estimators=ols(), blend=False)
+    out = explain.shapley_values(df, run.features, ["c_custkey"], run.predict, background_rows=20)
+    return rounded(out.select("c_custkey", "feature", "shap_value"), 6)
+
+
+@R.add(f"""SELECT position::INT AS position, round(2.0 * (lo + (hi - lo) * position / 19) + 3.0 * b, 3) AS pdp
+FROM (SELECT min(a) AS lo, max(a) AS hi, avg(b) AS b FROM {LINE}), range(20) t(position)""")
+def linear_model_pdp(spark, sf_dir):
+    df = on_a_line(spark, sf_dir)
+    run, _ = train.fit(df, "y", ["c_custkey"], estimators=ols(), blend=False)
+    return rounded(explain.partial_dependence(df, run.predict, ["a"], ["c_custkey"]).select("position", "pdp"), 3)
+
+
+@R.add("SELECT feature FROM (VALUES ('a'), ('b')) t(feature)")
+def linear_auto_drop(spark, sf_dir):
+    """A column without influence is dropped, the two that make the label stay."""
+    df = on_a_line(spark, sf_dir).withColumn("idle", (F.col("c_custkey") % 5).cast("double"))
+    fit_on, test = splits.train_test_split(df, "y", ["c_custkey"], stratify=False)
+    last = train.train_with_auto_drop(fit_on, test, "y", ["c_custkey"], estimators=ols(), blend=False)[-1]
+    return spark.createDataFrame([(f,) for f in last["run"].features], "feature string")
