@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import append_columns, explode_from, null_safe, running
+from tablewright.llm.common import append_columns, explode_from, null_safe, released_shuffles, running
 from tablewright.llm.components import components
 from tablewright.llm.words import hash_words, mix, shingles, slices, sorted_sets
 from tablewright.plans.attach import has_at_most
@@ -42,6 +42,8 @@ WORDS = 5
 BLOCK_SHINGLES = 400_000
 QUERIES_PER_TASK = 256
 BROADCAST_CLASSES = 1_000_000
+#: One in so many shingles is kept beyond the necessary ones; more of them tell apart more classes without a partner.
+SPARE = 10
 #: Weight of a merged element against a probe in the choice of long lists.
 MU = 0.01
 
@@ -58,7 +60,7 @@ def least_overlap_as_smaller(n: int) -> int:
 
 def spare(n: int) -> int:
     """Shingles kept beyond those a partner may lack."""
-    return max(1, n // 10)
+    return max(1, n // SPARE)
 
 
 def sets_of(texts: list[bytes | None]) -> Iterator[np.ndarray]:
@@ -121,12 +123,12 @@ def candidates(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, DataFra
     classes = cut(
         first.groupBy("_class").agg(F.min(f"`{key}`").alias("_rep"), F.first("_n").alias("_n"), F.first("_first").alias("_first"))
     )
-    tokens = classes.select("_class", "_n", F.explode("_first").alias("_token"))
+    tokens = classes.select("_class", F.explode("_first").alias("_token"))
     least = F.ceil(F.col("_n") * 4 / 5)
-    need = F.greatest(F.lit(1), F.floor(least / 10))
+    need = F.greatest(F.lit(1), F.floor(least / SPARE))
     maybe = (
-        shared_only(tokens).groupBy("_class", "_n").agg(F.count("*").alias("_shared")).where(F.col("_shared") >= need)
-        .join(classes.select("_class", "_rep"), "_class").select("_class", "_rep")
+        shared_only(tokens).groupBy("_class").agg(F.count("*").alias("_shared"))
+        .join(classes.select("_class", "_rep", "_n"), "_class").where(F.col("_shared") >= need).select("_class", "_rep")
     )
     maybe = cut(maybe)
     side = F.broadcast(maybe) if has_at_most(maybe, BROADCAST_CLASSES) else maybe
@@ -276,8 +278,10 @@ def links_of(sets: DataFrame) -> DataFrame:
 def join_components(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_shingles, component_id, _class) of every document."""
     rows = docs.select(F.col(f"`{key}`"), F.col(f"`{text}`").alias("_body"))
-    classes, sets = candidates(rows, "_body", key)
-    roots = components(links_of(sets)).select(F.col("node").alias("_class"), F.col("root").alias("_root"))
+    with released_shuffles(docs.sparkSession):
+        classes, sets = candidates(rows, "_body", key)
+        roots = components(links_of(sets))
+    roots = roots.select(F.col("node").alias("_class"), F.col("root").alias("_root"))
     rooted = classes.join(roots, "_class", "left").withColumn("_root", F.coalesce("_root", "_class"))
     smallest = rooted.groupBy("_root").agg(F.min("_rep").alias("component_id"))
     named = rooted.join(smallest, "_root").select("_class", "component_id")
