@@ -10,15 +10,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.plans.attach import has_at_most
 from tablewright.plans.lineage import cut
 
+#: Two long integers a row.
+BROADCAST_NODES = 1_000_000
+
+
+def sided(nodes: DataFrame) -> DataFrame:
+    """Pointers of few nodes are broadcast, so that a node with very many links is no key of a shuffle."""
+    return F.broadcast(nodes) if has_at_most(nodes, BROADCAST_NODES) else nodes
+
 
 def flatten(parent: DataFrame) -> DataFrame:
-    """(node, parent) with every parent an end."""
+    """(node, parent) with every parent an end; ``parent`` is on disk."""
     while True:
         up = parent.select(F.col("node").alias("_p"), F.col("parent").alias("_pp"))
         parent = cut(
-            parent.join(up, F.col("parent") == F.col("_p"), "left").select(
+            parent.join(sided(up), F.col("parent") == F.col("_p"), "left").select(
                 "node", F.coalesce("_pp", "parent").alias("parent"), (F.coalesce("_pp", "parent") != F.col("parent")).alias("_moved")
             )
         )
@@ -34,8 +43,8 @@ def components(links: DataFrame) -> DataFrame:
     while links.head(1):
         both = links.union(links.select("b", "a"))
         parent = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("_least"))
-        parent = flatten(parent.select("node", F.least("node", "_least").alias("parent")))
-        to = parent.select(F.col("node").alias("_n"), F.col("parent").alias("_p"))
+        parent = flatten(cut(parent.select("node", F.least("node", "_least").alias("parent"))))
+        to = sided(parent.select(F.col("node").alias("_n"), F.col("parent").alias("_p")))
         labels = cut(
             labels.join(to, F.col("root") == F.col("_n"), "left").select("node", F.coalesce("_p", "root").alias("root"))
         )

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from tablewright.llm.common import append_columns, explode_from, null_safe, released_shuffles, running
 from tablewright.llm.components import components
 from tablewright.llm.words import hash_words, mix, shingles, slices, sorted_sets
-from tablewright.plans.attach import has_at_most
+from tablewright.plans.attach import attach_group_stats, has_at_most
 from tablewright.plans.lineage import cut
 
 WORDS = 5
@@ -117,11 +117,13 @@ def shared_only(tokens: DataFrame) -> DataFrame:
 
 
 def candidates(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, DataFrame]:
-    """All classes (_class, _rep) and the shingles of those that may have a partner
+    """All classes (_class, _rep, _copies) and the shingles of those that may have a partner
     (_class, _n, _shingles: array of (count, hash), rarest first, unshared ones left out)."""
     first = smallest_hashes(docs, text, key)
     classes = cut(
-        first.groupBy("_class").agg(F.min(f"`{key}`").alias("_rep"), F.first("_n").alias("_n"), F.first("_first").alias("_first"))
+        first.groupBy("_class").agg(
+            F.min(f"`{key}`").alias("_rep"), F.count("*").alias("_copies"), F.first("_n").alias("_n"), F.first("_first").alias("_first")
+        )
     )
     tokens = classes.select("_class", F.explode("_first").alias("_token"))
     least = F.ceil(F.col("_n") * 4 / 5)
@@ -147,7 +149,7 @@ def candidates(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, DataFra
     shared = shared_only(whole.select("_class", "_n", F.explode("_all").alias("_token")))
     kept = shared.groupBy("_class", "_n").agg(F.sort_array(F.collect_set(F.struct("_df", "_token"))).alias("_shingles"))
     kept = kept.where(F.size("_shingles") >= F.ceil(F.col("_n") * 4 / 5))
-    return classes.select("_class", "_rep"), cut(kept)
+    return classes.select("_class", "_rep", "_copies"), cut(kept)
 
 
 class Block:
@@ -284,10 +286,12 @@ def join_components(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     roots = roots.select(F.col("node").alias("_class"), F.col("root").alias("_root"))
     rooted = classes.join(roots, "_class", "left").withColumn("_root", F.coalesce("_root", "_class"))
     smallest = rooted.groupBy("_root").agg(F.min("_rep").alias("component_id"))
-    named = rooted.join(smallest, "_root").select("_class", "component_id")
+    named = rooted.join(smallest, "_root").select("_class", "component_id", "_copies")
     members = with_sets(rows, "_body").select(f"`{key}`", "n_shingles", "_class")
     empty = F.col("n_shingles") == 0
-    return members.join(named, "_class", "left").select(
+    n_rows = classes.agg(F.sum("_copies")).first()[0] or 0
+    # a class of very many copies is salted
+    return attach_group_stats(members, named, ["_class"], "_copies", n_rows).select(
         f"`{key}`", "n_shingles", F.when(empty, F.col(f"`{key}`")).otherwise(F.col("component_id")).alias("component_id"), "_class"
     )
 
