@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import append_columns, explode_from, null_safe, released_shuffles, running
-from tablewright.llm.components import components
+from tablewright.llm.components import components, sided
 from tablewright.llm.words import hash_words, mix, shingles, slices, sorted_sets
 from tablewright.plans.attach import attach_group_stats, has_at_most
 from tablewright.plans.lineage import cut
@@ -298,10 +298,16 @@ def join_components(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
 def one_per_component(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The document of the smallest id of every component, and all without words; columns as they were."""
-    named = join_components(docs, text, key)
-    chosen = named.where(F.col(f"`{key}`").eqNullSafe(F.col("component_id")) & (F.col("n_shingles") > 0))
-    chosen = chosen.select(null_safe(F.col(f"`{key}`")).alias("_key"), "_class").distinct()
+    named = cut(join_components(docs, text, key).withColumn("_key", null_safe(F.col(f"`{key}`"))))
+    stays = F.col(f"`{key}`").eqNullSafe(F.col("component_id")) | (F.col("n_shingles") == 0)
+    dropped = named.where(~stays).select("_key", "_class").distinct()
+    repeated = named.where(stays & (F.col("n_shingles") > 0)).groupBy("_key", "_class").count().where("count > 1").drop("count")
+    repeated = cut(repeated)
     names = [F.col(f"`{c}`") for c in docs.columns]
     tagged = with_sets(docs.withColumn("_key", null_safe(F.col(f"`{key}`"))), text, "_size")
-    worded = tagged.where("_size > 0").join(chosen, ["_key", "_class"], "left_semi").dropDuplicates(["_key", "_class"])
-    return worded.select(*names).union(tagged.where("_size = 0").select(*names))
+    # whole rows move only if too many are dropped to tell every task which
+    out = tagged.join(sided(cut(dropped.union(repeated))), ["_key", "_class"], "left_anti").select(*names)
+    if not repeated.head(1):
+        return out
+    once = tagged.join(sided(repeated), ["_key", "_class"], "left_semi").dropDuplicates(["_key", "_class"])
+    return out.union(once.select(*names))
