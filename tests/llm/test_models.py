@@ -206,6 +206,23 @@ def test_near_paragraphs_are_verified(spark, prose, monkeypatch):
     assert {r.doc_id for r in got} == {1, 2} and Counter(r.removed for r in got) in ({True: 1, False: 1}, {True: 2, False: 2})
 
 
+def test_later_copies_go_where_an_edited_one_comes_first(spark, prose):
+    """The first copy is edited, so the second holds first occurrences beside later ones; only the first stay."""
+    words = [prose(7_200 + g, 300).split() for g in range(4)]
+    rows = []
+    for g, w in enumerate(words):
+        edited = w[:150] + [f"edited{g}"] + w[151:]
+        rows += [(10 * g, " ".join(edited))] + [(10 * g + k, " ".join(w)) for k in range(1, 6)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    spans = substring_dedup.repeated_spans(docs)
+    kept = {r.doc_id: len(r.text.split()) for r in substring_dedup.without_spans(docs, spans).collect()}
+    for g in range(4):
+        assert kept[10 * g] == 300 and 1 <= kept[10 * g + 1] < 60
+        assert [kept[10 * g + k] for k in range(2, 6)] == [0] * 4
+    rows = spans.collect()
+    assert all(r.removed == (r.first_doc != r.doc_id) for r in rows) and {r.removed for r in rows if r.doc_id == 1} == {True, False}
+
+
 def test_odd_rows_of_spans(odd, none):
     got = substring_dedup.repeated_spans(odd)
     rows = got.collect()
