@@ -223,6 +223,13 @@ def test_later_copies_go_where_an_edited_one_comes_first(spark, prose):
     assert all(r.removed == (r.first_doc != r.doc_id) for r in rows) and {r.removed for r in rows if r.doc_id == 1} == {True, False}
 
 
+def test_equal_sets_of_any_length_meet(spark):
+    """A phrase of five words said six or twelve times has the same shingles."""
+    rows = [(1, "alpha beta gamma delta epsilon " * 6), (2, "alpha beta gamma delta epsilon " * 12)]
+    got = substring_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.removed for r in got} == {1: False, 2: True}
+
+
 def test_odd_rows_of_spans(odd, none):
     got = substring_dedup.repeated_spans(odd)
     rows = got.collect()
