@@ -200,3 +200,22 @@ def test_search_space_is_a_sample_of_the_grid():
     trials = train.search_space("GBM", "binary", 6)
     assert len({p["maxDepth"] for _, p in trials}) > 1 and len({p["maxIter"] for _, p in trials}) > 1
     assert len(train.search_space("RF", "binary", 20)) == 20
+
+
+def test_registered_training_runs_the_defaults(monkeypatch):
+    """The registered queries ask for no smaller search than the operators' own."""
+    from workloads import models
+
+    class Stop(Exception):
+        pass
+
+    def record(*args, **options):
+        assert "quick" not in options and "n_trials" not in options
+        raise Stop
+
+    monkeypatch.setattr(models, "purchases", lambda *a: None)
+    monkeypatch.setattr(models.splits, "train_test_split", lambda *a, **k: (None, None))
+    for name, query in (("fit", "train_leaderboard"), ("tune_family", "tune_trials")):
+        monkeypatch.setattr(models.train, name, record)
+        with pytest.raises(Stop):
+            models.R.queries[query](None, "")

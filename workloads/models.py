@@ -97,7 +97,7 @@ def purchases(spark, sf_dir):
 
 def _fit_purchases(spark, sf_dir, **options):
     fit_on, test = splits.train_test_split(purchases(spark, sf_dir), "label", ["event_id"])
-    run, board = train.fit(fit_on, "label", ["event_id"], quick=True, **options)
+    run, board = train.fit(fit_on, "label", ["event_id"], **options)
     return run, board, test
 
 
@@ -158,7 +158,7 @@ def auto_drop(spark, sf_dir):
 @R.add()
 def tune_trials(spark, sf_dir):
     fit_on, _ = splits.train_test_split(purchases(spark, sf_dir), "label", ["event_id"])
-    _, trials = train.tune_family(fit_on, "label", ["event_id"], "RF", n_trials=3)
+    _, trials = train.tune_family(fit_on, "label", ["event_id"], "RF")
     return trials.drop("fit_time")
 
 
