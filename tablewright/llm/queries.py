@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import decontamination, importance, jaccard_join, language_id, line_frequency, mixing, sharding, substring_dedup, token_counts, toxicity
+from tablewright.llm import decontamination, importance, jaccard_join, language_id, line_frequency, mixing, sharding, spelling_variants, substring_dedup, token_counts, toxicity
 from tablewright.llm.common import held_out, read_table
 from workloads.common import Registry
 
@@ -134,3 +134,9 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     spans = substring_dedup.repeated_spans(docs)
     return spans.select("doc_id", "first_word", "n_words", "component_id", "first_doc", "removed")
+
+
+@R.add()
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spelling_variants.variants(spelling_variants.word_counts(docs))
