@@ -51,7 +51,7 @@ def append_columns(
         types = to_arrow_schema(new)
         for batch in batches:
             made = work(batch.column(place).cast(pa.binary()).to_pylist())
-            arrays = [pa.array(v, type=t.type) for v, t in zip(made, types, strict=True)]
+            arrays = [v.cast(t.type) if isinstance(v, pa.Array) else pa.array(v, type=t.type) for v, t in zip(made, types, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(names))] + arrays, names + new.names)
 
     return source.mapInArrow(run, out)
