@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import decontamination, importance, jaccard_join, language_id, line_frequency, mixing, sharding, spelling_variants, substring_dedup, token_alignment, token_counts, toxicity
+from tablewright.llm import decontamination, importance, jaccard_join, language_id, line_frequency, mixing, personal_data, sharding, spelling_variants, substring_dedup, token_alignment, token_counts, toxicity
 from tablewright.llm.common import held_out, read_table
 from workloads.common import Registry
 
@@ -146,3 +146,9 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_alignment.alignment_report(docs)
+
+
+@R.add()
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return personal_data.span_report(docs)
