@@ -121,6 +121,16 @@ def preparation(df: DataFrame, features: Sequence[str]) -> list:
     return stages
 
 
+def with_values(df: DataFrame, features: Sequence[str]) -> list[str]:
+    """The features that have a value in some row; NaN is none. A median or category can't come from an empty column."""
+    if not features:
+        return []
+    kinds = {f: df.schema[f].dataType for f in features}
+    known = [F.count(F.nanvl(col(f), F.lit(None)) if isinstance(k, (T.DoubleType, T.FloatType)) else col(f)) for f, k in kinds.items()]
+    counts = df.agg(*[c.alias(f"_{i}") for i, c in enumerate(known)]).first()
+    return [f for f, n in zip(features, counts, strict=True) if n]
+
+
 def _as_numbers(name: str, kind: T.DataType) -> dict[str, str]:
     """SQL of the numbers that stand for a boolean or a date."""
     c = f"`{name}`"
@@ -372,6 +382,7 @@ def fit(
     split = assign_test(known, key, label if classes else None, VALIDATION_FRACTION, seed)
     # medians and categories of the rows that are fitted on; the validation slice only passes through
     fitting = split.where("NOT is_test").drop("is_test")
+    features = with_values(fitting, features)
     prepare = Pipeline(stages=preparation(fitting, features)).fit(fitting)
     run = Fitted(label, kind, metric, features, classes, prepare, {})
     ready = prepare.transform(_with_label(split, label, classes)).select("is_test", "_label", "_features").persist()
