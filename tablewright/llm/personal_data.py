@@ -325,8 +325,9 @@ def added_spans(found: DataFrame, model: SpanModel, threshold: float = 0.5) -> D
     bases = found.select("_row", F.explode(F.concat(*[f"_{k}" for k in BASE])).alias("s"))
     bases = bases.select("_row", F.lit("").alias("kind"), "s.start", "s.end", F.lit(1.0).alias("score"), F.lit(True).alias("_base"))
     order = Window.partitionBy("_row").orderBy("start", F.desc("_base"))
+    back = Window.partitionBy("_row").orderBy(F.desc("start"), "_base")  # a frame that grows is linear, one that shrinks is not
     reached = F.max(F.when(F.col("_base"), F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    following = F.min(F.when(F.col("_base"), F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
+    following = F.min(F.when(F.col("_base"), F.col("start"))).over(back.rowsBetween(Window.unboundedPreceding, -1))
     both = taken.unionByName(bases).withColumns({"_reached": F.coalesce(reached, F.lit(0)), "_next": following})
     free = (F.col("_reached") <= F.col("start")) & (F.col("_next").isNull() | (F.col("_next") >= F.col("end")))
     return both.where(~F.col("_base") & free).select("_row", "kind", "start", "end", "score")
