@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -168,7 +169,7 @@ class Aligner:
         for side, size in ((0, self.a_size), (1, self.b_size)):
             length = np.fromiter((len(x[side]) for x in both), np.int64, len(both))
             text.append(np.r_[0, np.cumsum(length)])
-            ids.append(np.fromiter((i for x in both for i in x[side]), np.int64, int(text[-1][-1])))
+            ids.append(np.fromiter(chain.from_iterable(x[side] for x in both), np.int64, int(text[-1][-1])))
             end.append(np.cumsum(size[ids[-1]]))
         a_stop, b_stop = shared_groups(*end, *text)
         of_text = np.searchsorted(a_stop, text[0], "right")  # groups before each text's end
