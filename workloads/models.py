@@ -7,10 +7,10 @@ least squares does, so fitting, cross-validation and back-testing are also run w
 from __future__ import annotations
 
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import functions as F
 
-from tablewright.operators import drift, explain, report, splits, train
+from tablewright.operators import drift, explain, report, shapley, splits, train
 from tablewright.plans.lineage import scratch_path
 from tablewright.streaming import monitor
 from workloads.common import Registry, rounded, table
@@ -387,3 +387,55 @@ def linear_auto_drop(spark, sf_dir):
     fit_on, test = splits.train_test_split(df, "y", ["c_custkey"], stratify=False)
     last = train.train_with_auto_drop(fit_on, test, "y", ["c_custkey"], estimators=ols(), blend=False)[-1]
     return spark.createDataFrame([(f,) for f in last["run"].features], "feature string")
+
+
+@R.add(f"""WITH g AS (SELECT avg(a) AS a, avg(b) AS b FROM {LINE})
+SELECT c_custkey, 'a' AS feature, round(2.0 * (l.a - g.a), 6) AS shap_value FROM {LINE} l, g
+UNION ALL SELECT c_custkey, 'b', round(3.0 * (l.b - g.b), 6) FROM {LINE} l, g""")
+def linear_shap_all_rows(spark, sf_dir):
+    """The fitted line against the whole table as background."""
+    df = on_a_line(spark, sf_dir)
+    run, _ = train.fit(df, "y", ["c_custkey"], estimators=ols(), blend=False)
+    out = shapley.model_shapley(df, run, ["c_custkey"])
+    return rounded(out.select("c_custkey", "feature", "shap_value"), 6)
+
+
+FLAGS = ["urgent", "done", "late"]
+STEPS = """(SELECT o_orderkey, (o_orderpriority = '1-URGENT')::INT AS urgent, (o_orderstatus = 'F')::INT AS done,
+  (month(o_orderdate) > 8)::INT AS late FROM orders)"""
+
+
+def tree_shap_sql():
+    """Every coalition of three flags, over their distinct combinations and how many rows have each."""
+    of = [f"CASE WHEN s & {1 << i} > 0 THEN x.{f} ELSE z.{f} END" for i, f in enumerate(FLAGS)]
+    value = "(2.0::DOUBLE * ({0}) * ({1}) + 1.5 * ({2}) + 0.5 * ({0}) + 0.25 * ({1}) * ({2}))".format(*of)
+    weights = "[1/3.0::DOUBLE, 1/6.0::DOUBLE, 1/3.0::DOUBLE]"
+    parts = " UNION ALL ".join(
+        f"""SELECT urgent, done, late, '{f}' AS feature, sum(v * CASE WHEN s & {1 << i} > 0 THEN {weights}[bit_count(s::BIGINT)]
+  ELSE -{weights}[bit_count(s::BIGINT) + 1] END) AS shap_value FROM v GROUP BY 1, 2, 3"""
+        for i, f in enumerate(FLAGS)
+    )
+    return f"""WITH o AS (SELECT * FROM {STEPS}), k AS (SELECT urgent, done, late, count(*) AS n FROM o GROUP BY 1, 2, 3),
+v AS (SELECT x.urgent, x.done, x.late, s, sum(z.n * {value}) / sum(z.n) AS v FROM k x, k z, range(8) t(s) GROUP BY 1, 2, 3, 4)
+SELECT o_orderkey, feature, round(shap_value, 6) AS shap_value FROM o JOIN ({parts}) p USING (urgent, done, late)"""
+
+
+@R.add(tree_shap_sql())
+def tree_shap_all_rows(spark, sf_dir):
+    """A tree that meets its labels exactly, against the whole table as background."""
+    flags = [F.col("o_orderpriority") == "1-URGENT", F.col("o_orderstatus") == "F", F.month("o_orderdate") > 8]
+    df = table(spark, sf_dir, "orders").select("o_orderkey", *[c.cast("int").alias(f) for c, f in zip(flags, FLAGS, strict=True)])
+    u, d, late = (F.col(f) for f in FLAGS)
+    df = df.withColumn("y", 2.0 * u * d + 1.5 * late + 0.5 * u + 0.25 * d * late)
+    tree = {"Tree": DecisionTreeRegressor(featuresCol="_features", labelCol="_label", maxDepth=3)}
+    run, _ = train.fit(df, "y", ["o_orderkey"], forced_type="regression", estimators=tree, blend=False)
+    out = shapley.model_shapley(df, run, ["o_orderkey"])
+    return rounded(out.select("o_orderkey", "feature", "shap_value"), 6)
+
+
+@R.add()
+def forest_shap(spark, sf_dir):
+    """Shapley values of a forest for every customer, every customer as background."""
+    df = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment", "c_nationkey", (F.col("c_acctbal") * F.sqrt(F.col("c_nationkey") + 1.0)).alias("worth"))
+    run, _ = train.fit(df, "worth", ["c_custkey"], estimators={"Forest": RandomForestRegressor(featuresCol="_features", labelCol="_label", seed=42)}, blend=False)
+    return shapley.model_shapley(df, run, ["c_custkey"])
