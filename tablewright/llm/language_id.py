@@ -128,8 +128,8 @@ def document_frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(BUCKETS + 1, np.int64)
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                found = ngrams(t) if t else ()
+            for t in batch.column(0).cast(pa.binary()).to_pylist():
+                found = ngrams(t.decode(errors="replace")) if t else ()
                 if len(found):
                     seen[:-1] += np.bincount(found, minlength=BUCKETS) > 0
                     seen[-1] += 1
@@ -160,7 +160,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
 
     def make():
         def work(texts):
-            made = [term_weights(ngrams(t.decode()) if t else np.zeros(0, np.int64), idf) for t in texts]
+            made = [term_weights(ngrams(t.decode(errors="replace")) if t else np.zeros(0, np.int64), idf) for t in texts]
             return [[m[0] for m in made], [m[1] for m in made]]
 
         return work
@@ -180,7 +180,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def make():
         def work(texts):
-            made = [model.predict(t.decode() if t else None) for t in texts]
+            made = [model.predict(t.decode(errors="replace") if t else None) for t in texts]
             return [[m[0] for m in made], [m[1] for m in made]]
 
         return work

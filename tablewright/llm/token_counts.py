@@ -209,7 +209,7 @@ def count_tokens(df: DataFrame, text: str = "text", tokenizer: str = "piece_bpe_
         def work(texts):
             return [
                 [len(t) if t is not None else 0 for t in texts],
-                counter.count([t.decode() if t is not None else "" for t in texts]),
+                counter.count([t.decode(errors="replace") if t is not None else "" for t in texts]),
             ]
 
         return work

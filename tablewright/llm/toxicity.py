@@ -246,7 +246,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
 
     def count():
         def work(texts):
-            counts = [Counter(terms_of(t.decode()) if t else ()) for t in texts]
+            counts = [Counter(terms_of(t.decode(errors="replace")) if t else ()) for t in texts]
             yield [i for i, c in enumerate(counts) for _ in c], [t for c in counts for t in c]
 
         return work
@@ -271,7 +271,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
         scorer = Scorer(lexicon, START_COEFFICIENTS)
 
         def work(texts):
-            return [[scorer.features(t.decode() if t else "") for t in texts]]
+            return [[scorer.features(t.decode(errors="replace") if t else "") for t in texts]]
 
         return work
 
@@ -288,7 +288,7 @@ def score(docs: DataFrame, model: tuple[Lexicon, list[float]], text: str = "text
         scorer = Scorer(lexicon, coefficients)
 
         def work(texts):
-            scores = [scorer.score(t.decode() if t else "") for t in texts]
+            scores = [scorer.score(t.decode(errors="replace") if t else "") for t in texts]
             return [scores, [int(s >= 0.5) for s in scores]]
 
         return work
@@ -304,7 +304,7 @@ def drop_toxic(docs: DataFrame, model: tuple[Lexicon, list[float]], text: str =
         scorer = Scorer(lexicon, coefficients)
 
         def work(texts):
-            return [[scorer.score(t.decode() if t else "") >= 0.5 for t in texts]]
+            return [[scorer.score(t.decode(errors="replace") if t else "") >= 0.5 for t in texts]]
 
         return work
 
