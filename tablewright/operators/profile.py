@@ -182,7 +182,7 @@ def label_summary(df: DataFrame, label: str) -> DataFrame:
     df = nan_to_null(df)
     if label not in df.columns:
         return df.sparkSession.createDataFrame(
-            [(f"no column '{label}' to profile as a label",)], "error string"
+            [(f"column '{label}' was not found, so no label can be profiled",)], "error string"
         )
     dtype = dict(df.dtypes)[label]
     if is_classification(df, label, K.CLASSIFICATION_MAX_CLASSES):
