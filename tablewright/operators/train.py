@@ -42,7 +42,7 @@ from tablewright.functions.schema import (
     numeric_columns,
     require_columns,
 )
-from tablewright.operators import evaluate
+from tablewright.operators import evaluate, quantile
 from tablewright.operators.errors import flag_low_confidence, predicted_probability
 from tablewright.operators.explain import permutation_importance
 from tablewright.operators.splits import aggregate_scores, assign_folds, assign_test, fold_pairs
@@ -58,11 +58,12 @@ FAMILIES = {"GBM": "boost", "XGB": "boost", "CAT": "boost", "RF": "forest", "XT"
 CLASS_METRICS = ("accuracy", "balanced_accuracy", "f1_macro", "f1_weighted", "mcc", "log_loss")
 BINARY_METRICS = ("f1", "roc_auc", *CLASS_METRICS)
 REGRESSION_METRICS = ("root_mean_squared_error", "mean_absolute_error", "r2")
-LOWER_IS_BETTER = ("log_loss", "root_mean_squared_error", "mean_absolute_error")
+QUANTILE_METRICS = ("pinball_loss", *REGRESSION_METRICS)
+LOWER_IS_BETTER = ("log_loss", "root_mean_squared_error", "mean_absolute_error", "pinball_loss")
 
 
 def problem_type(df: DataFrame, label: str, forced: str | None = None) -> str:
-    """binary, multiclass or regression; ``quantile`` is accepted and fitted as regression."""
+    """binary, multiclass or regression; ``quantile``, fitted on the pinball loss, only when forced."""
     if forced is not None:
         if forced not in ("binary", "multiclass", "regression", "quantile"):
             raise ValueError(f"Unsupported problem type: {forced}")
@@ -78,7 +79,8 @@ def _kind_of(n_classes: int, numeric: bool) -> str:
 
 
 def default_metric(kind: str) -> str:
-    return "accuracy" if kind in ("binary", "multiclass") else "root_mean_squared_error"
+    named = {"quantile": "pinball_loss", "regression": "root_mean_squared_error"}
+    return named.get(kind, "accuracy")
 
 
 def preparation(df: DataFrame, features: Sequence[str]) -> list:
@@ -148,11 +150,13 @@ def _as_numbers(name: str, kind: T.DataType) -> dict[str, str]:
     return out
 
 
-def candidates(kind: str, seed: int = K.SEED, quick: bool = False) -> dict[str, object]:
+def candidates(kind: str, seed: int = K.SEED, quick: bool = False, level: float = 0.5) -> dict[str, object]:
     """Estimators fitted by a run; boosting needs one-vs-rest on more than two classes."""
     trees, rounds, depth = (10, 5, 4) if quick else (50, 30, 5)
     f = {"featuresCol": "_features", "labelCol": "_label"}
-    if kind in ("regression", "quantile"):
+    if kind == "quantile":
+        return quantile.candidates(level, seed, quick)
+    if kind == "regression":
         return {
             "Linear": LinearRegression(**f, regParam=0.01),
             "RandomForest": RandomForestRegressor(**f, numTrees=trees, maxDepth=depth, seed=seed),
@@ -183,6 +187,7 @@ class Fitted:
     best: str = ""
     weights: dict[str, float] = field(default_factory=dict)
     threshold: float | None = None
+    level: float | None = None
 
     def info(self) -> dict:
         out = {
@@ -194,6 +199,8 @@ class Fitted:
         }
         if self.threshold is not None:
             out["decision_threshold"] = self.threshold
+        if self.level is not None:
+            out["quantile_level"] = self.level
         return out
 
     def _value(self, df: DataFrame, model: str, out: str) -> DataFrame:
@@ -293,16 +300,16 @@ class Fitted:
         truth = col(self.label)
         if not self.classes:
             y = truth.cast("double")
-            row = scored.agg(
-                *[
-                    F.struct(
-                        F.sqrt(F.avg((y - v) ** 2)).alias("root_mean_squared_error"),
-                        F.avg(F.abs(y - v)).alias("mean_absolute_error"),
-                        evaluate.r2_score(y, y - v).alias("r2"),
-                    ).alias(f"m{i}")
-                    for i, v in enumerate(values.values())
+
+            def errors(v: Column) -> list[Column]:
+                out = [
+                    F.sqrt(F.avg((y - v) ** 2)).alias("root_mean_squared_error"),
+                    F.avg(F.abs(y - v)).alias("mean_absolute_error"),
+                    evaluate.r2_score(y, y - v).alias("r2"),
                 ]
-            ).first()
+                return out if self.level is None else [*out, F.avg(quantile.pinball(y, v, self.level)).alias("pinball_loss")]
+
+            row = scored.agg(*[F.struct(*errors(v)).alias(f"m{i}") for i, v in enumerate(values.values())]).first()
             return {m: {k: float(x) for k, x in row[i].asDict().items()} for i, m in enumerate(values)}
         index = F.array_position(F.array(*[F.lit(c) for c in self.classes]), truth) - 1
         cells = [
@@ -356,9 +363,11 @@ def fit(
     calibrate: str | None = None,
     seed: int = K.SEED,
     quick: bool = False,
+    quantile_level: float = 0.5,
 ) -> tuple[Fitted, DataFrame]:
     """Fit the candidates and rank them on a validation slice of ``train``.
 
+    ``quantile_level`` is the level of a run with ``forced_type="quantile"``, whose label has to be a number.
     Returns the run and its leaderboard ``model, score_val, fit_time, pred_time_val``.
     """
     require_columns(train, [label, *key], "fit")
@@ -366,9 +375,12 @@ def fit(
     found = label_values(known, label, MAX_CLASSES + 1)
     kind = problem_type(known, label, forced_type) if forced_type else _kind_of(len(found), label in numeric_columns(train))
     metric = eval_metric or default_metric(kind)
-    allowed = {"binary": BINARY_METRICS, "multiclass": CLASS_METRICS}.get(kind, REGRESSION_METRICS)
+    allowed = {"binary": BINARY_METRICS, "multiclass": CLASS_METRICS, "quantile": QUANTILE_METRICS}.get(kind, REGRESSION_METRICS)
     if metric not in allowed:
         raise ValueError(f"'{metric}' is not a metric for {kind}: {allowed}")
+    if kind == "quantile" and label not in numeric_columns(train):
+        raise ValueError(f"quantiles need a number, '{label}' is none")
+    level = quantile.check_level(quantile_level) if kind == "quantile" else None
     classes: list = []
     if kind in ("binary", "multiclass"):
         classes = sorted(found)
@@ -384,12 +396,12 @@ def fit(
     fitting = split.where("NOT is_test").drop("is_test")
     features = with_values(fitting, features)
     prepare = Pipeline(stages=preparation(fitting, features)).fit(fitting)
-    run = Fitted(label, kind, metric, features, classes, prepare, {})
+    run = Fitted(label, kind, metric, features, classes, prepare, {}, level=level)
     ready = prepare.transform(_with_label(split, label, classes)).select("is_test", "_label", "_features").persist()
     slice_rows = split.where("is_test").drop("is_test").persist()
     board = []
     try:
-        chosen = estimators if estimators is not None else candidates(kind, seed, quick)
+        chosen = estimators if estimators is not None else candidates(kind, seed, quick, quantile_level)
         for name, est in chosen.items():
             begin = time.perf_counter()
             run.models[name] = est.fit(ready.where("NOT is_test"))
@@ -443,6 +455,8 @@ def score_expression(run: Fitted, cut: float = 0.5) -> Column:
         gap = truth.cast("double") - value
         if run.metric == "mean_absolute_error":
             return -F.avg(F.abs(gap))
+        if run.metric == "pinball_loss":
+            return -F.avg(quantile.pinball(truth.cast("double"), value, run.level))
         return evaluate.r2_score(truth.cast("double"), gap) if run.metric == "r2" else -F.sqrt(F.avg(gap**2))
     said = run._pick(value, cut if run.threshold is None else run.threshold)
     if run.metric in ("log_loss", "roc_auc"):

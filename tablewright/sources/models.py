@@ -17,7 +17,7 @@ def save_run(spark: SparkSession, run: Fitted, path: str) -> None:
     about = {
         "label": run.label, "kind": run.kind, "metric": run.metric, "features": run.features,
         "classes": run.classes, "best": run.best, "weights": run.weights, "threshold": run.threshold,
-        "models": list(run.models),
+        "level": run.level, "models": list(run.models),
     }
     spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.text(f"{path}/run")
 

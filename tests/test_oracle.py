@@ -10,7 +10,7 @@ from oracle import compare, duck
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
 # tree ensembles, checked at full size by tests/oracle.py
-SLOW = {"train_leaderboard", "tune_trials", "improve_until", "auto_drop", "model_importance", "model_pdp", "model_shap"}
+SLOW = {"train_leaderboard", "tune_trials", "improve_until", "auto_drop", "model_importance", "model_pdp", "model_shap", "quantile_run"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
 

@@ -7,13 +7,14 @@ least squares does, so fitting, cross-validation and back-testing are also run w
 from __future__ import annotations
 
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import functions as F
 
-from tablewright.operators import drift, explain, report, shapley, splits, train
+from tablewright.operators import drift, explain, quantile, report, shapley, splits, train
 from tablewright.plans.lineage import scratch_path
 from tablewright.streaming import monitor
-from workloads.common import Registry, rounded, table
+from workloads.common import REGRESSION_SQL, Registry, rounded, scored_regression, table
 
 R = Registry()
 
@@ -439,3 +440,34 @@ def forest_shap(spark, sf_dir):
     df = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment", "c_nationkey", (F.col("c_acctbal") * F.sqrt(F.col("c_nationkey") + 1.0)).alias("worth"))
     run, _ = train.fit(df, "worth", ["c_custkey"], estimators={"Forest": RandomForestRegressor(featuresCol="_features", labelCol="_label", seed=42)}, blend=False)
     return shapley.model_shapley(df, run, ["c_custkey"])
+
+
+@R.add("""WITH q AS (SELECT unnest([0.1, 0.5, 0.9]) AS level, unnest(quantile_cont(o_totalprice, [0.1, 0.5, 0.9])) AS fitted FROM orders)
+SELECT level::DOUBLE AS level, round(fitted, 4) AS fitted, round(avg(greatest(level * (o_totalprice - fitted), (level - 1) * (o_totalprice - fitted))), 4) AS pinball_loss,
+  round(avg((o_totalprice <= fitted)::INT), 4) AS coverage, count(*) AS rows FROM orders, q GROUP BY level, fitted""")
+def quantile_levels(spark, sf_dir):
+    """The fit on a feature that says nothing is the plain quantile."""
+    priced_orders = table(spark, sf_dir, "orders").select(F.lit(1.0).alias("one"), F.col("o_totalprice").alias("_label"))
+    ready = VectorAssembler(inputCols=["one"], outputCol="_features").transform(priced_orders)
+    out = None
+    for level in (0.1, 0.5, 0.9):
+        scored = quantile.LinearQuantile(level).fit(ready).transform(ready)
+        scored = scored.withColumns({"level": F.lit(level), "fitted": F.round("prediction", 4)})
+        row = quantile.quantile_scores(scored, "_label", "prediction", level, ["level", "fitted"])
+        out = row if out is None else out.unionByName(row)
+    return rounded(out, 4)
+
+
+@R.add(f"""SELECT l_quantity, round(avg(greatest(0.8 * residual, -0.2 * residual)), 3) AS pinball_loss, round(avg((residual <= 0)::INT), 5) AS coverage, count(*) AS rows
+FROM ({REGRESSION_SQL}) GROUP BY 1""")
+def quantile_scores(spark, sf_dir):
+    scored = quantile.quantile_scores(scored_regression(spark, sf_dir), "actual", "predicted", 0.8, ["l_quantity"])
+    return rounded(rounded(scored, 3, ["pinball_loss"]), 5, ["coverage"])
+
+
+@R.add()
+def quantile_run(spark, sf_dir):
+    """Price at the 0.9 level from its month: leaderboard of the quantile candidates on test rows."""
+    fit_on, test = splits.train_test_split(priced(spark, sf_dir), "y", ["o_orderkey"], stratify=False)
+    run, board = train.fit(fit_on, "y", ["o_orderkey"], forced_type="quantile", quantile_level=0.9)
+    return train.test_leaderboard(run, board, test).drop("fit_time", "pred_time_val")
