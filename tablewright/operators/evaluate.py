@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,7 +13,7 @@ from tablewright.functions.schema import col
 from tablewright.functions.stats import pct
 from tablewright.operators.profile import numeric_profile
 from tablewright.plans.selection import exact_quantiles
-from tablewright.plans.totals import ROWS_PER_BUCKET, bucket_edges, running_totals
+from tablewright.plans.totals import ROWS_PER_BUCKET, bucket_edges, running_totals, with_bucket
 
 MAX_CLASSES = 10_000
 
@@ -142,6 +142,12 @@ def _score_groups(scored: DataFrame, actual: str, score: str, pos_label) -> Data
     )
 
 
+def score_edges(scored: DataFrame, score: str) -> list[float]:
+    """Edges of score buckets; none while one task can order every distinct score."""
+    known = scored.where(col(score).isNotNull())
+    return bucket_edges(known, score) if known.count() > ROWS_PER_BUCKET else []
+
+
 def threshold_table(
     scored: DataFrame, actual: str, score: str, pos_label=None, edges: Sequence[float] | None = None
 ) -> DataFrame:
@@ -201,6 +207,33 @@ def roc_auc(table: DataFrame) -> DataFrame:
     return table.agg(F.try_divide(area, F.max(F.col("p").cast("double") * F.col("n"))).alias("roc_auc"))
 
 
+def roc_auc_by(
+    scored: DataFrame, actual: str, score: str, pos_label, by: Sequence[str], edges: Sequence[float] = ()
+) -> DataFrame:
+    """``by, roc_auc``: the area of each group from one pass, ties counted half; NULL with a single class.
+
+    Equal scores of a group become one row before anything is ordered. Score buckets (``edges``) rank their own rows;
+    what a lower score gains from the buckets above it needs only their totals, at most one row per bucket and group.
+    """
+    hit = col(actual) == F.lit(pos_label)
+    keys = [col(c) for c in by]
+    groups = (
+        scored.where(col(score).isNotNull() & col(actual).isNotNull())
+        .groupBy(*keys, col(score).cast("double").alias("_score"))
+        .agg(F.count_if(hit).alias("_pos"), F.count_if(~hit).alias("_neg"))
+    )
+    bucketed = with_bucket(groups, "_score", edges, "_bucket")
+    above = Window.partitionBy(*keys, "_bucket").orderBy(F.desc("_score"))
+    won = F.sum("_pos").over(above) - F.col("_pos") / 2.0
+    sums = bucketed.withColumn("_area", F.col("_neg") * won).groupBy(*keys, "_bucket").agg(
+        F.sum("_pos").cast("double").alias("_pos"), F.sum("_neg").cast("double").alias("_neg"), F.sum("_area").alias("_area")
+    )
+    before = Window.partitionBy(*keys).orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    total = sums.withColumn("_area", F.col("_area") + F.col("_neg") * F.coalesce(F.sum("_pos").over(before), F.lit(0.0)))
+    both = F.sum("_pos") * F.sum("_neg")
+    return total.groupBy(*keys).agg(F.try_divide(F.sum("_area"), both).alias("roc_auc"))
+
+
 def pr_curve(table: DataFrame) -> DataFrame:
     """``precision, recall, threshold`` plus the closing point (1, 0) without a threshold."""
     curve = table.select(

@@ -19,6 +19,7 @@ from tablewright import constants as K
 from tablewright.functions.hashing import hash_order, hash_prefix
 from tablewright.functions.schema import categorical_columns, col, numeric_columns, require_columns
 from tablewright.functions.stats import pair_corr
+from tablewright.operators import evaluate
 from tablewright.operators.sampling import hash_sample
 from tablewright.plans.attach import spread_for_copies
 
@@ -57,13 +58,14 @@ def permutation_importance(
     features: Sequence[str],
     key: Sequence[str],
     predict: Predict,
-    score: Column,
+    score: Column | Callable[[DataFrame], DataFrame],
     repeats: int = 1,
     seed: int = K.SEED,
 ) -> DataFrame:
     """``feature, importance, stddev``: drop of ``score`` (higher is better) when shuffled.
 
-    ``score`` is an aggregate over the scored table.
+    ``score`` is an aggregate over the scored table. One that is no aggregate of rows is a function from the scored
+    copies, which carry ``_tag``, to ``_tag, score``.
     """
     require_columns(df, [*features, *key], "permutation_importance")
     rows = df.count()
@@ -75,7 +77,9 @@ def permutation_importance(
         shuffled = _replace(
             copies, features, lambda f: F.when(F.col("_tag") == f, F.col(f"_donor.`{f}`")).otherwise(col(f))
         )
-        frames.append(predict(shuffled.drop("_donor")).groupBy("_tag").agg(score.alias("score")).withColumn("_r", F.lit(r)))
+        scored = predict(shuffled.drop("_donor"))
+        tagged = scored.groupBy("_tag").agg(score.alias("score")) if isinstance(score, Column) else score(scored)
+        frames.append(tagged.select("_tag", "score").withColumn("_r", F.lit(r)))
     scores = frames[0]
     for f in frames[1:]:
         scores = scores.unionByName(f)
@@ -87,6 +91,25 @@ def permutation_importance(
     )
 
 
+def auc_score(
+    rows: DataFrame, predict: Predict, actual: str, pos_label, score: str | Column = "prediction"
+) -> Callable[[DataFrame], DataFrame]:
+    """ROC AUC as the score of :func:`permutation_importance`: tie-aware ranks inside every tag, all tags at once.
+
+    ``score`` is the positive class's score in the output of ``predict``. Large tables get score buckets from the
+    untouched rows.
+    """
+    value = col(score) if isinstance(score, str) else score
+
+    def slim(scored: DataFrame, *tags: str) -> DataFrame:
+        return scored.select(*tags, col(actual).alias("_y"), value.cast("double").alias("_s"))
+
+    edges = evaluate.score_edges(slim(predict(rows)), "_s")
+    return lambda scored: evaluate.roc_auc_by(slim(scored, "_tag"), "_y", "_s", pos_label, ["_tag"], edges).withColumnRenamed(
+        "roc_auc", "score"
+    )
+
+
 def _background(df: DataFrame, features: Sequence[str], key: Sequence[str], n: int, seed: int) -> list:
     """At most ``n`` rows, collected: they become a literal of the plan."""
     return hash_sample(df, key, n, seed).select(*[col(f) for f in features]).collect()

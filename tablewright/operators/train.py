@@ -44,7 +44,7 @@ from tablewright.functions.schema import (
 )
 from tablewright.operators import evaluate, quantile
 from tablewright.operators.errors import flag_low_confidence, predicted_probability
-from tablewright.operators.explain import permutation_importance
+from tablewright.operators.explain import auc_score, permutation_importance
 from tablewright.operators.splits import aggregate_scores, assign_folds, assign_test, fold_pairs
 
 MAX_CLASSES = 1_000
@@ -448,7 +448,7 @@ def score_expression(run: Fitted, cut: float = 0.5) -> Column:
     """Aggregate used for permutation importance, over ``_value`` of :meth:`Fitted.outputs`; higher is better.
 
     It is the run's metric: counts per class for the label metrics, negative errors for regression. ROC AUC is not
-    an aggregate of rows, so negative log loss stands in for it.
+    an aggregate of rows: see :func:`feature_importance`.
     """
     truth, value = col(run.label), F.col("_value")
     if not run.classes:
@@ -459,7 +459,9 @@ def score_expression(run: Fitted, cut: float = 0.5) -> Column:
             return -F.avg(quantile.pinball(truth.cast("double"), value, run.level))
         return evaluate.r2_score(truth.cast("double"), gap) if run.metric == "r2" else -F.sqrt(F.avg(gap**2))
     said = run._pick(value, cut if run.threshold is None else run.threshold)
-    if run.metric in ("log_loss", "roc_auc"):
+    if run.metric == "roc_auc":
+        raise ValueError("roc_auc is no aggregate of rows")
+    if run.metric == "log_loss":
         at = F.array_position(F.array(*[F.lit(c) for c in run.classes]), truth) - 1
         return F.avg(F.log(F.greatest(F.coalesce(F.get(value, at.cast("int")), F.lit(0.0)), F.lit(1e-15))))
     if run.metric == "accuracy":
@@ -488,9 +490,12 @@ def feature_importance(
     run: Fitted, test: DataFrame, key: Sequence[str], repeats: int = 1, seed: int = K.SEED
 ) -> DataFrame:
     """Permutation importance of the best model on test rows, most important first."""
-    table = permutation_importance(
-        test.where(col(run.label).isNotNull()), run.features, key, run.outputs, score_expression(run), repeats, seed
-    )
+    rows = test.where(col(run.label).isNotNull())
+    if run.metric == "roc_auc":
+        score = auc_score(rows, run.outputs, run.label, run.classes[1], F.get("_value", F.lit(1)))
+    else:
+        score = score_expression(run)
+    table = permutation_importance(rows, run.features, key, run.outputs, score, repeats, seed)
     return table.orderBy(F.desc("importance"), "feature")
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tablewright.operators import explain, leakage
+from tablewright.operators import evaluate, explain, leakage
 
 KEY = ["id"]
 
@@ -192,3 +192,19 @@ def test_dependence_on_a_column_without_values(spark):
     df = spark.range(5).selectExpr("id", "cast(NULL as double) AS empty", "cast(id as double) AS x")
     out = explain.partial_dependence(df, lambda t: t.withColumn("prediction", F.col("x")), ["empty", "x"], ["id"], n_values=3)
     assert {r.feature for r in out.collect()} == {"x"}
+
+
+@pytest.mark.parametrize("edges", [[], [-0.5, 0.0, 0.5]])
+def test_auc_by_group_counts_ties_half(noise, edges):
+    df = noise(600, "x").select(
+        F.concat(F.lit("g"), F.col("id") % 3).alias("g"), (F.col("x") > 0.1 * (F.col("id") % 7)).alias("hit"),
+        F.when(F.col("id") % 3 == 2, 0.5).when(F.col("id") % 50 == 0, None).otherwise(F.round("x", 1)).alias("s"),
+    )
+    df = df.where("g <> 'g1' OR hit")  # one class only
+    got = {r["g"]: r["roc_auc"] for r in evaluate.roc_auc_by(df, "hit", "s", True, ["g"], edges).collect()}
+    rows = [r for r in df.collect() if r["s"] is not None]
+    assert got["g1"] is None and got["g2"] == pytest.approx(0.5)
+    pairs = [
+        (a["s"] > b["s"]) + (a["s"] == b["s"]) / 2 for a in rows for b in rows if a["g"] == b["g"] == "g0" and a["hit"] and not b["hit"]
+    ]
+    assert got["g0"] == pytest.approx(sum(pairs) / len(pairs))

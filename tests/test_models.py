@@ -219,3 +219,10 @@ def test_registered_training_runs_the_defaults(monkeypatch):
         monkeypatch.setattr(models.train, name, record)
         with pytest.raises(Stop):
             models.R.queries[query](None, "")
+
+
+def test_importance_by_auc(three):
+    df = three.withColumn("y", (F.col("y") == "top").cast("int"))
+    run, _ = train.fit(df, "y", KEY, estimators=tree(), blend=False, eval_metric="roc_auc")
+    got = {r["feature"]: r["importance"] for r in train.feature_importance(run, df, KEY).collect()}
+    assert set(got) == {"a", "b", "c"} and 0.2 < got["a"] < 0.7 and got["c"] == pytest.approx(0.0, abs=0.05)

@@ -128,6 +128,34 @@ def permutation_importance(spark, sf_dir):
     return rounded(out, 5)
 
 
+def auc_importance_sql():
+    """AUC by average ranks of the scores, for the rows as they are and with one feature shuffled at a time."""
+    copies = [f"SELECT '_base' AS tag, truth > 1.6 AS hit, round({formula_sql(*FEATURES)}, 3) AS y FROM {SOURCE}"]
+    for f in FEATURES:
+        args = [f"coalesce(lag({x}) OVER w, last_value({x}) OVER a)" if x == f else x for x in FEATURES]
+        copies.append(f"""SELECT '{f}', truth > 1.6, round({formula_sql(*args)}, 3)
+ FROM (SELECT *, md5(concat_ws('|', o_orderkey, '42')) AS h,
+     floor(('0x' || substr(md5(concat_ws('|', o_orderkey, '42')), 1, 4))::INT * ceil((SELECT count(*) FROM orders) / 100000.0) / 65536) AS b FROM {SOURCE})
+  WINDOW w AS (PARTITION BY b ORDER BY h), a AS (PARTITION BY b ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""")
+    return f"""WITH c AS ({" UNION ALL ".join(copies)}),
+r AS (SELECT tag, hit, rank() OVER (PARTITION BY tag ORDER BY y) + (count(*) OVER (PARTITION BY tag, y) - 1) / 2.0 AS r FROM c),
+s AS (SELECT tag, count_if(hit)::DOUBLE AS p, count_if(NOT hit)::DOUBLE AS n, sum(CASE WHEN hit THEN r END) AS r FROM r GROUP BY 1),
+auc AS (SELECT tag, (r - p * (p + 1) / 2) / (p * n) AS auc FROM s)
+SELECT tag AS feature, round((SELECT auc FROM auc WHERE tag = '_base') - auc, 5) AS importance, 0.0::DOUBLE AS stddev FROM auc WHERE tag <> '_base'"""
+
+
+@R.add(auc_importance_sql())
+def auc_importance(spark, sf_dir):
+    """Drop of the ROC AUC per shuffled feature; scores are rounded so that there are ties."""
+    df = frame(spark, sf_dir).withColumn("hit", F.col("truth") > 1.6)
+
+    def tied(rows):
+        return predict(rows).withColumn("prediction", F.round("prediction", 3))
+
+    score = explain.auc_score(df, tied, "hit", True)
+    return rounded(explain.permutation_importance(df, FEATURES, ["o_orderkey"], tied, score), 5)
+
+
 def shap_sql(background=25):
     value = {f: f"CASE WHEN s & {1 << i} > 0 THEN o.{f} ELSE b.{f} END" for i, f in enumerate(FEATURES)}
     weights = "[1/3.0::DOUBLE, 1/6.0::DOUBLE, 1/3.0::DOUBLE]"
