@@ -16,21 +16,30 @@ from tablewright import constants as K
 from tablewright.functions.hashing import hash_order, hash_prefix
 from tablewright.functions.schema import col, drop_columns, numeric_columns
 from tablewright.functions.stats import to_micros
+from tablewright.plans import strata
 from tablewright.plans.cuts import CELL_ROWS, hash_cuts, segment_by_cuts
+from tablewright.plans.lineage import cut
 from tablewright.plans.selection import exact_quantiles, order_statistics
 from tablewright.plans.totals import weighted_edges, with_bucket
 
-MAX_STRATA = 1_000
+MAX_STRATA = 100
 
 
-def _strata(df: DataFrame, label: str) -> list[tuple]:
-    """Sorted ``(class, rows)``; classes are few by definition of a classification label."""
-    rows = df.groupBy(col(label).alias("g")).count().limit(MAX_STRATA + 1).collect()
-    if len(rows) > MAX_STRATA:
-        raise ValueError(f"'{label}' has more than {MAX_STRATA} classes; use an unstratified split")
-    if any(r["g"] is None for r in rows):
+def _strata(df: DataFrame, label: str) -> list[tuple] | DataFrame:
+    """Sorted ``(class, rows)``, or the table ``g, n`` of more classes than a plan should name."""
+    counted = cut(df.groupBy(col(label).alias("g")).agg(F.count(F.lit(1)).alias("n")))
+    if not counted.where("g IS NULL").isEmpty():
         raise ValueError(f"'{label}' holds NULL; drop those rows before a stratified split")
-    return sorted((r["g"], r["count"]) for r in rows)
+    rows = counted.limit(MAX_STRATA + 1).collect()
+    return counted if len(rows) > MAX_STRATA else sorted((r["g"], r["n"]) for r in rows)
+
+
+def _sizes(counts: list[tuple] | DataFrame) -> tuple[int, int, int, int]:
+    """Classes, rows, rows of the smallest and of the largest class."""
+    if isinstance(counts, DataFrame):
+        return tuple(counts.agg(F.count(F.lit(1)), F.sum("n"), F.min("n"), F.max("n")).first())
+    sizes = [n for _, n in counts]
+    return len(sizes), sum(sizes), min(sizes, default=0), max(sizes, default=0)
 
 
 def _keyed(df: DataFrame, label: str | None, key: Sequence[str], seed: int) -> DataFrame:
@@ -57,18 +66,25 @@ def assign_test(
     seed: int = K.SEED,
     cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
-    """Add boolean ``is_test``: exactly ``ceil(test_size * rows)`` rows, per class when stratified."""
+    """Add boolean ``is_test``: exactly ``ceil(test_size * rows)`` rows, per class when stratified.
+
+    Any number of classes: up to ``MAX_STRATA`` their cuts are literals of the plan, beyond that a joined table.
+    """
     counts = _strata(df, label) if label else [(0, df.count())]
-    rows = sum(n for _, n in counts)
+    classes, rows, smallest, largest = _sizes(counts)
     n_test = math.ceil(test_size * rows)
     if label:
-        if any(n < 2 for _, n in counts):
+        if classes and smallest < 2:
             raise ValueError("a class has only one row; it cannot be in both train and test")
-        if n_test < len(counts) or rows - n_test < len(counts):
+        if n_test < classes or rows - n_test < classes:
             raise ValueError("too few rows for every class to be in both train and test")
+    if isinstance(counts, DataFrame):
+        edges = strata.cut_table(_keyed(df, label, key, seed), strata.shared_out(counts, rows, n_test), rows, cell_rows)
+        marked = strata.with_segment(df, col(label), hash_order(key, seed), edges, rows, "is_test")
+        return marked.withColumn("is_test", F.col("is_test") == 0)
     per_class = share_out([n for _, n in counts], n_test)
     targets = {g: [t] for (g, _), t in zip(counts, per_class, strict=True)}
-    cuts = hash_cuts(_keyed(df, label, key, seed), targets, max(n for _, n in counts), cell_rows)
+    cuts = hash_cuts(_keyed(df, label, key, seed), targets, largest, cell_rows)
     group = col(label) if label else F.lit(0)
     return df.withColumn("is_test", segment_by_cuts(group, hash_order(key, seed), cuts) == 0)
 
@@ -111,10 +127,14 @@ def assign_folds(
 ) -> DataFrame:
     """Add fold number ``0..k-1``; each fold is a range of the hash order of its class."""
     counts = _strata(df, label) if label else [(0, df.count())]
-    if label and max(n for _, n in counts) < k:
+    _, rows, _, largest = _sizes(counts)
+    if label and largest < k:
         raise ValueError(f"no class has {k} rows")
-    if sum(n for _, n in counts) < k:
+    if rows < k:
         raise ValueError(f"fewer than {k} rows")
+    if isinstance(counts, DataFrame):
+        edges = strata.cut_table(_keyed(df, label, key, seed), strata.dealt_out(counts, k), rows, cell_rows)
+        return strata.with_segment(df, col(label), hash_order(key, seed), edges, rows, column)
     targets = {}
     for (g, _), sizes in zip(counts, fold_plan([n for _, n in counts], k), strict=True):
         ends, at = [], 0
@@ -122,7 +142,7 @@ def assign_folds(
             at += n
             ends.append(at)
         targets[g] = ends
-    cuts = hash_cuts(_keyed(df, label, key, seed), targets, max(n for _, n in counts), cell_rows)
+    cuts = hash_cuts(_keyed(df, label, key, seed), targets, largest, cell_rows)
     group = col(label) if label else F.lit(0)
     return df.withColumn(column, segment_by_cuts(group, hash_order(key, seed), cuts).cast("int"))
 

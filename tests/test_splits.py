@@ -96,3 +96,31 @@ def test_score_aggregates(spark):
     df = spark.createDataFrame([(1, {"f1": 0.7, "rmse": 0.5}), (2, {"f1": 0.9, "rmse": 0.3}), (3, {"rmse": 0.4})], "fold int, scores map<string,double>")
     got = {r["metric"]: (r["mean"], r["std"]) for r in splits.aggregate_score_maps(df).collect()}
     assert got["f1"] == (0.8, 0.1) and got["rmse"][0] == 0.4
+
+
+@pytest.fixture(scope="module")
+def many(spark):
+    """Classes of 2 to 8 rows, and one that holds a third of all rows."""
+    small = spark.range(400).select(F.explode(F.sequence(F.lit(0), 1 + F.col("id") % 7)).alias("k"), F.format_string("c%03d", "id").alias("y"))
+    hot = spark.range(900).select(F.col("id").alias("k"), F.lit("hot").alias("y"))
+    return small.unionByName(hot).withColumns({"is_test": F.lit("mine"), "edges": F.lit(1)}).persist()
+
+
+@pytest.mark.parametrize("cell_rows", [7, 50_000])
+def test_strata_as_a_table_equal_literals(many, monkeypatch, cell_rows):
+    rows, key = many.drop("is_test"), ["k", "y"]
+    literal = splits.assign_test(rows, key, "y", test_size=0.3), splits.assign_folds(rows, key, 3, "y")
+    want = [{tuple(r) for r in df.collect()} for df in literal]
+    monkeypatch.setattr(splits, "MAX_STRATA", 10)
+    tables = splits.assign_test(rows, key, "y", test_size=0.3, cell_rows=cell_rows), splits.assign_folds(rows, key, 3, "y", cell_rows=cell_rows)
+    for df, expected in zip(tables, want, strict=True):
+        assert {tuple(r) for r in df.collect()} == expected and len(expected) == rows.count()
+    assert splits.assign_test(many, key, "y", test_size=0.3).schema["is_test"].dataType.simpleString() == "boolean"
+
+
+def test_fifty_thousand_strata(spark):
+    small = spark.range(100_000).select("id", F.format_string("c%d", F.col("id") % 50_000).alias("y"))
+    df = small.unionByName(spark.range(100_000, 150_000).select("id", F.lit("hot").alias("y")))
+    out = splits.assign_test(df, ["id"], "y", test_size=0.5)
+    sizes = out.groupBy("y").agg(F.count_if("is_test").alias("t"), F.count(F.lit(1)).alias("n"))
+    assert sizes.where("t * 2 <> n").count() == 0 and sizes.count() == 50_001

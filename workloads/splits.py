@@ -108,3 +108,30 @@ def fold_scores(spark, sf_dir):
 def global_row_number(spark, sf_dir):
     df = orders(spark, sf_dir).select("o_orderkey", "o_orderdate")
     return splits.global_row_number(df, "o_orderdate", ["o_orderkey"]).drop("o_orderdate")
+
+
+EVENTS = "md5(concat_ws('|', event_id, '42'))"
+
+
+@R.add(f"""WITH n AS (SELECT user_id AS g, count(*) AS n FROM events GROUP BY 1),
+q AS (SELECT g, n, ceil(0.2 * (SELECT count(*) FROM events)) AS total,
+        ceil(0.2 * (SELECT count(*) FROM events)) * n / (SELECT count(*) FROM events) AS exact FROM n),
+s AS (SELECT *, floor(exact) + CASE WHEN row_number() OVER (ORDER BY exact - floor(exact) DESC, g)
+        <= total - sum(floor(exact)) OVER () THEN 1 ELSE 0 END AS take FROM q)
+SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY {EVENTS}) <= take AS is_test
+FROM events JOIN s ON g = user_id""")
+def split_many_strata(spark, sf_dir):
+    """Every user is a class."""
+    df = table(spark, sf_dir, "events").select("event_id", "user_id")
+    return splits.assign_test(df, ["event_id"], "user_id")
+
+
+@R.add(f"""WITH r AS (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY {H}) - 1 AS i FROM orders),
+c AS (SELECT o_custkey AS g, count(*) AS n, sum(count(*)) OVER (ORDER BY o_custkey) - count(*) AS start FROM orders GROUP BY 1),
+f AS (SELECT g, fold, (SELECT count(*) FROM range(n::BIGINT) t(j) WHERE (start + j) % 4 = fold) AS size FROM c, range(4) k(fold)),
+e AS (SELECT g, fold, sum(size) OVER (PARTITION BY g ORDER BY fold) AS hi, size FROM f)
+SELECT o_orderkey, fold::INT AS fold FROM r JOIN e ON g = o_custkey AND i < hi AND i >= hi - size""")
+def kfold_many_strata(spark, sf_dir):
+    """Every customer is a class, some of a single order."""
+    df = orders(spark, sf_dir).select("o_orderkey", "o_custkey")
+    return splits.assign_folds(df, ["o_orderkey"], 4, "o_custkey").drop("o_custkey")
