@@ -364,9 +364,11 @@ def fit(
     seed: int = K.SEED,
     quick: bool = False,
     quantile_level: float = 0.5,
+    time_limit: float | None = None,
 ) -> tuple[Fitted, DataFrame]:
     """Fit the candidates and rank them on a validation slice of ``train``.
 
+    With ``time_limit`` no further candidate is fitted after so many seconds; the first one always is.
     ``quantile_level`` is the level of a run with ``forced_type="quantile"``, whose label has to be a number.
     Returns the run and its leaderboard ``model, score_val, fit_time, pred_time_val``.
     """
@@ -402,7 +404,10 @@ def fit(
     board = []
     try:
         chosen = estimators if estimators is not None else candidates(kind, seed, quick, quantile_level)
+        started = time.perf_counter()
         for name, est in chosen.items():
+            if board and time_limit is not None and time.perf_counter() - started > time_limit:
+                break
             begin = time.perf_counter()
             run.models[name] = est.fit(ready.where("NOT is_test"))
             fitted = time.perf_counter()
@@ -636,20 +641,21 @@ def tune_family(
         raise ValueError(f"model_family '{family}' not supported. Choose from: {sorted(FAMILIES)}")
     kind = problem_type(train.where(col(label).isNotNull()), label)
     trials = search_space(family, kind, n_trials, seed)
-    begin = time.perf_counter()
-    best, rows = None, []
-    for i, (est, params) in enumerate(trials):
-        if i and time_limit is not None and time.perf_counter() - begin > time_limit:
-            break
-        run, board = fit(train, label, key, eval_metric=eval_metric, estimators={f"{family}_{i + 1}": est}, blend=False, seed=seed)
-        row = board.first()
-        rows.append((row["model"], {k: str(v) for k, v in params.items()}, row["score_val"], row["fit_time"]))
-        if best is None or row["score_val"] > best[0]:
-            best = (row["score_val"], run)
+    named = {f"{family}_{i + 1}": est for i, (est, _) in enumerate(trials)}
+    # the table is split and prepared once for all trials
+    run, board = fit(
+        train, label, key, eval_metric=eval_metric, estimators=named, blend=False, seed=seed, time_limit=time_limit
+    )
+    held = {f"{family}_{i + 1}": {k: str(v) for k, v in params.items()} for i, (_, params) in enumerate(trials)}
+    scores = {r["model"]: r for r in board.collect()}
+    rows = [(n, p, scores[n]["score_val"], scores[n]["fit_time"]) for n, p in held.items() if n in scores]
+    # the earliest of equally good trials
+    run.best = max(rows, key=lambda r: r[2])[0]
+    run.models = {run.best: run.models[run.best]}
     table = train.sparkSession.createDataFrame(
         rows, "trial string, params map<string,string>, score_val double, fit_time double"
     )
-    return best[1], table.orderBy(F.desc("score_val"), "trial")
+    return run, table.orderBy(F.desc("score_val"), "trial")
 
 
 def scoring_summary(run: Fitted, data: DataFrame) -> DataFrame:

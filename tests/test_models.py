@@ -226,3 +226,15 @@ def test_importance_by_auc(three):
     run, _ = train.fit(df, "y", KEY, estimators=tree(), blend=False, eval_metric="roc_auc")
     got = {r["feature"]: r["importance"] for r in train.feature_importance(run, df, KEY).collect()}
     assert set(got) == {"a", "b", "c"} and 0.2 < got["a"] < 0.7 and got["c"] == pytest.approx(0.0, abs=0.05)
+
+
+def test_search_prepares_once(three, monkeypatch):
+    made = []
+    whole = train.preparation
+    monkeypatch.setattr(train, "preparation", lambda *a: made.append(1) or whole(*a))
+    run, table = train.tune_family(three, "y", KEY, "RF", n_trials=2)
+    rows = table.collect()
+    assert len(made) == 1 and [r["trial"] for r in rows][0] == run.best and set(run.models) == {run.best}
+    assert {r["trial"] for r in rows} == {"RF_1", "RF_2"} and rows[0]["score_val"] >= rows[1]["score_val"]
+    _, one = train.tune_family(three, "y", KEY, "RF", n_trials=2, time_limit=0.0)
+    assert [r["trial"] for r in one.collect()] == ["RF_1"]
