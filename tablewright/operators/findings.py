@@ -28,7 +28,6 @@ FAMILY_NAMES = (
     "tabular",
     "linear",
 )
-MAX_DEPTH = 100
 
 
 def model_family(model: Column) -> Column:
@@ -181,22 +180,31 @@ def findings_table(rows: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
 
-def dependency_closure(edges: DataFrame, start: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def dependency_closure(edges: DataFrame, start: DataFrame, max_depth: int | None = None) -> DataFrame:
     """``run_id, model``: the start models and everything they are built from.
 
-    ``edges`` is ``run_id, parent, child``; cycles end by themselves, since only models not
-    seen before are followed. Each level is written to the checkpoint folder.
+    ``edges`` is ``run_id, parent, child``. The jumps double: a round adds what is one jump of 1, 2, 4, ... levels away
+    from what is known, so a chain of n levels takes about log2(n) rounds, each written to the checkpoint folder. It
+    ends when no child of a known model is missing, which also ends cycles. With ``max_depth`` a longer shortest path
+    is an error.
     """
     links = cut(edges.select("run_id", F.col("parent").alias("model"), "child").distinct())
-    seen = cut(start.select("run_id", "model").distinct())
-    frontier = seen
-    for _ in range(max_depth):
-        reached = frontier.join(links, ["run_id", "model"]).select("run_id", F.col("child").alias("model"))
-        frontier = cut(reached.distinct().join(seen, ["run_id", "model"], "left_anti"))
-        if frontier.isEmpty():
-            return seen
-        seen = seen.unionByName(frontier)
-    raise ValueError(f"dependencies are deeper than {max_depth} levels")
+    known = cut(start.select("run_id", "model").distinct().withColumn("_depth", F.lit(0)))
+    jump, levels = links, 1
+    while True:
+        reached = known.join(jump, ["run_id", "model"]).select(
+            "run_id", F.col("child").alias("model"), (F.col("_depth") + levels).alias("_depth")
+        )
+        known = cut(known.unionByName(reached).groupBy("run_id", "model").agg(F.min("_depth").alias("_depth")))
+        children = links.join(known, ["run_id", "model"], "left_semi").select("run_id", F.col("child").alias("model"))
+        if children.join(known, ["run_id", "model"], "left_anti").isEmpty():
+            break
+        onwards = jump.select("run_id", F.col("model").alias("_via"), F.col("child").alias("_end"))
+        twice = jump.withColumnRenamed("child", "_via").join(onwards, ["run_id", "_via"])
+        jump, levels = cut(twice.select("run_id", "model", F.col("_end").alias("child")).distinct()), levels * 2
+    if max_depth is not None and not known.where(F.col("_depth") > max_depth).isEmpty():
+        raise ValueError(f"dependencies are deeper than {max_depth} levels")
+    return known.drop("_depth")
 
 
 def ensemble_analysis(leaderboard: DataFrame, edges: DataFrame, best: DataFrame | None = None) -> DataFrame:

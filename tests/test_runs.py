@@ -146,3 +146,28 @@ def test_run_files_are_matched_by_name(spark, tmp_path):
     assert dict(typed.dtypes)["score_test"] == "double" and typed.agg({"score_test": "sum"}).first()[0] == pytest.approx(2.2)
     best = {r.run_id: r.best_test_score for r in runs.compare_runs(spark, str(tmp_path)).collect()}
     assert best == {"a": 0.5, "b": 0.7, "c": 1.0}
+
+
+def test_closure_of_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    calls = []
+    whole = findings.cut
+    monkeypatch.setattr(findings, "cut", lambda df: calls.append(1) or whole(df))
+    chain = spark.range(3000).select(F.lit("r").alias("run_id"), F.col("id").cast("string").alias("parent"), (F.col("id") + 1).cast("string").alias("child"))
+    start = spark.createDataFrame([("r", "0"), ("other", "0")], "run_id string, model string")
+    got = findings.dependency_closure(chain, start)
+    assert got.where("run_id = 'r'").count() == 3001 and got.where("run_id = 'other'").count() == 1
+    assert len(calls) <= 2 + 2 * 12
+    assert findings.dependency_closure(chain.limit(0), start).count() == 2
+
+
+def test_closure_of_branches_against_a_walk(spark):
+    links = [(run, i, j) for run in "ab" for i in range(40) for j in range(40) if (i * 7 + j * 11 + ord(run)) % 37 == 0]
+    edges = spark.createDataFrame([(r, str(i), str(j)) for r, i, j in links], "run_id string, parent string, child string")
+    want, todo = set(), [("a", 1), ("b", 2), ("b", 5)]
+    start = spark.createDataFrame([(r, str(i)) for r, i in todo], "run_id string, model string")
+    while todo:
+        at = todo.pop()
+        if at not in want:
+            want.add(at)
+            todo += [(r, j) for r, i, j in links if (r, i) == at]
+    assert {(r["run_id"], int(r["model"])) for r in findings.dependency_closure(edges, start).collect()} == want
