@@ -8,10 +8,13 @@ line are one paragraph, and paragraphs of over ``MOST_WORDS`` words are cut like
 1. Pieces, and paragraphs of ``least_words`` words or more, are sets of five-word shingles (shorter ones are one
    shingle). Those of equal words are one class, by partial aggregation.
 2. Classes are banded: ``tuned`` chooses bands and rows so that a pair at the threshold collides with the recall asked
-   for. In each bucket a class is compared with the smallest and the largest class, so a bucket gives pairs in
-   proportion to its size.
-3. Colliding pairs are verified by exact Jaccard on their shingles, fetched from the documents that hold them; components of
-   what passes are clusters.
+   for. Paragraphs have bands of several rows, which keep those of one template apart; pieces are a few shingles, of
+   which unrelated ones share none, and have bands of one row. Pieces too small to reach the threshold unless they are
+   equal have none. In each bucket every class is first compared with the smallest and the largest one.
+3. Colliding pairs are verified by exact Jaccard on their shingles. Buckets whose members are then still in several
+   components are compared in blocks of about ``BLOCK`` members, each pair of blocks in a task of its own; only
+   links that join two components leave a task. So every pair that shares a bucket ends in one component if it reaches
+   the threshold, and a bucket of near copies is not expanded.
 4. Of every paragraph cluster that several documents have, the first occurrence stays and the others are removed. Of every
    piece cluster the first occurrence outside removed paragraphs stays and the others are removed; so what an edited
    copy of a paragraph has of its own is not lost where it stands elsewhere. Only pieces in runs of ``least_words`` words
@@ -21,8 +24,11 @@ line are one paragraph, and paragraphs of over ``MOST_WORDS`` words are cut like
 A passage of more than 50 words has several cuts inside, and its whole pieces make up 25 words or more in
 nearly all cases; a shared run of under 25 words is never reported.
 
-Null, empty and wordless texts have no paragraphs. Repeated rows of one id and text are one document, and what
-only one document repeats is not reported; rows without an id are not looked at. An empty table gives an empty result.
+Null, empty and wordless texts have no paragraphs. Very long texts are cut whole, like others. Repeated rows of one id and
+text are one document, and what only one id repeats is not reported; texts that share an id keep spans of their own, told
+apart by ``text_hash``. Rows without an id are not looked at. Ties go to the smaller id, then to the smaller hash. Extra
+columns are not looked at, and names that begin with an underscore are kept for the operator. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -30,6 +36,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,6 +54,10 @@ MOST_WORDS = 150
 THRESHOLD = 0.8
 RECALL = 0.95
 LEAST_WORDS = 25
+#: Hashes a paragraph at most: four rows a band keep paragraphs of one template apart.
+MOST_HASHES = 24
+PIECE_HASHES = 2
+BLOCK = 500
 BROADCAST_ROWS = 1_000_000
 
 
@@ -115,17 +126,16 @@ def numbered(own: np.ndarray) -> np.ndarray:
     return np.arange(len(own)) - np.searchsorted(own, own)
 
 
-def units(texts: list[bytes | None], least_words: int):
-    """Per slice, of pieces and then of paragraphs of ``least_words`` or more: row, content, distinct shingles and
-    the piece or paragraph of each."""
-    for a, words, row, *starts in cut_texts(texts):
-        for start, least in zip(starts, (1, least_words), strict=True):
-            end = np.r_[start[1:], len(words)]
-            size = end - start
-            taken = size >= least
-            if taken.any():
-                hashed = content(words, start[taken], end[taken])
-                yield row[start[taken]] + a, hashed, *paragraph_shingles(words[np.repeat(taken, size)], size[taken])
+def units(texts: list[bytes | None], least_words: int, pieces: bool):
+    """Per slice, of pieces or of paragraphs of ``least_words`` or more: row, content, distinct shingles and the piece or
+    paragraph of each."""
+    for a, words, row, small, large in cut_texts(texts):
+        start = small if pieces else large
+        size = np.diff(np.r_[start, len(words)])
+        taken = size >= (1 if pieces else least_words)
+        if taken.any():
+            hashed = content(words, start[taken], (start + size)[taken])
+            yield row[start[taken]] + a, hashed, *paragraph_shingles(words[np.repeat(taken, size)], size[taken])
 
 
 def paragraph_shingles(words: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -176,129 +186,186 @@ def places(docs: DataFrame, text: str, key: str, least_words: int) -> DataFrame:
         return work
 
     schema = "_seq int, _first int, _words int, _piece int, _block int, _content bigint, _paragraph bigint"
-    return explode_from(docs, text, [key], schema, make)
+    return explode_from(docs, text, [key, "_text"], schema, make)
 
 
-def signatures(docs: DataFrame, text: str, key: str, bands: int, rows: int, least_words: int) -> DataFrame:
-    """(key, _content, _n: distinct shingles, _keys: one hash per band) of pieces and paragraphs."""
+def classes_of(docs: DataFrame, text: str, key: str, banding: tuple[int, int], threshold: float, least_words: int, pieces: bool) -> DataFrame:
+    """Classes of equal pieces or paragraphs: (_content, _holder: smallest id, _again: in several ids, _k0, _k1 ...: band
+    keys, null where only an equal set is near)."""
+    bands, rows = banding
 
     def make():
         def work(texts):
-            for own, hashed, found, at in units(texts, least_words):
-                keys = np.stack(band_keys(found, at, len(own), bands, rows), 1)
-                column = pa.ListArray.from_arrays(
-                    np.arange(0, bands * len(own) + 1, bands, dtype=np.int32), pa.array(signed(np.ascontiguousarray(keys).ravel()))
-                )
-                yield own, signed(hashed), np.bincount(at, minlength=len(own)), column
+            for own, hashed, found, at in units(texts, least_words, pieces):
+                size = np.bincount(at, minlength=len(own))
+                # sets that differ reach no more than n / (n + 1)
+                alone = size < threshold * (size + 1)
+                keys = band_keys(found, at, len(own), bands, rows)
+                yield own, signed(hashed), *[pa.array(signed(k), mask=alone) for k in keys]
 
         return work
 
-    return explode_from(docs, text, [key], "_content bigint, _n int, _keys array<bigint>", make)
+    names = [f"_k{i}" for i in range(bands)]
+    held = explode_from(docs, text, [key], "_content bigint, " + ", ".join(f"{n} bigint" for n in names), make)
+    classes = held.groupBy("_content").agg(
+        F.min(f"`{key}`").alias("_holder"), F.max(f"`{key}`").alias("_last"), *[F.max(n).alias(n) for n in names]
+    )
+    return classes.select("_content", "_holder", (F.col("_holder") < F.col("_last")).alias("_again"), *names)
 
 
-def repeated_and_alike(docs: DataFrame, text: str, key: str, bands: int, rows: int, least_words: int) -> DataFrame:
-    """Classes of several documents or share a bucket: (_content, _n, _again: in several documents, _holder,
-    _least and _most: content, n and holder of the bucket's ends)."""
-    classes = signatures(docs, text, key, bands, rows, least_words).groupBy("_content").agg(
-        F.min(f"`{key}`").alias("_holder"), F.max(f"`{key}`").alias("_last"), F.first("_n").alias("_n"), F.first("_keys").alias("_keys")
-    )
-    again = F.col("_holder") < F.col("_last")
-    banded = classes.select("_content", "_n", again.alias("_again"), "_holder", F.explode("_keys").alias("_bucket"))
-    bucket = Window.partitionBy("_bucket")
-    self = F.struct("_content", "_n", "_holder")
-    met = banded.withColumns(
-        {"_least": F.min(self).over(bucket), "_most": F.max(self).over(bucket)}
-    ).where("_again OR _least._content <> _most._content")
-    return met.select("_content", "_n", "_again", "_holder", "_least", "_most")
+def banded(classes: DataFrame, bands: int) -> DataFrame:
+    rows = classes.where("_k0 IS NOT NULL")
+    return rows.select("_content", "_holder", F.explode(F.array(*[f"_k{i}" for i in range(bands)])).alias("_bucket"))
 
 
-def verified_links(docs: DataFrame, text: str, key: str, pairs: DataFrame, threshold: float, least_words: int) -> DataFrame:
-    """Pairs (a, b) whose shingle sets reach ``threshold``."""
-    ends = cut(
-        pairs.select(F.explode(F.array(F.struct("a", F.col("a_holder")), F.struct(F.col("b").alias("a"), F.col("b_holder").alias("a_holder")))).alias("_e"))
-        .select(F.col("_e.a").alias("_content"), F.col("_e.a_holder").alias("_holder")).distinct()
+def collisions(banded: DataFrame) -> DataFrame:
+    """Classes that share a bucket: (_bucket, _content, _holder, _least and _most: the bucket's ends, _members)."""
+    ends = banded.groupBy("_bucket").agg(
+        F.min("_content").alias("_least"), F.max("_content").alias("_most"), F.count("*").alias("_members")
     )
-    holders = ends.select(F.col("_holder").alias(key)).distinct()
-    small = has_at_most(ends, BROADCAST_ROWS)
+    return banded.join(sided(cut(ends.where("_least < _most"))), "_bucket")
+
+
+def shingle_sets(docs: DataFrame, text: str, key: str, wanted: DataFrame, least_words: int, pieces: bool) -> DataFrame:
+    """(_content, _set) of the classes ``wanted`` (_content, _holder), cut once more from the texts that hold them."""
+    holders = wanted.select(F.col("_holder").alias(key)).distinct()
+    small = has_at_most(wanted, BROADCAST_ROWS)
     held = docs.join(F.broadcast(holders) if small else holders, key, "left_semi")
 
     def make():
         def work(texts):
-            for own, hashed, found, at in units(texts, least_words):
+            for own, hashed, found, at in units(texts, least_words, pieces):
                 bounds = np.searchsorted(at, np.arange(len(own) + 1)).astype(np.int32)
                 yield own, signed(hashed), pa.ListArray.from_arrays(bounds, pa.array(signed(found)))
 
         return work
 
     sets = explode_from(held, text, [key], "_content bigint, _set array<bigint>", make)
-    wanted = ends.select("_content", F.col("_holder").alias(key))
-    sets = sets.join(F.broadcast(wanted) if small else wanted, ["_content", key], "left_semi")
-    sets = cut(sets.groupBy("_content").agg(F.first("_set").alias("_set")))
+    asked = wanted.select("_content", F.col("_holder").alias(key))
+    sets = sets.join(F.broadcast(asked) if small else asked, ["_content", key], "left_semi")
+    # a text may hold a paragraph twice
+    return sets.dropDuplicates(["_content"]).select("_content", "_set")
+
+
+def verified_links(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) whose shingle sets reach ``threshold``."""
     one = sets.select(F.col("_content").alias("a"), F.col("_set").alias("_a"))
     two = sets.select(F.col("_content").alias("b"), F.col("_set").alias("_b"))
+    close = F.least(F.size("_a"), F.size("_b")) >= threshold * F.greatest(F.size("_a"), F.size("_b"))
     both = F.size(F.array_intersect("_a", "_b"))
     every = F.size("_a") + F.size("_b") - both
-    return pairs.select("a", "b").join(one, "a").join(two, "b").where(both >= threshold * every).select("a", "b")
+    return pairs.join(one, "a").join(two, "b").where(close).where(both >= threshold * every).select("a", "b")
+
+
+def joining_links(sets: list[np.ndarray], roots: np.ndarray, side: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Links (root, root) between components of ``sets`` that reach the threshold and join what nothing has joined yet.
+    Sets of different ``side`` are compared; if all are of one side, all are."""
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    found = np.concatenate(sets)
+    order = np.argsort(found, kind="stable")
+    found, owner = found[order], np.repeat(np.arange(len(sets)), size)[order]
+    one_side = (side == side[0]).all()
+    part, out = roots.copy(), []
+    for i, own in enumerate(sets):
+        low, high = np.searchsorted(found, own, "left"), np.searchsorted(found, own, "right")
+        many = high - low
+        at = np.repeat(high - np.cumsum(many), many) + np.arange(many.sum())
+        both = np.bincount(owner[at], minlength=len(sets))
+        near = (both >= threshold * (size + len(own) - both)) & (part != part[i])
+        near[:i] = False
+        for j in np.flatnonzero(near if one_side else near & (side != side[i])):
+            if part[j] != part[i]:
+                out.append((int(roots[i]), int(roots[j])))
+                part[part == part[j]] = part[i]
+    return out
+
+
+def links_inside(met: DataFrame, sets: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) that buckets still hold once ``links`` are known. Up to three members are all ends or meet both."""
+    roots = components(links).select(F.col("node").alias("_content"), "root")
+    rooted = met.where("_members > 3").select("_bucket", "_content", "_members").join(sided(roots), "_content", "left")
+    rooted = cut(rooted.withColumn("root", F.coalesce("root", "_content")))
+    mixed = rooted.groupBy("_bucket").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a < _b").select("_bucket")
+    blocks = F.ceil(F.col("_members") / BLOCK).cast("int")
+    left = rooted.join(sided(cut(mixed)), "_bucket", "left_semi").withColumn("_side", F.pmod(F.xxhash64("_content"), blocks).cast("int"))
+    left = left.withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    left = left.join(sets, "_content").select(
+        "_bucket", F.least("_side", "_other").alias("_low"), F.greatest("_side", "_other").alias("_high"), "_side", "root", "_set"
+    )
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        made = joining_links(list(rows["_set"]), rows["root"].to_numpy(), rows["_side"].to_numpy(), threshold)
+        return pd.DataFrame(made, columns=["a", "b"], dtype="int64")
+
+    return left.groupBy("_bucket", "_low", "_high").applyInPandas(compare, "a bigint, b bigint")
+
+
+def near_links(
+    rows: DataFrame, text: str, key: str, classes: DataFrame, bands: int, threshold: float, least_words: int, pieces: bool
+) -> DataFrame:
+    """Links (a, b) of classes, as many as their components need."""
+    met = cut(collisions(banded(classes, bands)))
+    wanted = cut(met.select("_content", "_holder").distinct())
+    sets = cut(shingle_sets(rows, text, key, wanted, least_words, pieces))
+    other = F.explode(F.array("_least", "_most")).alias("_o")
+    pairs = met.select("_content", other).where("_content <> _o")
+    pairs = pairs.select(F.least("_content", "_o").alias("a"), F.greatest("_content", "_o").alias("b")).distinct()
+    links = cut(verified_links(pairs, sets, threshold))
+    return links.union(cut(links_inside(met, sets, links, threshold)))
 
 
 def repeated_spans(
     docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD, recall: float = RECALL,
     least_words: int = LEAST_WORDS,
 ) -> DataFrame:
-    """(key, first_word, n_words, component_id, first_doc, removed) of every repeated span, all of it removed or none.
+    """(key, text_hash, first_word, n_words, component_id, first_doc, removed) of every repeated span, all of it removed
+    or none.
 
     ``component_id`` and ``first_doc`` are those of the span's first paragraph or piece: its cluster, and the id whose
-    occurrence stays.
+    occurrence stays. ``text_hash`` is xxhash64 of the text, for ids with several texts.
     """
-    rows = docs.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`"), F.col(f"`{text}`").alias("_body"))
-    bands, per_band = tuned(threshold, recall)
+    body = F.col(f"`{text}`")
+    rows = docs.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`"), F.xxhash64(body).alias("_text"), body.alias("_body"))
     with released_shuffles(docs.sparkSession):
-        met = cut(repeated_and_alike(rows, "_body", key, bands, per_band, least_words))
-        other = F.explode(F.array("_least", "_most")).alias("_o")
-        pairs = met.select("_content", "_n", "_holder", other).where("_content <> _o._content")
-        close = F.least("_n", "_o._n") >= threshold * F.greatest("_n", "_o._n")
-        pairs = pairs.where(close).select(
-            F.col("_content").alias("a"), F.col("_holder").alias("a_holder"), F.col("_o._content").alias("b"), F.col("_o._holder").alias("b_holder")
-        )
-        swap = F.col("a") > F.col("b")
-        pairs = cut(
-            pairs.select(
-                F.least("a", "b").alias("a"), F.when(swap, F.col("b_holder")).otherwise(F.col("a_holder")).alias("a_holder"),
-                F.greatest("a", "b").alias("b"), F.when(swap, F.col("a_holder")).otherwise(F.col("b_holder")).alias("b_holder"),
-            ).distinct()
-        )
-        clusters = components(verified_links(rows, "_body", key, pairs, threshold, least_words)).select(F.col("node").alias("_content"), F.col("root").alias("_cluster"))
-        again = met.where("_again").select("_content").distinct()
+        again, links = [], []
+        for pieces, most in ((True, PIECE_HASHES), (False, MOST_HASHES)):
+            banding = tuned(threshold, recall, most)
+            classes = cut(classes_of(rows, "_body", key, banding, threshold, least_words, pieces))
+            again.append(cut(classes.where("_again").select("_content")))
+            links.append(near_links(rows, "_body", key, classes, banding[0], threshold, least_words, pieces))
+        clusters = components(links[0].union(links[1])).select(F.col("node").alias("_content"), F.col("root").alias("_cluster"))
+        again = again[0].union(again[1]).distinct()
         marked = again.join(clusters, "_content", "full_outer").select("_content", F.coalesce("_cluster", "_content").alias("_cluster"))
         marked = sided(cut(marked))
         named = marked.select(F.col("_content").alias("_paragraph"), F.col("_cluster").alias("_alike"))
         seen = places(rows, "_body", key, least_words).join(named, "_paragraph", "left").join(marked, "_content", "left")
         seen = cut(seen.where("_alike IS NOT NULL OR _cluster IS NOT NULL").drop("_paragraph", "_content").distinct())
-    own = F.col(f"`{key}`")
-    near = seen.where("_alike IS NOT NULL").groupBy("_alike").agg(F.min(F.struct(own.alias("_id"), "_block")).alias("_near"), F.max(own).alias("_last"))
-    near = near.where("_near._id < _last").drop("_last")
-    later = F.col("_near").isNotNull() & (F.col("_near") != F.struct(own.alias("_id"), "_block"))
-    several = seen.where("_cluster IS NOT NULL").groupBy("_cluster").agg(F.min(own).alias("_one"), F.max(own).alias("_two"))
-    several = several.where("_one < _two").select("_cluster", F.lit(True).alias("_twice"))
-    # rows of no cluster meet nothing, and not all in one task
-    apart = F.xxhash64(own, "_seq")
-    placed = seen.withColumns({"_alike": F.coalesce("_alike", apart), "_cluster": F.coalesce("_cluster", apart)})
-    placed = placed.join(near, "_alike", "left").join(several, "_cluster", "left")
-    placed = placed.withColumns({"_later": later, "_twice": F.coalesce("_twice", F.lit(False))})
-
-    def run(*same: str):
-        return F.col("_seq") - F.row_number().over(Window.partitionBy(key, *same).orderBy("_seq"))
-
-    # runs of pieces are judged whole, whatever becomes of their parts
-    placed = placed.withColumn("_run", run("_twice"))
-    run_words = F.sum("_words").over(Window.partitionBy(key, "_twice", "_run"))
-    placed = placed.withColumn("_twice", F.col("_twice") & (run_words >= least_words)).where("_near IS NOT NULL OR _twice")
-    # a piece that is in part inside a removed paragraph is no first occurrence
-    placed = placed.withColumn("_torn", F.max("_later").over(Window.partitionBy(key, "_piece")))
-    whole = placed.where("_twice AND NOT _torn")
-    exact = whole.groupBy("_cluster").agg(F.min(F.struct(own.alias("_id"), "_piece")).alias("_exact"))
+        own = F.col(f"`{key}`")
+        block, piece = (F.struct(own.alias("_id"), "_text", c) for c in ("_block", "_piece"))
+        near = seen.where("_alike IS NOT NULL").groupBy("_alike").agg(F.min(block).alias("_near"), F.max(own).alias("_last"))
+        near = sided(cut(near.where("_near._id < _last").drop("_last")))
+        several = seen.where("_cluster IS NOT NULL").groupBy("_cluster").agg(F.min(own).alias("_one"), F.max(own).alias("_two"))
+        several = sided(cut(several.where("_one < _two").select("_cluster", F.lit(True).alias("_twice"))))
+        # rows of no cluster meet nothing, and not all in one task
+        apart = F.xxhash64(own, "_text", "_seq")
+        placed = seen.withColumns({"_alike": F.coalesce("_alike", apart), "_cluster": F.coalesce("_cluster", apart)})
+        placed = placed.join(near, "_alike", "left").join(several, "_cluster", "left")
+        later = F.col("_near").isNotNull() & (F.col("_near") != block)
+        placed = placed.withColumns({"_later": later, "_twice": F.coalesce("_twice", F.lit(False))})
+
+        def run(*same: str):
+            return F.col("_seq") - F.row_number().over(Window.partitionBy(key, "_text", *same).orderBy("_seq"))
+
+        # runs of pieces are judged whole, whatever becomes of their parts
+        placed = placed.withColumn("_run", run("_twice"))
+        run_words = F.sum("_words").over(Window.partitionBy(key, "_text", "_twice", "_run"))
+        placed = placed.withColumn("_twice", F.col("_twice") & (run_words >= least_words)).where("_near IS NOT NULL OR _twice")
+        # a piece that is in part inside a removed paragraph is no first occurrence
+        placed = cut(placed.withColumn("_torn", F.max("_later").over(Window.partitionBy(key, "_text", "_piece"))))
+        whole = placed.where("_twice AND NOT _torn")
+        exact = sided(cut(whole.groupBy("_cluster").agg(F.min(piece).alias("_exact"))))
     placed = placed.join(exact, "_cluster", "left")
-    again = F.coalesce(F.col("_twice") & (F.col("_exact") != F.struct(own.alias("_id"), "_piece")), F.lit(False))
+    again = F.coalesce(F.col("_twice") & (F.col("_exact") != piece), F.lit(False))
     placed = placed.withColumns(
         {
             "_stays": ~(F.col("_later") | again),
@@ -307,24 +374,27 @@ def repeated_spans(
         }
     )
     # what is left of a first paragraph that loses pieces is no repetition
-    pierced = F.max(again).over(Window.partitionBy(key, "_block"))
+    pierced = F.max(again).over(Window.partitionBy(key, "_text", "_block"))
     placed = placed.withColumn("_pierced", pierced).where("_twice OR NOT _stays OR NOT _pierced")
-    spans = placed.withColumn("_part", run("_stays")).groupBy(key, "_stays", "_part").agg(
+    spans = placed.withColumn("_part", run("_stays")).groupBy(key, F.col("_text").alias("text_hash"), "_stays", "_part").agg(
         F.min("_first").alias("first_word"),
         F.sum("_words").cast("long").alias("n_words"),
         F.min_by("_by", "_seq").alias("component_id"),
         F.min_by("_where", "_seq").alias("first_doc"),
     )
-    return spans.select(key, "first_word", "n_words", "component_id", "first_doc", (~F.col("_stays")).alias("removed"))
+    return spans.select(key, "text_hash", "first_word", "n_words", "component_id", "first_doc", (~F.col("_stays")).alias("removed"))
 
 
 def without_spans(docs: DataFrame, spans: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Documents whose text lacks the removed spans; texts of other documents are untouched."""
-    gone = spans.where("removed").groupBy(key).agg(F.collect_list(F.struct("first_word", "n_words")).alias("_gone"))
-    joined = docs.join(gone, key, "left")
-    words = F.filter(F.split(F.col(f"`{text}`"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    kept = F.filter(
-        words,
-        lambda w, i: ~F.exists("_gone", lambda g: (i >= g["first_word"]) & (i < g["first_word"] + g["n_words"])),
+    """Documents whose text lacks the words of removed spans and the white space after each; other texts are untouched."""
+    gone = spans.where("removed").groupBy(F.col(key), F.col("text_hash").alias("_text")).agg(
+        F.array_sort(F.flatten(F.collect_list(F.sequence(F.col("first_word").cast("long"), F.col("first_word") + F.col("n_words") - 1)))).alias("_gone")
     )
-    return joined.withColumn(text, F.when(F.col("_gone").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(kept, " "))).drop("_gone").select(*docs.columns)
+    body = F.col(f"`{text}`")
+    joined = docs.withColumn("_text", F.xxhash64(body)).join(gone, [key, "_text"], "left")
+    lead = F.regexp_extract(body, r"^[\x20\x09-\x0D]*", 0)
+    words = F.split(F.substr(body, F.length(lead) + 1), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
+    all_at = F.sequence(F.lit(0).cast("long"), F.size(words).cast("long") - 1)
+    kept = F.transform(F.array_sort(F.array_except(all_at, "_gone")), lambda i: F.get(words, i.cast("int")))
+    cleaned = F.when(F.col("_gone").isNull(), body).otherwise(F.concat(lead, F.array_join(kept, "")))
+    return joined.withColumn(text, cleaned).select(*docs.columns)

@@ -186,9 +186,9 @@ def test_repeated_passages_wherever_they_stand(spark, prose):
     assert all(r.removed == (r.first_doc != r.doc_id) for r in got)
     cleaned = {r.doc_id: r.text for r in substring_dedup.without_spans(spark.createDataFrame(rows, "doc_id bigint, text string"), spans).collect()}
     texts = dict(rows)
-    for r in got:
-        before, after = texts[r.doc_id].split(), cleaned[r.doc_id].split()
-        assert after == (before[: r.first_word] + before[r.first_word + r.n_words :] if r.removed else before)
+    for k in found:
+        gone = {w for r in got if r.doc_id == k and r.removed for w in range(r.first_word, r.first_word + r.n_words)}
+        assert cleaned[k].split() == [w for i, w in enumerate(texts[k].split()) if i not in gone]
 
 
 def test_bands_reach_the_recall():
@@ -259,6 +259,82 @@ def test_odd_rows_of_spans(odd, none):
     assert substring_dedup.without_spans(odd, got).count() == odd.count()
 
 
+def roots_of(links):
+    root = {}
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        root[max(top(a), top(b))] = min(top(a), top(b))
+    return {x: top(x) for x in list(root)}
+
+
+def near_by_hand(texts, pieces):
+    """All pairs of distinct contents at 0.8 or more, through lists of the sets that hold a shingle."""
+    sets, holders = {}, defaultdict(list)
+    for own, hashed, found, at in substring_dedup.units([t.encode() for t in texts], 25, pieces):
+        for i, h in enumerate(substring_dedup.signed(hashed).tolist()):
+            sets[h] = frozenset(found[at == i].tolist())
+    links = set()
+    for h, mine in sets.items():
+        shared = Counter(o for x in mine for o in holders[x])
+        links |= {(o, h) for o, n in shared.items() if n >= 0.8 * (len(mine) + len(sets[o]) - n)}
+        for x in mine:
+            holders[x].append(h)
+    return links
+
+
+def templated(prose, groups=12, members=8, share=0.7):
+    """Groups of near paragraphs, all filled into one template of ``share`` of their words."""
+    template, rng, out = prose(7_700, 80).split(), random.Random(77), []
+    slots = rng.sample(range(80), int(80 * (1 - share)))
+    for g in range(groups):
+        own = dict(zip(slots, prose(7_710 + g, len(slots)).split()))
+        base = [own.get(i, w) for i, w in enumerate(template)]
+        out += [" ".join([*base[: 80 - m % 4], *(f"tail{g}x{m}x{i}" for i in range(m % 3))]) for m in range(members)]
+    return out
+
+
+@pytest.mark.parametrize("pieces", [True, False])
+@pytest.mark.parametrize("block", [500, 3])
+def test_buckets_lose_no_links(spark, prose, monkeypatch, pieces, block):
+    monkeypatch.setattr(substring_dedup, "BLOCK", block)
+    texts = templated(prose) + templated(prose, groups=30, members=3, share=0.85) + [prose(7_800 + i, 90) for i in range(20)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    banding = substring_dedup.tuned(0.8, 0.95, substring_dedup.PIECE_HASHES if pieces else substring_dedup.MOST_HASHES)
+    classes = substring_dedup.classes_of(rows, "text", "doc_id", banding, 0.8, 25, pieces)
+    got = roots_of((r.a, r.b) for r in substring_dedup.near_links(rows, "text", "doc_id", classes, banding[0], 0.8, 25, pieces).collect())
+    want = near_by_hand(texts, pieces)
+    assert len(want) > 30 and sum(got.get(a, a) == got.get(b, b) for a, b in want) >= 0.95 * len(want)
+    groups = defaultdict(list)
+    for x, top in roots_of(want).items():
+        groups[top].append(x)
+    pairs = [(a, b) for g in groups.values() for i, a in enumerate(g) for b in g[:i]]
+    assert sum(got.get(a, a) == got.get(b, b) for a, b in pairs) >= 0.9 * len(pairs)
+    exact = roots_of(want)
+    assert all(exact.get(x) == exact.get(top) for x, top in got.items())
+
+
+def test_joining_links_leave_out_what_is_joined():
+    sets = [np.arange(k, k + 20, dtype=np.int64) for k in (0, 1, 2, 100, 101, 300)]
+    roots = np.arange(6, dtype=np.int64)
+    assert len(substring_dedup.joining_links(sets, roots, np.zeros(6, int), 0.8)) == 3
+    assert substring_dedup.joining_links(sets, np.array([0, 0, 0, 3, 4, 5]), np.zeros(6, int), 0.8) == [(3, 4)]
+    assert substring_dedup.joining_links(sets, roots, np.array([0, 1, 1, 0, 0, 1]), 0.8) == [(0, 1), (0, 2)]
+
+
+def test_texts_of_one_id_are_told_apart_and_lines_stay(spark, prose):
+    shared, own = prose(7_900, 120), "own line one\nown  line two\n\n" + prose(7_901, 90)
+    docs = spark.createDataFrame([(1, shared), (2, shared), (2, own), (3, "\n own line one\n\n" + shared)], "doc_id bigint, text string")
+    spans = substring_dedup.repeated_spans(docs)
+    kept = sorted((r.doc_id, r.text) for r in substring_dedup.without_spans(docs, spans).collect())
+    assert (1, shared) in kept and (2, "") in kept and (2, own) in kept
+    assert next(t for k, t in kept if k == 3).startswith("\n own line one\n\n")
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 12])
 def test_few_words_make_paragraphs(n):
     words = np.arange(1, n + 1, dtype=np.uint64)
