@@ -36,13 +36,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import explode_from, released_shuffles
-from tablewright.llm.components import components, sided
+from tablewright.llm.components import components
 from tablewright.llm.words import PLACES, hash_words, mix, powers, shingles, slices
 from tablewright.plans.attach import has_at_most
 from tablewright.plans.lineage import cut
@@ -58,7 +57,7 @@ LEAST_WORDS = 25
 MOST_HASHES = 24
 PIECE_HASHES = 2
 BLOCK = 500
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 200_000
 
 
 def tuned(threshold: float = THRESHOLD, recall: float = RECALL, most_hashes: int = 8) -> tuple[int, int]:
@@ -113,12 +112,17 @@ def blocks(texts: list[bytes | None], words: np.ndarray, row: np.ndarray, first:
     return np.union1d(start, inside[more])
 
 
-def cut_texts(texts: list[bytes | None]):
-    """Per slice: first row, words, row of each word, first word of each piece and of each paragraph."""
+def cut_texts(texts: list[bytes | None], pieces: bool = True, lines: bool = True):
+    """Per slice: first row, words, row of each word, first word of each piece and of each paragraph (those asked for)."""
     for a, b in slices(texts):
         words, row, first, _ = hash_words(texts[a:b])
         if len(words):
-            yield a, words, row, paragraphs(words, row)[0], blocks(texts[a:b], words, row, first)
+            yield a, words, row, paragraphs(words, row)[0] if pieces else None, blocks(texts[a:b], words, row, first) if lines else None
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Few rows are broadcast, so that a bucket or cluster of very many is no key of a shuffle."""
+    return F.broadcast(rows) if has_at_most(rows, BROADCAST_ROWS) else rows
 
 
 def numbered(own: np.ndarray) -> np.ndarray:
@@ -129,7 +133,7 @@ def numbered(own: np.ndarray) -> np.ndarray:
 def units(texts: list[bytes | None], least_words: int, pieces: bool):
     """Per slice, of pieces or of paragraphs of ``least_words`` or more: row, content, distinct shingles and the piece or
     paragraph of each."""
-    for a, words, row, small, large in cut_texts(texts):
+    for a, words, row, small, large in cut_texts(texts, pieces, not pieces):
         start = small if pieces else large
         size = np.diff(np.r_[start, len(words)])
         taken = size >= (1 if pieces else least_words)
@@ -223,7 +227,7 @@ def collisions(banded: DataFrame) -> DataFrame:
     ends = banded.groupBy("_bucket").agg(
         F.min("_content").alias("_least"), F.max("_content").alias("_most"), F.count("*").alias("_members")
     )
-    return banded.join(sided(cut(ends.where("_least < _most"))), "_bucket")
+    return banded.join(spread(cut(ends.where("_least < _most"))), "_bucket")
 
 
 def shingle_sets(docs: DataFrame, text: str, key: str, wanted: DataFrame, least_words: int, pieces: bool) -> DataFrame:
@@ -283,21 +287,42 @@ def joining_links(sets: list[np.ndarray], roots: np.ndarray, side: np.ndarray, t
 def links_inside(met: DataFrame, sets: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
     """Links (a, b) that buckets still hold once ``links`` are known. Up to three members are all ends or meet both."""
     roots = components(links).select(F.col("node").alias("_content"), "root")
-    rooted = met.where("_members > 3").select("_bucket", "_content", "_members").join(sided(roots), "_content", "left")
+    rooted = met.where("_members > 3").select("_bucket", "_content", "_members").join(spread(roots), "_content", "left")
     rooted = cut(rooted.withColumn("root", F.coalesce("root", "_content")))
     mixed = rooted.groupBy("_bucket").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a < _b").select("_bucket")
     blocks = F.ceil(F.col("_members") / BLOCK).cast("int")
-    left = rooted.join(sided(cut(mixed)), "_bucket", "left_semi").withColumn("_side", F.pmod(F.xxhash64("_content"), blocks).cast("int"))
+    left = rooted.join(spread(cut(mixed)), "_bucket", "left_semi").withColumn("_side", F.pmod(F.xxhash64("_content"), blocks).cast("int"))
     left = left.withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     left = left.join(sets, "_content").select(
         "_bucket", F.least("_side", "_other").alias("_low"), F.greatest("_side", "_other").alias("_high"), "_side", "root", "_set"
     )
 
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        made = joining_links(list(rows["_set"]), rows["root"].to_numpy(), rows["_side"].to_numpy(), threshold)
-        return pd.DataFrame(made, columns=["a", "b"], dtype="int64")
-
-    return left.groupBy("_bucket", "_low", "_high").applyInPandas(compare, "a bigint, b bigint")
+    def compare(group: pa.Table) -> pa.RecordBatch:
+        held = group.column("_set").combine_chunks()
+        starts = held.offsets.to_numpy()
+        sets = np.split(held.flatten().to_numpy(), starts[1:-1] - starts[0])
+        made = joining_links(sets, group.column("root").to_numpy(), group.column("_side").to_numpy(), threshold)
+        made = np.array(made, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(made[:, 0]), pa.array(made[:, 1])], ["a", "b"])
+
+    def run(batches):
+        """Groups are neighbours; the last one of a batch may go on in the next."""
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = table if rest is None else pa.concat_tables([rest, table])
+            keys = [table.column(k).to_numpy() for k in ("_bucket", "_low", "_high")]
+            ends = np.r_[0, np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1]
+            for a, b in zip(ends[:-1], ends[1:]):
+                yield compare(table.slice(a, b - a))
+            rest = table.slice(ends[-1])
+        if rest is not None:
+            yield compare(rest)
+
+    group = ["_bucket", "_low", "_high"]
+    return left.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "a bigint, b bigint")
 
 
 def near_links(
@@ -336,16 +361,16 @@ def repeated_spans(
         clusters = components(links[0].union(links[1])).select(F.col("node").alias("_content"), F.col("root").alias("_cluster"))
         again = again[0].union(again[1]).distinct()
         marked = again.join(clusters, "_content", "full_outer").select("_content", F.coalesce("_cluster", "_content").alias("_cluster"))
-        marked = sided(cut(marked))
+        marked = spread(cut(marked))
         named = marked.select(F.col("_content").alias("_paragraph"), F.col("_cluster").alias("_alike"))
         seen = places(rows, "_body", key, least_words).join(named, "_paragraph", "left").join(marked, "_content", "left")
         seen = cut(seen.where("_alike IS NOT NULL OR _cluster IS NOT NULL").drop("_paragraph", "_content").distinct())
         own = F.col(f"`{key}`")
         block, piece = (F.struct(own.alias("_id"), "_text", c) for c in ("_block", "_piece"))
         near = seen.where("_alike IS NOT NULL").groupBy("_alike").agg(F.min(block).alias("_near"), F.max(own).alias("_last"))
-        near = sided(cut(near.where("_near._id < _last").drop("_last")))
+        near = spread(cut(near.where("_near._id < _last").drop("_last")))
         several = seen.where("_cluster IS NOT NULL").groupBy("_cluster").agg(F.min(own).alias("_one"), F.max(own).alias("_two"))
-        several = sided(cut(several.where("_one < _two").select("_cluster", F.lit(True).alias("_twice"))))
+        several = spread(cut(several.where("_one < _two").select("_cluster", F.lit(True).alias("_twice"))))
         # rows of no cluster meet nothing, and not all in one task
         apart = F.xxhash64(own, "_text", "_seq")
         placed = seen.withColumns({"_alike": F.coalesce("_alike", apart), "_cluster": F.coalesce("_cluster", apart)})
@@ -363,7 +388,7 @@ def repeated_spans(
         # a piece that is in part inside a removed paragraph is no first occurrence
         placed = cut(placed.withColumn("_torn", F.max("_later").over(Window.partitionBy(key, "_text", "_piece"))))
         whole = placed.where("_twice AND NOT _torn")
-        exact = sided(cut(whole.groupBy("_cluster").agg(F.min(piece).alias("_exact"))))
+        exact = spread(cut(whole.groupBy("_cluster").agg(F.min(piece).alias("_exact"))))
     placed = placed.join(exact, "_cluster", "left")
     again = F.coalesce(F.col("_twice") & (F.col("_exact") != piece), F.lit(False))
     placed = placed.withColumns(
