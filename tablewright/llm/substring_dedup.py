@@ -325,13 +325,17 @@ def links_inside(met: DataFrame, sets: DataFrame, links: DataFrame, threshold: f
     return left.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "a bigint, b bigint")
 
 
-def near_links(
-    rows: DataFrame, text: str, key: str, classes: DataFrame, bands: int, threshold: float, least_words: int, pieces: bool
-) -> DataFrame:
-    """Links (a, b) of classes, as many as their components need."""
+def colliding(
+    rows: DataFrame, text: str, key: str, classes: DataFrame, bands: int, least_words: int, pieces: bool
+) -> tuple[DataFrame, DataFrame]:
+    """Classes that share a bucket, and their sets."""
     met = cut(collisions(banded(classes, bands)))
     wanted = cut(met.select("_content", "_holder").distinct())
-    sets = cut(shingle_sets(rows, text, key, wanted, least_words, pieces))
+    return met, cut(shingle_sets(rows, text, key, wanted, least_words, pieces))
+
+
+def near_links(met: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) of classes that share a bucket, as many as their components need."""
     other = F.explode(F.array("_least", "_most")).alias("_o")
     pairs = met.select("_content", other).where("_content <> _o")
     pairs = pairs.select(F.least("_content", "_o").alias("a"), F.greatest("_content", "_o").alias("b")).distinct()
@@ -352,13 +356,16 @@ def repeated_spans(
     body = F.col(f"`{text}`")
     rows = docs.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`"), F.xxhash64(body).alias("_text"), body.alias("_body"))
     with released_shuffles(docs.sparkSession):
-        again, links = [], []
+        again, met, sets = [], [], []
         for pieces, most in ((True, PIECE_HASHES), (False, MOST_HASHES)):
             banding = tuned(threshold, recall, most)
             classes = cut(classes_of(rows, "_body", key, banding, threshold, least_words, pieces))
             again.append(cut(classes.where("_again").select("_content")))
-            links.append(near_links(rows, "_body", key, classes, banding[0], threshold, least_words, pieces))
-        clusters = components(links[0].union(links[1])).select(F.col("node").alias("_content"), F.col("root").alias("_cluster"))
+            for held, made in zip((met, sets), colliding(rows, "_body", key, classes, banding[0], least_words, pieces), strict=True):
+                held.append(made)
+        # a paragraph that is one piece as a whole has one set
+        links = near_links(met[0].union(met[1]), cut(sets[0].union(sets[1]).dropDuplicates(["_content"])), threshold)
+        clusters = components(links).select(F.col("node").alias("_content"), F.col("root").alias("_cluster"))
         again = again[0].union(again[1]).distinct()
         marked = again.join(clusters, "_content", "full_outer").select("_content", F.coalesce("_cluster", "_content").alias("_cluster"))
         marked = spread(cut(marked))

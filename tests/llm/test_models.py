@@ -306,7 +306,8 @@ def test_buckets_lose_no_links(spark, prose, monkeypatch, pieces, block):
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
     banding = substring_dedup.tuned(0.8, 0.95, substring_dedup.PIECE_HASHES if pieces else substring_dedup.MOST_HASHES)
     classes = substring_dedup.classes_of(rows, "text", "doc_id", banding, 0.8, 25, pieces)
-    got = roots_of((r.a, r.b) for r in substring_dedup.near_links(rows, "text", "doc_id", classes, banding[0], 0.8, 25, pieces).collect())
+    met, sets = substring_dedup.colliding(rows, "text", "doc_id", classes, banding[0], 25, pieces)
+    got = roots_of((r.a, r.b) for r in substring_dedup.near_links(met, sets, 0.8).collect())
     want = near_by_hand(texts, pieces)
     assert len(want) > 30 and sum(got.get(a, a) == got.get(b, b) for a, b in want) >= 0.95 * len(want)
     groups = defaultdict(list)
