@@ -1,12 +1,14 @@
 """Quality rules: lines that many documents of a host share.
 
-Lines are normalised and hashed; a line in more distinct documents of its host than the limit is removed,
-and a document that loses more than ``most_lost`` of its words is rejected. Copies of one text count as one
-document here, since copies are the business of deduplication. A line is counted once per host and text
+Lines are normalised and hashed; a line in more distinct texts of its host than the limit is removed. A document is
+depleted, and rejected, if it loses more than ``most_lost`` of its words or if fewer than ``least_words`` are left. Copies
+of one text count as one document, in the line's count as in its host's, since copies are the business of
+deduplication. A line is counted once per host and text
 before anything is shuffled by line, so a line in a third of all rows is spread over its texts. The base
 measures of a text are computed in its own row without moving it.
 
-Null texts have no words and fail. Lines without a word are never counted or removed. A null host is a host of
+Null texts have no words and fail. Lines without a word are never counted or removed. Very long texts are read
+whole, line by line. A line exactly at the limit stays. A null host is a host of
 its own. Repeated rows get the same verdict. An empty table gives an empty result. Input columns named like a
 result are replaced.
 """
@@ -93,7 +95,7 @@ def common_lines(docs: DataFrame, text: str, host: str, at_least: int, share: fl
         F.xxhash64(body).alias("_text"),
         F.array_distinct(F.transform(lines_with_words(body), line_hash)).alias("_lines"),
     )
-    texts = seen.groupBy("_host").agg(F.count("*").alias("_host_docs"))
+    texts = seen.select("_host", "_text").distinct().groupBy("_host").agg(F.count("*").alias("_host_docs"))
     once = seen.select("_host", "_text", F.explode("_lines").alias("_line")).distinct()
     counts = once.groupBy("_host", "_line").agg(F.count("*").alias("_docs")).where(F.col("_docs") > at_least)
     above = F.col("_docs") > F.col("_host_docs") * share
@@ -105,7 +107,7 @@ def apply_rules(
     text: str = "text",
     host: str = "source",
     key: str = "doc_id",
-    at_least: int = 50,
+    at_least: int = 5,
     share: float = 0.01,
     most_lost: float = 0.5,
     least_words: int = 50,
@@ -113,7 +115,7 @@ def apply_rules(
 ) -> DataFrame:
     """Documents with the base measures, the text without common lines and the verdict ``kept``.
 
-    A line is common when more than ``at_least`` documents and more than ``share`` of its host's have it.
+    A line is common when more than ``at_least`` distinct texts and more than ``share`` of its host's have it.
     """
     names = [c for c in docs.columns if c not in RESULTS]
     rows = docs.select(*[F.col(f"`{c}`") for c in names]).withColumns(
@@ -153,5 +155,8 @@ def apply_rules(
             "n_lost_words": F.coalesce("_n_lost", F.lit(0)),
             "clean_text": clean,
         }
-    ).withColumn("kept", ~F.col("base_failed") & (F.col("n_lost_words") <= F.col("n_words") * most_lost))
+    )
+    left = F.col("n_words") - F.col("n_lost_words")
+    enough = (F.col("n_lost_words") <= F.col("n_words") * most_lost) & (left >= least_words)
+    judged = judged.withColumn("kept", ~F.col("base_failed") & enough)
     return judged.select(*[F.col(f"`{c}`") for c in names], *RESULTS)

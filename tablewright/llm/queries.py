@@ -35,8 +35,8 @@ covered AS (SELECT row, count(DISTINCT i + k) AS n_repeat_words FROM again, rang
 lines AS (SELECT row, source, text, line, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm,
     len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n
   FROM (SELECT row, source, text, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-common AS (SELECT l.source, norm FROM lines l JOIN (SELECT source, count(*) AS host FROM documents GROUP BY 1) h ON h.source IS NOT DISTINCT FROM l.source
-  GROUP BY l.source, norm, host HAVING count(DISTINCT text) > 50 AND count(DISTINCT text) > 0.01 * host),
+common AS (SELECT l.source, norm FROM lines l JOIN (SELECT source, count(DISTINCT coalesce('t' || text, '')) AS host FROM documents GROUP BY 1) h ON h.source IS NOT DISTINCT FROM l.source
+  GROUP BY l.source, norm, host HAVING count(DISTINCT text) > 5 AND count(DISTINCT text) > 0.01 * host),
 gone AS (SELECT row, count(*) AS n_removed_lines, sum(n)::BIGINT AS n_lost_words FROM lines l JOIN common c ON c.norm = l.norm AND c.source IS NOT DISTINCT FROM l.source GROUP BY row),
 dup AS (SELECT row, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines GROUP BY row),
 m AS (SELECT doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
@@ -44,7 +44,7 @@ m AS (SELECT doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words
     coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(n_removed_lines, 0)::BIGINT AS n_removed_lines, coalesce(n_lost_words, 0)::BIGINT AS n_lost_words
   FROM d LEFT JOIN covered USING (row) LEFT JOIN gone USING (row) LEFT JOIN dup USING (row))
 SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 2 * n_lost_words <= n_words AS kept FROM m"""
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 2 * n_lost_words <= n_words AND n_words - n_lost_words >= 50 AS kept FROM m"""
 
 JACCARD_SQL = f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\x20\x09-\x0D]+') AS words FROM documents),
