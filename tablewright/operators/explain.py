@@ -22,6 +22,7 @@ from tablewright.functions.stats import pair_corr
 from tablewright.operators import evaluate
 from tablewright.operators.sampling import hash_sample
 from tablewright.plans.attach import spread_for_copies
+from tablewright.plans.lineage import cut
 
 Predict = Callable[[DataFrame], DataFrame]
 
@@ -137,7 +138,8 @@ def shapley_values(
 
     Up to ``EXACT_FEATURES`` features every coalition is evaluated, which is exact for the
     given background (``method`` is ``exact``); above that, random orderings are averaged (``sampled``). All
-    copies of a row are aggregated in the task that made them before anything is shuffled. For one class of
+    copies of a row are aggregated in the task that made them before anything is shuffled, by hash: its own values
+    are part of the key, since an aggregate of a struct or text would sort the copies. For one class of
     several, pass a ``predict`` that gives its probability.
     """
     require_columns(df, [*features, *key], "shapley_values")
@@ -146,8 +148,8 @@ def shapley_values(
     base_rows = _background(source, features, key, background_rows, seed)
     steps = 2 ** len(features) if len(features) <= EXACT_FEATURES else permutations * (len(features) + 1)
     slim = rows.select(*[col(k) for k in key], *[col(f) for f in features if f not in key])
-    own = spread_for_copies(slim, key, len(base_rows) * steps).withColumn(
-        "_own", F.struct(*[col(f).alias(f) for f in features])
+    own = spread_for_copies(slim, key, len(base_rows) * steps).withColumns(
+        {"_own": F.struct(*[col(f).alias(f) for f in features]), "_shown": F.array(*[col(f).cast("string") for f in features])}
     )
     with_base = own.withColumn("_bg", F.explode(_literal_rows(base_rows, df, features)))
     exact = len(features) <= EXACT_FEATURES
@@ -158,8 +160,7 @@ def shapley_values(
         copies, weights = _orderings(with_base, features, permutations, seed)
         full, none = F.col("_step") == len(features), F.col("_step") == 0
     scored = predict(copies)
-    per_row = scored.groupBy(*[col(k) for k in key]).agg(
-        F.first("_own").alias("_own"),
+    per_row = scored.groupBy(*[col(k) for k in key], "_shown").agg(
         F.avg(F.when(full, F.col("prediction"))).alias("prediction"),
         F.avg(F.when(none, F.col("prediction"))).alias("base_value"),
         *[
@@ -172,7 +173,7 @@ def shapley_values(
             F.struct(
                 F.lit(f).alias("feature"),
                 F.col(f"_s{i}").alias("shap_value"),
-                F.col(f"_own.`{f}`").cast("string").alias("feature_value"),
+                F.get("_shown", F.lit(i)).alias("feature_value"),
             )
             for i, f in enumerate(features)
         ]
@@ -225,9 +226,12 @@ def _orderings(
     return _use(copies, features, lambda i: place(i) < F.col("_step")), weights
 
 
-def shap_summary(shap: DataFrame) -> DataFrame:
-    """``feature, mean_abs_shap, rank`` (mean over classes first when there is a ``class``)."""
-    means = shap.groupBy("feature").agg(F.avg(F.abs("shap_value")).alias("mean_abs_shap"))
+def shap_summary(shap: DataFrame, *more: Column) -> DataFrame:
+    """``feature, mean_abs_shap, rank`` (mean over classes first when there is a ``class``).
+
+    ``more`` are further aggregates per feature, made in the same pass.
+    """
+    means = shap.groupBy("feature").agg(F.avg(F.abs("shap_value")).alias("mean_abs_shap"), *more)
     order = Window.orderBy(F.desc("mean_abs_shap"), "feature")  # one row per feature
     return means.withColumn("rank", F.row_number().over(order))
 
@@ -271,20 +275,27 @@ def shap_wide(shap: DataFrame, key: Sequence[str], features: Sequence[str]) -> D
 
 
 def shap_interactions(shap: DataFrame, key: Sequence[str], top_k: int = 5) -> DataFrame:
-    """Correlation of value columns over the top features: ``feature_a, feature_b, corr, abs_corr, hint``."""
-    summary = shap_summary(shap).where(F.col("rank") <= top_k).orderBy("rank").collect()
-    names = [r["feature"] for r in summary]
-    schema = "feature_a string, feature_b string, corr double, abs_corr double, hint string"
-    if len(names) < 2:
-        return shap.sparkSession.createDataFrame([], schema)
-    wide = shap_wide(shap.where(F.col("feature").isin(names)), key, names)
-    cells = F.array(
-        *[
-            F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), pair_corr(col(a), col(b)).alias("r"))
-            for a, b in combinations(names, 2)
-        ]
-    )
-    pairs = wide.agg(cells.alias("c")).select(F.inline("c")).where("r IS NOT NULL")
+    """Correlation of value columns over the top features: ``feature_a, feature_b, corr, abs_corr, hint``.
+
+    Ranks and correlations read the values twice; they are kept in between, so that the copies behind them are scored once.
+    """
+    held = shap.select(*[col(k) for k in key], "feature", "shap_value").persist()
+    try:
+        summary = shap_summary(held).where(F.col("rank") <= top_k).orderBy("rank").collect()
+        names = [r["feature"] for r in summary]
+        schema = "feature_a string, feature_b string, corr double, abs_corr double, hint string"
+        if len(names) < 2:
+            return shap.sparkSession.createDataFrame([], schema)
+        wide = shap_wide(held.where(F.col("feature").isin(names)), key, names)
+        cells = F.array(
+            *[
+                F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), pair_corr(col(a), col(b)).alias("r"))
+                for a, b in combinations(names, 2)
+            ]
+        )
+        pairs = cut(wide.agg(cells.alias("c")).select(F.inline("c")).where("r IS NOT NULL"))
+    finally:
+        held.unpersist()
     strong = F.abs("corr") > K.SHAP_PAIR_CORR
     return (
         pairs.select("feature_a", "feature_b", F.round("r", 4).alias("corr"))

@@ -122,6 +122,35 @@ def test_shapley_orderings_add_up(frame, monkeypatch):
     assert len(rows) == 120 and max(abs(r["gap"]) for r in rows) < 1e-9 and {r["n"] for r in rows} == {3}
 
 
+def counted(spark):
+    """``linear`` that counts the rows it scores."""
+    scored = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def seen(x):
+        scored.add(1)
+        return x
+
+    return scored, lambda df: linear(df).withColumn("prediction", seen("prediction"))
+
+
+def test_shapley_copies_are_not_sorted(frame):
+    named = frame.withColumn("t", F.concat(F.lit("t"), F.col("id")))
+    table = explain.shapley_values(named, ["a", "b", "c", "t"], KEY, linear, background_rows=3)
+    assert "SortAggregate" not in table._jdf.queryExecution().executedPlan().toString()
+    shown = {r["id"]: r["feature_value"] for r in table.where("feature = 't'").collect()}
+    assert shown == {i: f"t{i}" for i in range(120)}
+
+
+def test_interactions_score_the_copies_once(spark, frame):
+    scored, predict = counted(spark)
+    shap = explain.shapley_values(frame, ["a", "b", "c"], KEY, predict, background_rows=4)
+    pairs = explain.shap_interactions(shap, KEY, 3)
+    assert {(r["feature_a"], r["feature_b"]) for r in pairs.collect()} == {("b", "a"), ("b", "c"), ("a", "c")}
+    assert scored.value == 120 * 4 * 8
+    assert not shap.select("id", "feature", "shap_value").storageLevel.useMemory
+
+
 def test_shap_tables(spark):
     rows = [(i, f, v * (1 + i), "x") for i in range(4) for f, v in [("a", 3.0), ("b", -2.0), ("c", 0.5)]]
     shap = spark.createDataFrame(rows, "id int, feature string, shap_value double, feature_value string")
