@@ -141,14 +141,18 @@ def engineer_and_save(
 
 def explanation_tables(shap: DataFrame, key: Sequence[str], features: Sequence[str]) -> dict[str, DataFrame]:
     """Wide values, summary, top features per row, and one row of metadata."""
-    summary = explain.shap_summary(shap)
+    # every row repeats the base value, so a maximum finds it; one pass over the values serves the whole metadata row
+    facts = explain.shap_summary(shap, F.max("base_value").alias("_base"), F.count(F.lit(1)).alias("_rows"))
     top = F.array_sort(F.collect_list(F.when(F.col("rank") <= 5, F.struct("rank", "feature"))))
-    named = summary.agg(F.transform(top, lambda x: x["feature"]).alias("top_features"), F.count(F.lit(1)).alias("n_features"))
-    # every row repeats the base value, so a maximum finds it
-    facts = shap.agg(F.max("base_value").alias("base_value"), F.count_if(F.col("feature") == features[0]).alias("n_rows"))
+    first = F.sum(F.when(F.col("feature") == features[0], F.col("_rows")))
     return {
         "values": explain.shap_wide(shap, key, features),
-        "summary": summary,
+        "summary": facts.drop("_base", "_rows"),
         "per_row": explain.shap_top_features(shap, key),
-        "metadata": facts.withColumn("k", F.lit(1)).join(named.withColumn("k", F.lit(1)), "k").drop("k"),
+        "metadata": facts.agg(
+            F.max("_base").alias("base_value"),
+            F.coalesce(first, F.lit(0)).alias("n_rows"),
+            F.transform(top, lambda x: x["feature"]).alias("top_features"),
+            F.count(F.lit(1)).alias("n_features"),
+        ),
     }

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tablewright.operators import evaluate, explain, leakage
+from tablewright.operators import evaluate, explain, leakage, report
 
 KEY = ["id"]
 
@@ -151,6 +151,14 @@ def test_interactions_score_the_copies_once(spark, frame):
     assert not shap.select("id", "feature", "shap_value").storageLevel.useMemory
 
 
+def test_metadata_scores_the_copies_once(spark, frame):
+    scored, predict = counted(spark)
+    shap = explain.shapley_values(frame, ["a", "b", "c"], KEY, predict, background_rows=4)
+    meta = report.explanation_tables(shap, KEY, ["a", "b", "c"])["metadata"].first()
+    assert (meta["n_rows"], meta["n_features"], meta["top_features"]) == (120, 3, ["b", "a", "c"])
+    assert scored.value == 120 * 4 * 8
+
+
 def test_shap_tables(spark):
     rows = [(i, f, v * (1 + i), "x") for i in range(4) for f, v in [("a", 3.0), ("b", -2.0), ("c", 0.5)]]
     shap = spark.createDataFrame(rows, "id int, feature string, shap_value double, feature_value string")
