@@ -10,8 +10,10 @@ from __future__ import annotations
 import hashlib
 import time
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -46,11 +48,14 @@ from tablewright.operators import evaluate, quantile
 from tablewright.operators.errors import flag_low_confidence, predicted_probability
 from tablewright.operators.explain import auc_score, permutation_importance
 from tablewright.operators.splits import aggregate_scores, assign_folds, assign_test, fold_pairs
+from tablewright.plans.attach import spread_for_passes
 
 MAX_CLASSES = 1_000
 MAX_INDEXED_CATEGORIES = 1_000
 HASHED_WIDTH = 256
 VALIDATION_FRACTION = 0.2
+#: Above so many rows candidates are fitted one after the other: each keeps bagged rows in memory, and has work for all cores.
+SIDE_BY_SIDE_ROWS = 2_000_000
 
 # Family names accepted by the tuner and the estimator that stands for each.
 FAMILIES = {"GBM": "boost", "XGB": "boost", "CAT": "boost", "RF": "forest", "XT": "forest"}
@@ -365,10 +370,13 @@ def fit(
     quick: bool = False,
     quantile_level: float = 0.5,
     time_limit: float | None = None,
+    parallelism: int = 1,
 ) -> tuple[Fitted, DataFrame]:
     """Fit the candidates and rank them on a validation slice of ``train``.
 
     With ``time_limit`` no further candidate is fitted after so many seconds; the first one always is.
+    ``parallelism`` candidates are fitted side by side, on tables of up to ``SIDE_BY_SIDE_ROWS`` rows; their times then
+    hold what they wait for each other.
     ``quantile_level`` is the level of a run with ``forced_type="quantile"``, whose label has to be a number.
     Returns the run and its leaderboard ``model, score_val, fit_time, pred_time_val``.
     """
@@ -399,20 +407,32 @@ def fit(
     features = with_values(fitting, features)
     prepare = Pipeline(stages=preparation(fitting, features)).fit(fitting)
     run = Fitted(label, kind, metric, features, classes, prepare, {}, level=level)
-    ready = prepare.transform(_with_label(split, label, classes)).select("is_test", "_label", "_features").persist()
-    slice_rows = split.where("is_test").drop("is_test").persist()
+    rows = split.count()
+    laid = spread_for_passes(split, key, rows)
+    ready = prepare.transform(_with_label(laid, label, classes)).select("is_test", "_label", "_features").persist()
+    slice_rows = laid.where("is_test").drop("is_test").persist()
     board = []
     try:
         chosen = estimators if estimators is not None else candidates(kind, seed, quick, quantile_level)
         started = time.perf_counter()
-        for name, est in chosen.items():
-            if board and time_limit is not None and time.perf_counter() - started > time_limit:
-                break
+
+        def one(at: int, name: str, est) -> tuple | None:
+            if at and time_limit is not None and time.perf_counter() - started > time_limit:
+                return None
             begin = time.perf_counter()
-            run.models[name] = est.fit(ready.where("NOT is_test"))
+            model = est.fit(ready.where("NOT is_test"))
             fitted = time.perf_counter()
-            value = run.signed(run.evaluate(slice_rows, name, [metric]))
-            board.append((name, value, fitted - begin, time.perf_counter() - fitted))
+            value = run.signed(replace(run, models={name: model}).evaluate(slice_rows, name, [metric]))
+            return model, (name, value, fitted - begin, time.perf_counter() - fitted)
+
+        todo = [(i, name, est) for i, (name, est) in enumerate(chosen.items())]
+        if parallelism > 1 and rows <= SIDE_BY_SIDE_ROWS:
+            with ThreadPool(parallelism) as pool:
+                done = pool.starmap(inheritable_thread_target(train.sparkSession)(one), todo, chunksize=1)
+        else:
+            done = [one(*t) for t in todo]
+        board = [row for _, row in filter(None, done)]
+        run.models = {row[0]: model for model, row in filter(None, done)}
         board.sort(key=lambda r: (-r[1], r[0]))
         run.best = board[0][0]
         if blend and len(board) > 1:
@@ -632,10 +652,12 @@ def tune_family(
     time_limit: float | None = None,
     eval_metric: str | None = None,
     seed: int = K.SEED,
+    parallelism: int = 4,
 ) -> tuple[Fitted, DataFrame]:
     """One row per trial (``trial, params, score_val, fit_time``), best first, and the best model.
 
-    With ``time_limit`` no new trial starts after so many seconds; the result then depends on the machine.
+    With ``time_limit`` no new trial starts after so many seconds; the result then depends on the machine. Up to
+    ``parallelism`` trials run side by side, see :func:`fit`.
     """
     if family not in FAMILIES:
         raise ValueError(f"model_family '{family}' not supported. Choose from: {sorted(FAMILIES)}")
@@ -644,7 +666,8 @@ def tune_family(
     named = {f"{family}_{i + 1}": est for i, (est, _) in enumerate(trials)}
     # the table is split and prepared once for all trials
     run, board = fit(
-        train, label, key, eval_metric=eval_metric, estimators=named, blend=False, seed=seed, time_limit=time_limit
+        train, label, key, eval_metric=eval_metric, estimators=named, blend=False, seed=seed, time_limit=time_limit,
+        parallelism=parallelism,
     )
     held = {f"{family}_{i + 1}": {k: str(v) for k, v in params.items()} for i, (_, params) in enumerate(trials)}
     scores = {r["model"]: r for r in board.collect()}

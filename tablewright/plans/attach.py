@@ -74,3 +74,20 @@ def spread_for_copies(
     """
     tasks = math.ceil(df.count() * copies / copies_per_task)
     return df.repartition(tasks, *[col(k) for k in key]) if tasks > 1 else df
+
+
+ROWS_PER_PASS_TASK = 20_000
+SMALL_TASKS = 32
+MOST_ROWS_PER_PASS_TASK = 500_000
+
+
+def spread_for_passes(df: DataFrame, key: Sequence[str], rows: int) -> DataFrame:
+    """Partition ``rows`` rows by key, and sort them, before an estimator passes over them many times.
+
+    A file of few row groups would keep every pass in few tasks. Small tables get a task for ``ROWS_PER_PASS_TASK``
+    rows, ``SMALL_TASKS`` at most; large ones as many as ``MOST_ROWS_PER_PASS_TASK`` asks for. The layout follows the
+    rows alone, so bagged samples do not depend on files or cores.
+    """
+    tasks = min(math.ceil(rows / ROWS_PER_PASS_TASK), max(SMALL_TASKS, math.ceil(rows / MOST_ROWS_PER_PASS_TASK)))
+    names = [col(k) for k in key]
+    return df.repartition(max(1, tasks), *names).sortWithinPartitions(*names)

@@ -238,3 +238,34 @@ def test_search_prepares_once(three, monkeypatch):
     assert {r["trial"] for r in rows} == {"RF_1", "RF_2"} and rows[0]["score_val"] >= rows[1]["score_val"]
     _, one = train.tune_family(three, "y", KEY, "RF", n_trials=2, time_limit=0.0)
     assert [r["trial"] for r in one.collect()] == ["RF_1"]
+
+
+def test_fits_follow_the_rows_and_not_the_files(three, monkeypatch):
+    from pyspark.ml.classification import RandomForestClassifier
+
+    from tablewright.plans import attach
+
+    monkeypatch.setattr(attach, "ROWS_PER_PASS_TASK", 100)
+    tasks = []
+
+    class Forest(RandomForestClassifier):
+        def _fit(self, rows):
+            tasks.append(rows.rdd.getNumPartitions())
+            return super()._fit(rows)
+
+    df = three.localCheckpoint()
+    trees = []
+    for files in (1, 7):
+        est = {"Forest": Forest(featuresCol="_features", labelCol="_label", numTrees=5, seed=1)}
+        run, _ = train.fit(df.repartition(files), "y", KEY, estimators=est, blend=False)
+        trees.append(run.models["Forest"].toDebugString.split("\n", 1)[1])
+    assert tasks == [4, 4] and trees[0] == trees[1]
+
+
+def test_trials_side_by_side_are_the_same(three):
+    boards = []
+    for many in (1, 3):
+        run, table = train.tune_family(three, "y", KEY, "RF", n_trials=3, parallelism=many)
+        boards.append(table.drop("fit_time").collect())
+        assert list(run.models) == [run.best]
+    assert boards[0] == boards[1] and len(boards[0]) == 3
