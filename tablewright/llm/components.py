@@ -11,44 +11,55 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.plans.attach import has_at_most
-from tablewright.plans.lineage import cut
+from tablewright.plans.lineage import cut, cut_seeing
 
-#: Two long integers a row.
-BROADCAST_NODES = 1_000_000
+#: Two long integers a row. A driver of 750 MB heap ran out of it while it built tables of a million.
+BROADCAST_NODES = 200_000
 
 
-def sided(nodes: DataFrame) -> DataFrame:
-    """Pointers of few nodes are broadcast, so that a node with very many links is no key of a shuffle."""
-    return F.broadcast(nodes) if has_at_most(nodes, BROADCAST_NODES) else nodes
+def sided(nodes: DataFrame, rows: int | None = None) -> DataFrame:
+    """Pointers of few nodes are broadcast, so that a node with very many links is no key of a shuffle. ``rows``: their
+    number, if it is known."""
+    few = has_at_most(nodes, BROADCAST_NODES) if rows is None else rows <= BROADCAST_NODES
+    return F.broadcast(nodes) if few else nodes
 
 
-def flatten(parent: DataFrame) -> DataFrame:
-    """(node, parent) with every parent an end; ``parent`` is on disk."""
+def flatten(parent: DataFrame, rows: int | None = None) -> DataFrame:
+    """(node, parent) with every parent an end; ``parent`` is on disk and has ``rows`` rows, if that is known."""
     while True:
-        up = parent.select(F.col("node").alias("_p"), F.col("parent").alias("_pp"))
-        parent = cut(
-            parent.join(sided(up), F.col("parent") == F.col("_p"), "left").select(
-                "node", F.coalesce("_pp", "parent").alias("parent"), (F.coalesce("_pp", "parent") != F.col("parent")).alias("_moved")
-            )
+        up = parent.where("node != parent").select(F.col("node").alias("_p"), F.col("parent").alias("_pp"))
+        further = F.coalesce("_pp", "parent")
+        parent, moved = cut_seeing(
+            parent.join(sided(up, rows), F.col("parent") == F.col("_p"), "left").select(
+                "node", further.alias("parent"), (further != F.col("parent")).alias("_moved")
+            ),
+            F.count_if("_moved"),
         )
-        if not parent.where("_moved").head(1):
-            return parent.drop("_moved")
         parent = parent.drop("_moved")
+        if not moved:
+            return parent
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node of ``links`` (a, b). The root is the smallest node of the component."""
-    links = cut(links.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    labels = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node"))
-    while links.head(1):
+    links, left = cut_seeing(undirected(links), F.count("*"))
+    labels = None
+    while left:
         both = links.union(links.select("b", "a"))
         parent = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("_least"))
-        parent = flatten(cut(parent.select("node", F.least("node", "_least").alias("parent"))))
-        to = sided(parent.select(F.col("node").alias("_n"), F.col("parent").alias("_p")))
-        labels = cut(
-            labels.join(to, F.col("root") == F.col("_n"), "left").select("node", F.coalesce("_p", "root").alias("root"))
-        )
-        moved = links.join(to, F.col("a") == F.col("_n")).select(F.col("_p").alias("a"), "b")
-        moved = moved.join(to, F.col("b") == F.col("_n")).select("a", F.col("_p").alias("b"))
-        links = cut(moved.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    return labels
+        parent, rows = cut_seeing(parent.select("node", F.least("node", "_least").alias("parent")), F.count("*"))
+        parent = flatten(parent, rows)
+        # ends stay as they are, so their pointers are not sent to the joins
+        to = sided(parent.where("node != parent").select(F.col("node").alias("_n"), F.col("parent").alias("_p")), rows)
+        if labels is None:
+            labels = parent.select("node", F.col("parent").alias("root"))
+        else:
+            labels = cut(labels.join(to, F.col("root") == F.col("_n"), "left").select("node", F.coalesce("_p", "root").alias("root")))
+        moved = links.join(to, F.col("a") == F.col("_n"), "left").select(F.coalesce("_p", "a").alias("a"), "b")
+        moved = moved.join(to, F.col("b") == F.col("_n"), "left").select("a", F.coalesce("_p", "b").alias("b"))
+        links, left = cut_seeing(undirected(moved), F.count("*"))
+    return links.select(F.col("a").alias("node"), F.col("b").alias("root")) if labels is None else labels
+
+
+def undirected(links: DataFrame) -> DataFrame:
+    return links.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

@@ -43,8 +43,7 @@ from pyspark.sql import functions as F
 from tablewright.llm.common import explode_from, released_shuffles
 from tablewright.llm.components import components
 from tablewright.llm.words import PLACES, hash_words, mix, powers, shingles, slices
-from tablewright.plans.attach import has_at_most
-from tablewright.plans.lineage import cut
+from tablewright.plans.lineage import cut, cut_seeing
 
 REACH = 5
 PARAGRAPH_REACH = 40
@@ -121,8 +120,9 @@ def cut_texts(texts: list[bytes | None], pieces: bool = True, lines: bool = True
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """Few rows are broadcast, so that a bucket or cluster of very many is no key of a shuffle."""
-    return F.broadcast(rows) if has_at_most(rows, BROADCAST_ROWS) else rows
+    """``rows``, on disk; few are broadcast, so that a bucket or cluster of very many is no key of a shuffle."""
+    rows, many = cut_seeing(rows, F.count("*"))
+    return F.broadcast(rows) if many <= BROADCAST_ROWS else rows
 
 
 def numbered(own: np.ndarray) -> np.ndarray:
@@ -227,13 +227,13 @@ def collisions(banded: DataFrame) -> DataFrame:
     ends = banded.groupBy("_bucket").agg(
         F.min("_content").alias("_least"), F.max("_content").alias("_most"), F.count("*").alias("_members")
     )
-    return banded.join(spread(cut(ends.where("_least < _most"))), "_bucket")
+    return banded.join(spread(ends.where("_least < _most")), "_bucket")
 
 
-def shingle_sets(docs: DataFrame, text: str, key: str, wanted: DataFrame, least_words: int, pieces: bool) -> DataFrame:
-    """(_content, _set) of the classes ``wanted`` (_content, _holder), cut once more from the texts that hold them."""
+def shingle_sets(docs: DataFrame, text: str, key: str, wanted: DataFrame, small: bool, least_words: int, pieces: bool) -> DataFrame:
+    """(_content, _set) of the classes ``wanted`` (_content, _holder), cut once more from the texts that hold them; ``small``: few
+    enough to be broadcast."""
     holders = wanted.select(F.col("_holder").alias(key)).distinct()
-    small = has_at_most(wanted, BROADCAST_ROWS)
     held = docs.join(F.broadcast(holders) if small else holders, key, "left_semi")
 
     def make():
@@ -291,7 +291,7 @@ def links_inside(met: DataFrame, sets: DataFrame, links: DataFrame, threshold: f
     rooted = cut(rooted.withColumn("root", F.coalesce("root", "_content")))
     mixed = rooted.groupBy("_bucket").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a < _b").select("_bucket")
     blocks = F.ceil(F.col("_members") / BLOCK).cast("int")
-    left = rooted.join(spread(cut(mixed)), "_bucket", "left_semi").withColumn("_side", F.pmod(F.xxhash64("_content"), blocks).cast("int"))
+    left = rooted.join(spread(mixed), "_bucket", "left_semi").withColumn("_side", F.pmod(F.xxhash64("_content"), blocks).cast("int"))
     left = left.withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     left = left.join(sets, "_content").select(
         "_bucket", F.least("_side", "_other").alias("_low"), F.greatest("_side", "_other").alias("_high"), "_side", "root", "_set"
@@ -330,8 +330,8 @@ def colliding(
 ) -> tuple[DataFrame, DataFrame]:
     """Classes that share a bucket, and their sets."""
     met = cut(collisions(banded(classes, bands)))
-    wanted = cut(met.select("_content", "_holder").distinct())
-    return met, cut(shingle_sets(rows, text, key, wanted, least_words, pieces))
+    wanted, many = cut_seeing(met.select("_content", "_holder").distinct(), F.count("*"))
+    return met, cut(shingle_sets(rows, text, key, wanted, many <= BROADCAST_ROWS, least_words, pieces))
 
 
 def near_links(met: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -368,16 +368,16 @@ def repeated_spans(
         clusters = components(links).select(F.col("node").alias("_content"), F.col("root").alias("_cluster"))
         again = again[0].union(again[1]).distinct()
         marked = again.join(clusters, "_content", "full_outer").select("_content", F.coalesce("_cluster", "_content").alias("_cluster"))
-        marked = spread(cut(marked))
+        marked = spread(marked)
         named = marked.select(F.col("_content").alias("_paragraph"), F.col("_cluster").alias("_alike"))
         seen = places(rows, "_body", key, least_words).join(named, "_paragraph", "left").join(marked, "_content", "left")
         seen = cut(seen.where("_alike IS NOT NULL OR _cluster IS NOT NULL").drop("_paragraph", "_content").distinct())
         own = F.col(f"`{key}`")
         block, piece = (F.struct(own.alias("_id"), "_text", c) for c in ("_block", "_piece"))
         near = seen.where("_alike IS NOT NULL").groupBy("_alike").agg(F.min(block).alias("_near"), F.max(own).alias("_last"))
-        near = spread(cut(near.where("_near._id < _last").drop("_last")))
+        near = spread(near.where("_near._id < _last").drop("_last"))
         several = seen.where("_cluster IS NOT NULL").groupBy("_cluster").agg(F.min(own).alias("_one"), F.max(own).alias("_two"))
-        several = spread(cut(several.where("_one < _two").select("_cluster", F.lit(True).alias("_twice"))))
+        several = spread(several.where("_one < _two").select("_cluster", F.lit(True).alias("_twice")))
         # rows of no cluster meet nothing, and not all in one task
         apart = F.xxhash64(own, "_text", "_seq")
         placed = seen.withColumns({"_alike": F.coalesce("_alike", apart), "_cluster": F.coalesce("_cluster", apart)})
@@ -395,7 +395,7 @@ def repeated_spans(
         # a piece that is in part inside a removed paragraph is no first occurrence
         placed = cut(placed.withColumn("_torn", F.max("_later").over(Window.partitionBy(key, "_text", "_piece"))))
         whole = placed.where("_twice AND NOT _torn")
-        exact = spread(cut(whole.groupBy("_cluster").agg(F.min(piece).alias("_exact"))))
+        exact = spread(whole.groupBy("_cluster").agg(F.min(piece).alias("_exact")))
     placed = placed.join(exact, "_cluster", "left")
     again = F.coalesce(F.col("_twice") & (F.col("_exact") != piece), F.lit(False))
     placed = placed.withColumns(

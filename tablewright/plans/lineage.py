@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -28,6 +28,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_seeing(df: DataFrame, fact: Column) -> tuple[DataFrame, int]:
+    """:func:`cut`, and an aggregate of its rows that is made on the way instead of in a job of its own."""
+    seen = Observation()
+    out = cut(df.observe(seen, fact.alias("fact")))
+    return out, seen.get["fact"]
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path under the checkpoint folder, for tables that one step writes and the next reads."""
     ensure_checkpoint_dir(spark)

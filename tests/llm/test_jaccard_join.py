@@ -102,3 +102,17 @@ def test_components_of_paths_and_stars(spark):
     assert {got[i] for i in range(201)} == {0} and {got[1000 + i] for i in range(50)} == {1000}
     assert got[900] == -3 and 5000 not in got
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_components_know_their_rows_without_a_count(spark, monkeypatch):
+    from tablewright.llm import components as c
+
+    def counted(*args):
+        raise AssertionError("a job that only counts")
+
+    monkeypatch.setattr(c, "has_at_most", counted)
+    links = [(i, i + 1) for i in range(20)] + [(100, 101), (7, 7)]
+    for most in (c.BROADCAST_NODES, 0):
+        monkeypatch.setattr(c, "BROADCAST_NODES", most)
+        got = {r.node: r.root for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+        assert got == {**dict.fromkeys(range(21), 0), 100: 100, 101: 100}
