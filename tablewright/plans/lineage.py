@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
@@ -28,10 +29,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def cut_seeing(df: DataFrame, fact: Column) -> tuple[DataFrame, int]:
-    """:func:`cut`, and an aggregate of its rows that is made on the way instead of in a job of its own."""
+def filed(df: DataFrame) -> DataFrame:
+    """:func:`cut` for loops that join their own results: the planner takes the size of what is read back from its files.
+
+    A checkpoint hands on the size that was guessed for its plan, and a join's guess is the product of both sides. Round
+    by round the digits of that number double, until the numbers fill the driver's heap.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "filed")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def cut_seeing(df: DataFrame, fact: Column, into: Callable[[DataFrame], DataFrame] = cut) -> tuple[DataFrame, int]:
+    """:func:`cut` (or ``into``), and an aggregate of its rows that is made on the way instead of in a job of its own."""
     seen = Observation()
-    out = cut(df.observe(seen, fact.alias("fact")))
+    out = into(df.observe(seen, fact.alias("fact")))
     return out, seen.get["fact"]
 
 

@@ -1,6 +1,9 @@
 import random
+import re
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from tablewright.llm import jaccard_join as j
 from tablewright.llm.components import components
 
@@ -116,3 +119,16 @@ def test_components_know_their_rows_without_a_count(spark, monkeypatch):
         monkeypatch.setattr(c, "BROADCAST_NODES", most)
         got = {r.node: r.root for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
         assert got == {**dict.fromkeys(range(21), 0), 100: 100, 101: 100}
+
+
+def test_size_guesses_do_not_grow_with_the_rounds(spark, capsys):
+    """A join's guess is the product of its sides; handed on from round to round its digits would double each time."""
+    from tablewright.llm.components import flatten
+
+    ids = spark.range(600).select(F.xxhash64("id").alias("a"), F.xxhash64(F.col("id") + 1).alias("b"))
+    chain = spark.createDataFrame([(i, max(i - 1, 0)) for i in range(600)], "node bigint, parent bigint")
+    for made in (components(ids), flatten(chain)):
+        made.explain("cost")
+        sizes = re.findall(r"sizeInBytes=([^,)]+)", capsys.readouterr().out)
+        assert sizes and all(len(re.sub(r"\D", "", s.partition("E+")[2])) <= 2 for s in sizes)
+    assert {r.parent for r in made.collect()} == {0}
