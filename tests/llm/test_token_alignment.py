@@ -131,6 +131,30 @@ def test_divide_and_conquer_finds_every_common_end():
         assert [a_all[k - 1] for k in i] == common == [b_all[k - 1] for k in j]
 
 
+def test_intervals_stay_in_the_order_of_the_texts(monkeypatch):
+    seen, middle_cut = [], ta.middle_cut
+
+    def looked_at(a_end, b_end, a0, a1, b0, b1):
+        seen.append((a0, a1))
+        return middle_cut(a_end, b_end, a0, a1, b0, b1)
+
+    monkeypatch.setattr(ta, "middle_cut", looked_at)
+    end, text = np.arange(1, 41), np.array([0, 13, 13, 40])
+    a_stop, b_stop = ta.shared_groups(end, end, text, text)
+    assert a_stop.tolist() == b_stop.tolist() == end.tolist()
+    assert len(seen) > 3 and all((a1[:-1] <= a0[1:]).all() for a0, a1 in seen)
+
+
+def test_digest_of_a_slice_is_cut_between_texts(libraries):
+    texts = ["one two", None, "", "x ☃ y", "9" * 70, "a\x00b", "▁ spaced ▁"]
+    aligner = ta.Aligner(P.path(ta.BYTES_FILE), P.path(ta.PIECES_FILE))
+    assert aligner.written.dtype.kind == "S"
+    wanted = ["n_a", "groups_sha256"]
+    together, alone = aligner.align(texts, wanted), [aligner.align([t], wanted) for t in texts]
+    assert together["groups_sha256"] == [a["groups_sha256"][0] for a in alone]
+    assert together["n_a"].tolist() == [a["n_a"][0] for a in alone]
+
+
 def test_long_text_without_common_ends():
     a, b = np.arange(1, 400_001) * 2, np.r_[np.arange(0, 399_999) * 2 + 1, 800_000]
     i, j = ta.shared_groups(a, b, np.array([0, len(a)]), np.array([0, len(b)]))
