@@ -9,8 +9,8 @@ A document is its set of distinct five-word shingles (64-bit hashes). Two link w
 3. Shingles are ordered by how many classes have them. Classes are cut into blocks of bounded size, near
    copies side by side; a class is sent to a block when a shingle of its prefix is in the prefix of one there.
 4. A block is an inverted index. A query needs T occurrences of an indexed class in its lists: the L longest are
-   put aside (DivideSkip), the others heap-merged, and what occurs T - L times in them is probed in the long lists
-   by binary search. Queries of one block are spread over tasks that each hold the block; rows of a block arrive
+   put aside (DivideSkip), occurrences in the others are counted, and what occurs T - L times in them is probed in the
+   long lists by binary search. Queries of one block are spread over tasks that each hold the block; rows of a block arrive
    index first, so a task holds one block and one query.
 5. A task passes on only links that join what it has not joined yet, so a group of copies gives links in
    proportion to its size. Components of these links are those of all links.
@@ -22,8 +22,6 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
-import heapq
-import itertools
 import math
 from collections.abc import Iterator
 
@@ -44,8 +42,8 @@ QUERIES_PER_TASK = 256
 BROADCAST_CLASSES = 1_000_000
 #: One in so many shingles is kept beyond the necessary ones; more of them tell apart more classes without a partner.
 SPARE = 10
-#: Weight of a merged element against a probe in the choice of long lists.
-MU = 0.01
+#: DivideSkip's weight: T / (MU * log2(longest list) + 1) lists are put aside. Counting is cheap beside probes, so few are.
+MU = 1
 
 
 def least_overlap(n: int) -> int:
@@ -158,6 +156,7 @@ class Block:
     def __init__(self, rows: list[tuple[int, int, np.ndarray]]) -> None:
         rows.sort(key=lambda r: (r[1], r[0]))
         self.ids = [r[0] for r in rows]
+        self.order = np.array(self.ids, np.int64)
         self.size = np.array([r[1] for r in rows], np.int64)
         token, at = np.unique(np.concatenate([r[2] for r in rows]), return_inverse=True)
         doc = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows])
@@ -202,15 +201,16 @@ class Block:
         order = np.argsort(length, kind="stable")
         aside = min(least - 1, int(least / (MU * math.log2(int(length.max()) + 1) + 1)))
         short, long = order[: len(order) - aside], order[len(order) - aside :]
-        merged = heapq.merge(*[self.member[begin[k] : end[k]].tolist() for k in short.tolist()])
         links = []
-        found = []
-        for x, run in itertools.groupby(merged):
-            count = sum(1 for _ in run)
-            if count >= least - aside and (self.size[x], self.ids[x]) < (n, own):
-                found.append((x, count))
+        # occurrences of every member in the short lists
+        many = length[short]
+        at = np.repeat(begin[short] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        times = np.bincount(self.member[at] - low, minlength=high - low)
+        found = np.flatnonzero(times >= least - aside)
+        smaller = (self.size[low + found] < n) | (self.order[low + found] < own)
+        found = found[smaller]
         lists_aside = which[long] * self.n
-        for x, count in found:
+        for x, count in zip((low + found).tolist(), times[found].tolist(), strict=True):
             if self.find(self.ids[x]) == self.find(own):
                 continue
             probe = lists_aside + x

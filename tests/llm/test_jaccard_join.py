@@ -99,6 +99,23 @@ def test_search_needs_every_part(prose):
     assert all(len(v) == 1 for v in roots.values())
 
 
+def test_search_of_a_large_group_takes_no_steps_by_element(prose):
+    import cProfile
+    import pstats
+
+    rng = random.Random(11)
+    base = prose(601, 150)
+    made = list(j.sets_of([edited(rng, base, 0.01).encode() for _ in range(400)]))
+    rows = [(i, len(s), s.view("int64")) for i, s in enumerate(made)]
+    block = j.Block(list(rows))
+    profile = cProfile.Profile()
+    profile.enable()
+    links = [(own, x) for own, n, s in sorted(rows, key=lambda r: (r[1], r[0])) for x in block.search(own, n, s)]
+    profile.disable()
+    assert len(links) > 300
+    assert pstats.Stats(profile).total_calls < 2_000 * len(rows)
+
+
 def test_components_of_paths_and_stars(spark):
     links = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 50)] + [(5000, 5000), (7, 6), (-3, 900)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
