@@ -64,11 +64,12 @@ def fit_batches(spark: SparkSession) -> None:
 
 
 def explode_from(
-    df: DataFrame, text: str, keys: Sequence[str], schema: str, make: Callable[[], Callable]
+    df: DataFrame, text: str, keys: Sequence[str], schema: str, make: Callable[[], Callable], seen: Sequence[str] = ()
 ) -> DataFrame:
     """Rows made from each document: ``keys`` repeated beside the new columns.
 
-    The function of a batch returns the row number each new row came from, then one array per column.
+    The function of a batch gets its texts and the columns ``seen`` of ``keys``; it returns the row number each new row came
+    from, then one array per column.
     """
     new = T.StructType.fromDDL(schema)
     source = df.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{text}`").alias("_text_in"))
@@ -80,7 +81,8 @@ def explode_from(
         work = make()
         types = to_arrow_schema(new)
         for batch in batches:
-            for origin, *made in work(batch.column(len(keys)).cast(pa.binary()).to_pylist()):
+            beside = [batch.column(list(keys).index(k)) for k in seen]
+            for origin, *made in work(batch.column(len(keys)).cast(pa.binary()).to_pylist(), *beside):
                 at = pa.array(origin, type=pa.int64())
                 arrays = [batch.column(i).take(at) for i in range(len(keys))]
                 arrays += [v if isinstance(v, pa.Array) else pa.array(v, type=t.type) for v, t in zip(made, types, strict=True)]

@@ -34,10 +34,12 @@ empty result.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import explode_from, released_shuffles
@@ -57,6 +59,10 @@ MOST_HASHES = 24
 PIECE_HASHES = 2
 BLOCK = 500
 BROADCAST_ROWS = 200_000
+#: Sets times shared shingles up to which one product of matrices counts all intersections of a block (4 MB).
+TABLE_CELLS = 1 << 20
+#: Words of a sieve at most, as a power of two (32 MB); a fuller one lets more pass and loses nothing.
+SIEVE_BITS = 22
 
 
 def tuned(threshold: float = THRESHOLD, recall: float = RECALL, most_hashes: int = 8) -> tuple[int, int]:
@@ -125,29 +131,62 @@ def spread(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if many <= BROADCAST_ROWS else rows
 
 
+def sieve(rows: DataFrame, hashed: Column, many: int) -> Broadcast:
+    """Bloom filter of the ``many`` hashes ``hashed`` of ``rows``: three bits of one word each, two to four hashes a word
+    up to ``SIEVE_BITS``. Tasks drop by it what no join would keep, before it is shuffled; the join still decides."""
+    words = 1 << min(max(many // 4, 1).bit_length(), SIEVE_BITS)
+    bits = " | ".join(f"shiftleft(1L, cast(shiftrightunsigned(_hash, {by}) & 63 AS int))" for by in (58, 52, 46))
+    marks = rows.select(hashed.alias("_hash")).select(F.expr(f"cast(_hash & {words - 1} AS int)").alias("_at"), F.expr(bits).alias("_bits"))
+    held = marks.groupBy("_at").agg(F.bit_or("_bits").alias("_bits")).toArrow()
+    out = np.zeros(words, np.int64)
+    out[held.column("_at").to_numpy()] = held.column("_bits").to_numpy()
+    return rows.sparkSession.sparkContext.broadcast(out.view(np.uint64))
+
+
+def passes(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of ``hashes`` may be in the sieve ``words``."""
+    bits = np.zeros(len(hashes), np.uint64)
+    for by in (58, 52, 46):
+        bits |= np.uint64(1) << (hashes >> np.uint64(by) & np.uint64(63))
+    return words[(hashes & np.uint64(len(words) - 1)).view(np.int64)] & bits == bits
+
+
 def numbered(own: np.ndarray) -> np.ndarray:
     """Number of each inside its row; ``own`` is the sorted row of each."""
     return np.arange(len(own)) - np.searchsorted(own, own)
 
 
-def units(texts: list[bytes | None], least_words: int, pieces: bool):
+def units(texts: list[bytes | None], least_words: int, pieces: bool, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None):
     """Per slice, of pieces or of paragraphs of ``least_words`` or more: row, content, distinct shingles and the piece or
-    paragraph of each."""
+    paragraph of each; only of those whose row and content are ``wanted``."""
     for a, words, row, small, large in cut_texts(texts, pieces, not pieces):
         start = small if pieces else large
         size = np.diff(np.r_[start, len(words)])
         taken = size >= (1 if pieces else least_words)
-        if taken.any():
-            hashed = content(words, start[taken], (start + size)[taken])
-            yield row[start[taken]] + a, hashed, *paragraph_shingles(words[np.repeat(taken, size)], size[taken])
+        own, hashed = row[start[taken]] + a, content(words, start[taken], (start + size)[taken])
+        if wanted is not None:
+            chosen = wanted(own, hashed)
+            own, hashed = own[chosen], hashed[chosen]
+            taken[taken] = chosen
+        if len(own):
+            yield own, hashed, *paragraph_shingles(words[np.repeat(taken, size)], size[taken])
 
 
 def paragraph_shingles(words: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles of all paragraphs, sorted in each, and the paragraph of each."""
+    """Distinct shingles of all paragraphs, and the paragraph of each, which rises."""
     found, at = shingles(words, np.repeat(np.arange(len(size)), size))
-    order = np.lexsort((found, at))
-    found, at = found[order], at[order]
-    new = np.r_[True, (found[1:] != found[:-1]) | (at[1:] != at[:-1])]
+    # one sort of the paragraph and the upper bits of the shingle shows where a shingle may stand twice
+    bits = np.uint64(max(1, len(size).bit_length()))
+    both = np.sort((at.astype(np.uint64) << (np.uint64(64) - bits)) | (found >> bits))
+    twice = (both[:-1][both[1:] == both[:-1]] >> (np.uint64(64) - bits)).astype(np.int64)
+    if not len(twice):
+        return found, at
+    doubtful = np.zeros(len(size), bool)
+    doubtful[twice] = True
+    place = np.flatnonzero(doubtful[at])
+    place = place[np.lexsort((found[place], at[place]))]
+    new = np.ones(len(found), bool)
+    new[place[1:]] = (found[place[1:]] != found[place[:-1]]) | (at[place[1:]] != at[place[:-1]])
     return found[new], at[new]
 
 
@@ -167,25 +206,29 @@ def signed(a: np.ndarray) -> np.ndarray:
     return a.view(np.int64)
 
 
-def places(docs: DataFrame, text: str, key: str, least_words: int) -> DataFrame:
+def places(docs: DataFrame, text: str, key: str, least_words: int, marked: Broadcast) -> DataFrame:
     """Texts cut at the starts of pieces and of paragraphs: (key, _seq, _first, _words, _piece and _block: numbers,
     _content and _paragraph: contents of both; that of a short paragraph is one
-    that no class has)."""
+    that no class has). Rows neither of whose contents passes the sieve ``marked`` are left out."""
 
     def make():
+        words_marked = marked.value
+
         def work(texts):
             for a, words, row, start, block in cut_texts(texts):
                 both = np.union1d(start, block)
                 own = row[both]
-                held = [both - np.searchsorted(row, own), np.diff(np.r_[both, len(words)])]
-                contents = []
+                held = [numbered(own), both - np.searchsorted(row, own), np.diff(np.r_[both, len(words)])]
+                contents, hit = [], np.zeros(len(both), bool)
                 for of, least in ((start, 1), (block, least_words)):
                     at = np.searchsorted(of, both, "right") - 1
                     end = np.r_[of[1:], len(words)]
                     held.append(numbered(row[of])[at])
                     hashed = content(words, of, end)
-                    contents.append(signed(np.where(end - of < least, mix(~hashed), hashed))[at])
-                yield own + a, numbered(own), *held, *contents
+                    hashed = np.where(end - of < least, mix(~hashed), hashed)
+                    hit |= passes(words_marked, hashed)[at]
+                    contents.append(signed(hashed)[at])
+                yield own[hit] + a, *[h[hit] for h in (*held, *contents)]
 
         return work
 
@@ -222,31 +265,48 @@ def banded(classes: DataFrame, bands: int) -> DataFrame:
     return rows.select("_content", "_holder", F.explode(F.array(*[f"_k{i}" for i in range(bands)])).alias("_bucket"))
 
 
-def collisions(banded: DataFrame) -> DataFrame:
+def collisions(classes: DataFrame, bands: int) -> DataFrame:
     """Classes that share a bucket: (_bucket, _content, _holder, _least and _most: the bucket's ends, _members)."""
-    ends = banded.groupBy("_bucket").agg(
+    rows = banded(classes, bands)
+    ends = rows.groupBy("_bucket").agg(
         F.min("_content").alias("_least"), F.max("_content").alias("_most"), F.count("*").alias("_members")
     )
-    return banded.join(spread(ends.where("_least < _most")), "_bucket")
+    ends, many = cut_seeing(ends.where("_least < _most"), F.count("*"))
+    if many <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(ends), "_bucket")
+    shared, names = sieve(ends, F.col("_bucket"), many), rows.columns
+
+    def run(batches):
+        for batch in batches:
+            for band in range(bands):
+                bucket = batch.column(2 + band)
+                hit = pa.array(passes(shared.value, bucket.to_numpy().view(np.uint64)))
+                yield pa.RecordBatch.from_arrays([c.filter(hit) for c in (batch.column(0), batch.column(1), bucket)], names)
+
+    held = classes.where("_k0 IS NOT NULL").select("_content", "_holder", *[f"_k{i}" for i in range(bands)])
+    return held.mapInArrow(run, rows.schema).join(ends, "_bucket")
 
 
-def shingle_sets(docs: DataFrame, text: str, key: str, wanted: DataFrame, small: bool, least_words: int, pieces: bool) -> DataFrame:
-    """(_content, _set) of the classes ``wanted`` (_content, _holder), cut once more from the texts that hold them; ``small``: few
-    enough to be broadcast."""
-    holders = wanted.select(F.col("_holder").alias(key)).distinct()
-    held = docs.join(F.broadcast(holders) if small else holders, key, "left_semi")
+def shingle_sets(docs: DataFrame, text: str, key: str, wanted: DataFrame, many: int, least_words: int, pieces: bool) -> DataFrame:
+    """(_content, _set) of the ``many`` classes ``wanted`` (_content, _holder), cut once more from the texts that hold them.
+    A sieve picks them where they are cut, so neither texts nor other sets are shuffled."""
+    picked = sieve(wanted, F.col("_content").bitwiseXOR(F.xxhash64("_holder")), many)
 
     def make():
-        def work(texts):
-            for own, hashed, found, at in units(texts, least_words, pieces):
+        words = picked.value
+
+        def work(texts, holder):
+            mine = holder.to_numpy().view(np.uint64)
+            for own, hashed, found, at in units(texts, least_words, pieces, lambda own, hashed: passes(words, hashed ^ mine[own])):
                 bounds = np.searchsorted(at, np.arange(len(own) + 1)).astype(np.int32)
                 yield own, signed(hashed), pa.ListArray.from_arrays(bounds, pa.array(signed(found)))
 
         return work
 
-    sets = explode_from(held, text, [key], "_content bigint, _set array<bigint>", make)
+    held = docs.withColumn("_hash", F.xxhash64(F.col(f"`{key}`")))
+    sets = explode_from(held, text, [key, "_hash"], "_content bigint, _set array<bigint>", make, ["_hash"]).drop("_hash")
     asked = wanted.select("_content", F.col("_holder").alias(key))
-    sets = sets.join(F.broadcast(asked) if small else asked, ["_content", key], "left_semi")
+    sets = sets.join(F.broadcast(asked) if many <= BROADCAST_ROWS else asked, ["_content", key], "left_semi")
     # a text may hold a paragraph twice
     return sets.dropDuplicates(["_content"]).select("_content", "_set")
 
@@ -265,19 +325,47 @@ def joining_links(sets: list[np.ndarray], roots: np.ndarray, side: np.ndarray, t
     """Links (root, root) between components of ``sets`` that reach the threshold and join what nothing has joined yet.
     Sets of different ``side`` are compared; if all are of one side, all are."""
     size = np.fromiter(map(len, sets), np.int64, len(sets))
-    found = np.concatenate(sets)
+    found, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
     order = np.argsort(found, kind="stable")
-    found, owner = found[order], np.repeat(np.arange(len(sets)), size)[order]
+    found, owner = found[order], owner[order]
+    # what one set has alone is in no intersection
+    first = np.r_[True, found[1:] != found[:-1]]
+    held = np.diff(np.r_[np.flatnonzero(first), len(found)])
+    several = np.repeat(held > 1, held)
+    found, owner = found[several], owner[several]
+    number = np.cumsum(first[several]) - 1
     one_side = (side == side[0]).all()
-    part, out = roots.copy(), []
-    for i, own in enumerate(sets):
-        low, high = np.searchsorted(found, own, "left"), np.searchsorted(found, own, "right")
+
+    def shared_by_all() -> np.ndarray:
+        table = np.zeros((len(sets), int((held > 1).sum())), np.float32)
+        table[owner, number] = 1
+        return table @ table.T
+
+    def shared_with(i: int) -> np.ndarray:
+        low, high = np.searchsorted(found, sets[i], "left"), np.searchsorted(found, sets[i], "right")
         many = high - low
         at = np.repeat(high - np.cumsum(many), many) + np.arange(many.sum())
-        both = np.bincount(owner[at], minlength=len(sets))
-        near = (both >= threshold * (size + len(own) - both)) & (part != part[i])
-        near[:i] = False
-        for j in np.flatnonzero(near if one_side else near & (side != side[i])):
+        return np.bincount(owner[at], minlength=len(sets))
+
+    table = shared_by_all() if len(sets) * int((held > 1).sum()) <= TABLE_CELLS else None
+    part, out = roots.copy(), []
+    rows = range(len(sets) - 1)
+    if table is not None:
+        near = (table >= threshold * (size[:, None] + size - table)) & (roots[:, None] != roots)
+        rows = np.flatnonzero(np.triu(near if one_side else near & (side[:, None] != side), 1).any(1))
+    for i in rows:
+        open_to = part != part[i]
+        if not one_side:
+            open_to &= side != side[i]
+        open_to[: i + 1] = False
+        if not open_to.any():
+            continue
+        if table is not None:
+            close = near[i]
+        else:
+            both = shared_with(i)
+            close = both >= threshold * (size + len(sets[i]) - both)
+        for j in np.flatnonzero(close & open_to):
             if part[j] != part[i]:
                 out.append((int(roots[i]), int(roots[j])))
                 part[part == part[j]] = part[i]
@@ -297,11 +385,13 @@ def links_inside(met: DataFrame, sets: DataFrame, links: DataFrame, threshold: f
         "_bucket", F.least("_side", "_other").alias("_low"), F.greatest("_side", "_other").alias("_high"), "_side", "root", "_set"
     )
 
-    def compare(group: pa.Table) -> pa.RecordBatch:
-        held = group.column("_set").combine_chunks()
-        starts = held.offsets.to_numpy()
-        sets = np.split(held.flatten().to_numpy(), starts[1:-1] - starts[0])
-        made = joining_links(sets, group.column("root").to_numpy(), group.column("_side").to_numpy(), threshold)
+    def compare(table: pa.Table, ends: np.ndarray) -> pa.RecordBatch:
+        """The groups between ``ends``."""
+        held = table.column("_set").combine_chunks()
+        at, found = held.offsets.to_numpy(), held.values.to_numpy()
+        sets = [found[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        roots, side = table.column("root").to_numpy(), table.column("_side").to_numpy()
+        made = [x for a, b in zip(ends[:-1], ends[1:], strict=True) for x in joining_links(sets[a:b], roots[a:b], side[a:b], threshold)]
         made = np.array(made, np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(made[:, 0]), pa.array(made[:, 1])], ["a", "b"])
 
@@ -315,11 +405,11 @@ def links_inside(met: DataFrame, sets: DataFrame, links: DataFrame, threshold: f
             table = table if rest is None else pa.concat_tables([rest, table])
             keys = [table.column(k).to_numpy() for k in ("_bucket", "_low", "_high")]
             ends = np.r_[0, np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1]
-            for a, b in zip(ends[:-1], ends[1:]):
-                yield compare(table.slice(a, b - a))
+            if len(ends) > 1:
+                yield compare(table, ends)
             rest = table.slice(ends[-1])
         if rest is not None:
-            yield compare(rest)
+            yield compare(rest, np.array([0, rest.num_rows]))
 
     group = ["_bucket", "_low", "_high"]
     return left.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "a bigint, b bigint")
@@ -329,9 +419,9 @@ def colliding(
     rows: DataFrame, text: str, key: str, classes: DataFrame, bands: int, least_words: int, pieces: bool
 ) -> tuple[DataFrame, DataFrame]:
     """Classes that share a bucket, and their sets."""
-    met = cut(collisions(banded(classes, bands)))
+    met = cut(collisions(classes, bands))
     wanted, many = cut_seeing(met.select("_content", "_holder").distinct(), F.count("*"))
-    return met, cut(shingle_sets(rows, text, key, wanted, many <= BROADCAST_ROWS, least_words, pieces))
+    return met, cut(shingle_sets(rows, text, key, wanted, many, least_words, pieces))
 
 
 def near_links(met: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -368,9 +458,11 @@ def repeated_spans(
         clusters = components(links).select(F.col("node").alias("_content"), F.col("root").alias("_cluster"))
         again = again[0].union(again[1]).distinct()
         marked = again.join(clusters, "_content", "full_outer").select("_content", F.coalesce("_cluster", "_content").alias("_cluster"))
-        marked = spread(marked)
+        marked, many = cut_seeing(marked, F.count("*"))
+        alike = sieve(marked, F.col("_content"), many)
+        marked = F.broadcast(marked) if many <= BROADCAST_ROWS else marked
         named = marked.select(F.col("_content").alias("_paragraph"), F.col("_cluster").alias("_alike"))
-        seen = places(rows, "_body", key, least_words).join(named, "_paragraph", "left").join(marked, "_content", "left")
+        seen = places(rows, "_body", key, least_words, alike).join(named, "_paragraph", "left").join(marked, "_content", "left")
         seen = cut(seen.where("_alike IS NOT NULL OR _cluster IS NOT NULL").drop("_paragraph", "_content").distinct())
         own = F.col(f"`{key}`")
         block, piece = (F.struct(own.alias("_id"), "_text", c) for c in ("_block", "_piece"))
@@ -384,6 +476,8 @@ def repeated_spans(
         placed = placed.join(near, "_alike", "left").join(several, "_cluster", "left")
         later = F.col("_near").isNotNull() & (F.col("_near") != block)
         placed = placed.withColumns({"_later": later, "_twice": F.coalesce("_twice", F.lit(False))})
+        # all windows are inside a text, so it is dealt out once for them
+        placed = placed.repartition(key, "_text")
 
         def run(*same: str):
             return F.col("_seq") - F.row_number().over(Window.partitionBy(key, "_text", *same).orderBy("_seq"))
@@ -396,7 +490,7 @@ def repeated_spans(
         placed = cut(placed.withColumn("_torn", F.max("_later").over(Window.partitionBy(key, "_text", "_piece"))))
         whole = placed.where("_twice AND NOT _torn")
         exact = spread(whole.groupBy("_cluster").agg(F.min(piece).alias("_exact")))
-    placed = placed.join(exact, "_cluster", "left")
+    placed = placed.join(exact, "_cluster", "left").repartition(key, "_text")
     again = F.coalesce(F.col("_twice") & (F.col("_exact") != piece), F.lit(False))
     placed = placed.withColumns(
         {

@@ -1,5 +1,6 @@
 """Toxicity, language and importance models: held-out accuracy, parts by hand, odd rows."""
 
+import itertools
 import math
 import random
 import zlib
@@ -341,3 +342,56 @@ def test_few_words_make_paragraphs(n):
     words = np.arange(1, n + 1, dtype=np.uint64)
     start, end = substring_dedup.paragraphs(words, np.zeros(n, np.int64))
     assert [k for a, b in zip(start, end, strict=True) for k in range(a, b)] == list(range(n))
+
+
+def test_sieve_keeps_all_it_holds_and_little_else(spark):
+    hashes = np.random.default_rng(3).integers(-(2**63), 2**63, 40_000)
+    rows = spark.createDataFrame([(int(h),) for h in hashes[:10_000]], "h bigint")
+    words = substring_dedup.sieve(rows, F.col("h"), 10_000).value
+    kept = substring_dedup.passes(words, hashes.view(np.uint64))
+    assert kept[:10_000].all() and kept[10_000:].mean() < 0.05
+    none = substring_dedup.sieve(rows.limit(0), F.col("h"), 0).value
+    assert not substring_dedup.passes(none, hashes.view(np.uint64)).any()
+
+
+def test_shuffled_joins_give_the_same_and_move_no_texts(spark, prose, monkeypatch):
+    texts = templated(prose, groups=6, members=4) + [prose(8_000 + i, 60) + " " + prose(8_100, 70) for i in range(5)] + [prose(8_200, 90)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    want = sorted(map(tuple, substring_dedup.repeated_spans(docs).collect()))
+    plans, cut = [], substring_dedup.cut
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString().split("\n"))
+        return cut(df)
+
+    monkeypatch.setattr(substring_dedup, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(substring_dedup, "cut", seen)
+    assert sorted(map(tuple, substring_dedup.repeated_spans(docs).collect())) == want and want
+    under = [plan[i:] for plan in plans for i, line in enumerate(plan) if " AS _text_in" in line]
+    assert under
+    for first, *rest in under:
+        depth = len(first) - len(first.lstrip(" :+-"))
+        inside = itertools.takewhile(lambda line: len(line) - len(line.lstrip(" :+-")) > depth, rest)
+        assert not any("Join" in line for line in inside)
+
+
+def test_repeated_shingles_count_once():
+    rng = np.random.default_rng(5)
+    size = np.array([3, 5, 40, 7, 12])
+    words = rng.integers(1, 4, size.sum()).astype(np.uint64)
+    found, at = substring_dedup.paragraph_shingles(words, size)
+    every, of = substring_dedup.shingles(words, np.repeat(np.arange(5), size))
+    assert len(found) < len(every) and (np.diff(at) >= 0).all()
+    assert all(sorted(found[at == i].tolist()) == sorted(set(every[of == i].tolist())) for i in range(5))
+
+
+@pytest.mark.parametrize("cells", [0, 1 << 20])
+def test_blocks_are_joined_as_by_hand(monkeypatch, cells):
+    monkeypatch.setattr(substring_dedup, "TABLE_CELLS", cells)
+    rng = np.random.default_rng(9)
+    sets = [np.flatnonzero(rng.random(40) < 0.85).astype(np.int64) + 1_000 * (i % 3) for i in range(60)]
+    roots, side = np.arange(60) // 2, rng.integers(0, 2, 60)
+    got = roots_of([*substring_dedup.joining_links(sets, roots, side, 0.8), *[(int(r), int(r)) for r in roots]])
+    shared = {(i, j): len(set(sets[i]) & set(sets[j])) for i in range(60) for j in range(i) if side[i] != side[j]}
+    near = [(int(roots[i]), int(roots[j])) for (i, j), n in shared.items() if n >= 0.8 * (len(sets[i]) + len(sets[j]) - n)]
+    assert len(near) > 10 and roots_of([*near, *[(int(r), int(r)) for r in roots]]) == got
