@@ -133,12 +133,13 @@ def positive_class(scored: DataFrame, actual: str = "actual"):
     return scored.agg(F.max(col(actual))).first()[0]
 
 
-def _score_groups(scored: DataFrame, actual: str, score: str, pos_label) -> DataFrame:
+def _score_groups(scored: DataFrame, actual: str, score: str, pos_label, rows: Column | None = None) -> DataFrame:
     hit = col(actual) == F.lit(pos_label)
+    each = F.lit(1) if rows is None else rows
     return (
         scored.where(col(score).isNotNull() & col(actual).isNotNull())
         .groupBy(col(score).cast("double").alias("threshold"))
-        .agg(F.count_if(hit).alias("pos"), F.count_if(~hit).alias("neg"))
+        .agg(F.sum(F.when(hit, each).otherwise(0)).alias("pos"), F.sum(F.when(hit, 0).otherwise(each)).alias("neg"))
     )
 
 
@@ -149,14 +150,14 @@ def score_edges(scored: DataFrame, score: str) -> list[float]:
 
 
 def threshold_table(
-    scored: DataFrame, actual: str, score: str, pos_label=None, edges: Sequence[float] | None = None
+    scored: DataFrame, actual: str, score: str, pos_label=None, edges: Sequence[float] | None = None, rows: Column | None = None
 ) -> DataFrame:
     """Per distinct score, highest first: ``pos, neg``, cumulative ``tp, fp`` and totals ``p, n``.
 
-    Other classes count as negative (one against the rest).
+    Other classes count as negative (one against the rest). A row counts as ``rows`` rows, one by default.
     """
     known = scored.where(col(score).isNotNull() & col(actual).isNotNull())
-    tally = known.groupBy(col(actual).alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    tally = known.groupBy(col(actual).alias("c")).agg(F.sum(F.lit(1) if rows is None else rows).alias("n"))
     sizes = {r["c"]: r["n"] for r in tally.limit(MAX_CLASSES + 1).collect()}
     if len(sizes) > MAX_CLASSES:
         raise ValueError(f"more than {MAX_CLASSES} classes")
@@ -166,7 +167,7 @@ def threshold_table(
     n = sum(sizes.values()) - p
     if edges is None:
         edges = bucket_edges(known, score) if p + n > ROWS_PER_BUCKET else []
-    groups = _score_groups(scored, actual, score, pos_label)
+    groups = _score_groups(scored, actual, score, pos_label, rows)
     return running_totals(groups, "threshold", ["pos", "neg"], edges, descending=True).select(
         "threshold",
         "pos",
@@ -290,14 +291,16 @@ def classification_scores(
     prob_of_actual: Column | None = None,
     positive: str | None = None,
     by: Sequence[str] = (),
+    rows: Column | None = None,
 ) -> DataFrame:
     """Accuracy, balanced accuracy, f1 macro / weighted, mcc and log loss: one row per ``by`` group.
 
     ``positive`` (a class as text) adds its ``f1``. The rows are read once and reduced to one
-    line per class pair.
+    line per class pair. A row counts as ``rows`` rows, one by default.
     """
     keyed = scored.select(
         *by,
+        (F.lit(1) if rows is None else rows).alias("rows"),
         typed_key(scored, actual).alias("actual"),
         typed_key(scored, predicted).alias("predicted"),
         (prob_of_actual if prob_of_actual is not None else F.lit(None).cast("double")).alias("q"),
@@ -305,7 +308,7 @@ def classification_scores(
     eps = 1e-15
     loss = -F.ln(F.least(F.greatest("q", F.lit(eps)), F.lit(1 - eps)))
     counts = keyed.groupBy(*by, "actual", "predicted").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(loss).alias("loss")
+        F.sum("rows").alias("n"), F.sum(loss * F.col("rows")).alias("loss")
     )
     per_class = _class_tallies(counts, "loss", by=by).select(
         *by,

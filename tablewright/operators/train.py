@@ -44,7 +44,7 @@ from tablewright.functions.schema import (
     numeric_columns,
     require_columns,
 )
-from tablewright.operators import evaluate, quantile
+from tablewright.operators import evaluate, forest, quantile
 from tablewright.operators.errors import flag_low_confidence, predicted_probability
 from tablewright.operators.explain import auc_score, permutation_importance
 from tablewright.operators.splits import aggregate_scores, assign_folds, assign_test, fold_pairs
@@ -326,11 +326,7 @@ class Fitted:
             for m, v in values.items()
         ]
         long = scored.select(truth.alias("actual"), F.inline(F.array(*cells)))
-        positive = evaluate.class_key(F.lit(self.classes[1]), scored.schema[self.label].dataType) if self.kind == "binary" else None
-        table = evaluate.classification_scores(
-            long, prob_of_actual=F.col("q"), positive=positive, by=["model"]
-        )
-        out = {r["model"]: {k: float(x) for k, x in r.asDict().items() if k != "model" and x is not None} for r in table.collect()}
+        out = self._class_scores(long)
         if self.kind == "binary" and (metrics is None or "roc_auc" in metrics):
             for m, v in values.items():
                 ranked = scored.select(truth.alias("actual"), F.get(v, F.lit(1)).alias("score"))
@@ -341,6 +337,12 @@ class Fitted:
                     out[m]["roc_auc"] = float(area)
         return out
 
+    def _class_scores(self, long: DataFrame, rows: Column | None = None) -> dict[str, dict[str, float]]:
+        """Metrics per model of ``model, actual, predicted`` and ``q``, the chance given to the actual class."""
+        positive = evaluate.class_key(F.lit(self.classes[1]), long.schema["actual"].dataType) if self.kind == "binary" else None
+        table = evaluate.classification_scores(long, prob_of_actual=F.col("q"), positive=positive, by=["model"], rows=rows)
+        return {r["model"]: {k: float(x) for k, x in r.asDict().items() if k != "model" and x is not None} for r in table.collect()}
+
     def evaluate(self, df: DataFrame, model: str | None = None, metrics: Sequence[str] | None = None) -> dict[str, float]:
         model = model or self.best
         return self.evaluate_models(df, [model], metrics)[model]
@@ -371,12 +373,16 @@ def fit(
     quantile_level: float = 0.5,
     time_limit: float | None = None,
     parallelism: int = 1,
+    only_best: bool = False,
 ) -> tuple[Fitted, DataFrame]:
     """Fit the candidates and rank them on a validation slice of ``train``.
 
     With ``time_limit`` no further candidate is fitted after so many seconds; the first one always is.
     ``parallelism`` candidates are fitted side by side, on tables of up to ``SIDE_BY_SIDE_ROWS`` rows; their times then
     hold what they wait for each other.
+    With ``only_best`` the run keeps one model, that of the earliest of equally good candidates. If all candidates are
+    then forests of classes, without a blend or a calibration, they are grown together (:mod:`tablewright.operators.forest`)
+    and each has the time of all; with ``time_limit`` they are grown one after the other, with the same trees.
     ``quantile_level`` is the level of a run with ``forced_type="quantile"``, whose label has to be a number.
     Returns the run and its leaderboard ``model, score_val, fit_time, pred_time_val``.
     """
@@ -401,19 +407,50 @@ def fit(
         for c in train.columns
         if c in {*numeric_columns(train), *categorical_columns(train)} and c not in {label, *key}
     ]
+    chosen = estimators if estimators is not None else candidates(kind, seed, quick, quantile_level)
+    together = only_best and not blend and calibrate is None and forest.can_share(chosen, len(classes))
     split = assign_test(known, key, label if classes else None, VALIDATION_FRACTION, seed)
-    # medians and categories of the rows that are fitted on; the validation slice only passes through
-    fitting = split.where("NOT is_test").drop("is_test")
-    features = with_values(fitting, features)
-    prepare = Pipeline(stages=preparation(fitting, features)).fit(fitting)
-    run = Fitted(label, kind, metric, features, classes, prepare, {}, level=level)
+    if together:
+        split = split.select(*[col(c) for c in dict.fromkeys([label, *key, *features])], "is_test").persist()
+    try:
+        # medians and categories of the rows that are fitted on; the validation slice only passes through
+        fitting = split.where("NOT is_test").drop("is_test")
+        features = with_values(fitting, features)
+        prepare = Pipeline(stages=preparation(fitting, features)).fit(fitting)
+        run = Fitted(label, kind, metric, features, classes, prepare, {}, level=level)
+        board = _ranked_forests(run, split, chosen, time_limit) if together else []
+        if not board:
+            board = _ranked(run, split, key, chosen, blend, calibrate, time_limit, parallelism)
+            if only_best:
+                score = {row[0]: row[1] for row in board}
+                run.best = max([n for n in chosen if n in score], key=score.get)
+                run.models = {run.best: run.models[run.best]}
+    finally:
+        if together:
+            split.unpersist()
+    leaderboard = train.sparkSession.createDataFrame(
+        board, "model string, score_val double, fit_time double, pred_time_val double"
+    )
+    return run, leaderboard
+
+
+def _ranked(
+    run: Fitted,
+    split: DataFrame,
+    key: Sequence[str],
+    chosen: Mapping[str, object],
+    blend: bool,
+    calibrate: str | None,
+    time_limit: float | None,
+    parallelism: int,
+) -> list[tuple]:
+    """Fit ``chosen`` into ``run``, each by itself; returns its leaderboard, best first."""
+    classes, metric = run.classes, run.metric
     rows = split.count()
     laid = spread_for_passes(split, key, rows)
-    ready = prepare.transform(_with_label(laid, label, classes)).select("is_test", "_label", "_features").persist()
+    ready = run.prepare.transform(_with_label(laid, run.label, classes)).select("is_test", "_label", "_features").persist()
     slice_rows = laid.where("is_test").drop("is_test").persist()
-    board = []
     try:
-        chosen = estimators if estimators is not None else candidates(kind, seed, quick, quantile_level)
         started = time.perf_counter()
 
         def one(at: int, name: str, est) -> tuple | None:
@@ -428,7 +465,7 @@ def fit(
         todo = [(i, name, est) for i, (name, est) in enumerate(chosen.items())]
         if parallelism > 1 and rows <= SIDE_BY_SIDE_ROWS:
             with ThreadPool(parallelism) as pool:
-                done = pool.starmap(inheritable_thread_target(train.sparkSession)(one), todo, chunksize=1)
+                done = pool.starmap(inheritable_thread_target(split.sparkSession)(one), todo, chunksize=1)
         else:
             done = [one(*t) for t in todo]
         board = [row for _, row in filter(None, done)]
@@ -444,17 +481,61 @@ def fit(
             board.append(("Blend", value, sum(r[2] for r in board), time.perf_counter() - begin))
             board.sort(key=lambda r: (-r[1], r[0]))
             run.best = board[0][0]
-        if calibrate and kind == "binary":
+        if calibrate and run.kind == "binary":
             scored = run.scored_table(slice_rows)
             table = evaluate.threshold_table(scored, "actual", f"prob_{classes[1]}", classes[1])
             run.threshold = evaluate.calibrate_threshold(table, calibrate).first()["threshold"]
     finally:
         ready.unpersist()
         slice_rows.unpersist()
-    leaderboard = train.sparkSession.createDataFrame(
-        board, "model string, score_val double, fit_time double, pred_time_val double"
+    return board
+
+
+def _ranked_forests(run: Fitted, split: DataFrame, chosen: Mapping[str, object], time_limit: float | None) -> list[tuple]:
+    """:func:`_ranked` for forests that share their cells; nothing when the counts of a node are too large to be shared."""
+    ready = run.prepare.transform(_with_label(split, run.label, run.classes)).select("is_test", "_label", "_features")
+    started = time.perf_counter()
+    search = forest.Search(ready, len(run.classes))
+    if search.node_bytes(chosen) > forest.NODE_BYTES:
+        return []
+    board, best = [], None
+    for names in [list(chosen)] if time_limit is None else [[n] for n in chosen]:
+        begin = time.perf_counter()
+        if board and begin - started > time_limit:
+            break
+        search.grow({n: chosen[n] for n in names})
+        fitted = time.perf_counter()
+        scores = _forest_scores(run, search.scored(), split.schema[run.label].dataType, names)
+        ended = time.perf_counter()
+        board += [(n, run.signed(scores[n]), fitted - begin, ended - fitted) for n in names]
+        first = max(board, key=lambda r: r[1])[0]
+        if first != best:
+            best = first
+            run.models = {best: search.model(split.sparkSession, best, chosen[best])}
+    run.best = best
+    return sorted(board, key=lambda r: (-r[1], r[0]))
+
+
+def _forest_scores(run: Fitted, scored: DataFrame, dtype: T.DataType, names: Sequence[str]) -> dict[str, dict[str, float]]:
+    """The metric of the run for every forest, from counted rows with their class probabilities."""
+    classes = F.array(*[F.lit(c) for c in run.classes])
+    value = F.col("value")
+    long = scored.select(
+        "model", F.get(classes, F.col("y")).cast(dtype).alias("actual"), run._pick(value, None).alias("predicted"),
+        F.get(value, F.col("y")).alias("q"), F.get(value, F.lit(1)).alias("score"), "n",
     )
-    return run, leaderboard
+    if run.metric != "roc_auc":
+        return run._class_scores(long, F.col("n"))
+    out = {}
+    long = long.persist()
+    try:
+        for name in names:
+            ranked = long.where(F.col("model") == name)
+            table = evaluate.threshold_table(ranked, "actual", "score", run.classes[1], rows=F.col("n"))
+            out[name] = {"roc_auc": float(evaluate.roc_auc(table).first()[0])}
+    finally:
+        long.unpersist()
+    return out
 
 
 def test_leaderboard(run: Fitted, leaderboard: DataFrame, test: DataFrame) -> DataFrame:
@@ -656,8 +737,9 @@ def tune_family(
 ) -> tuple[Fitted, DataFrame]:
     """One row per trial (``trial, params, score_val, fit_time``), best first, and the best model.
 
-    With ``time_limit`` no new trial starts after so many seconds; the result then depends on the machine. Up to
-    ``parallelism`` trials run side by side, see :func:`fit`.
+    With ``time_limit`` no new trial starts after so many seconds; the result then depends on the machine. Forests of
+    classes are grown together, other trials run side by side, up to ``parallelism`` of them: see :func:`fit`. The best
+    model is that of the earliest of equally good trials.
     """
     if family not in FAMILIES:
         raise ValueError(f"model_family '{family}' not supported. Choose from: {sorted(FAMILIES)}")
@@ -667,14 +749,11 @@ def tune_family(
     # the table is split and prepared once for all trials
     run, board = fit(
         train, label, key, eval_metric=eval_metric, estimators=named, blend=False, seed=seed, time_limit=time_limit,
-        parallelism=parallelism,
+        parallelism=parallelism, only_best=True,
     )
     held = {f"{family}_{i + 1}": {k: str(v) for k, v in params.items()} for i, (_, params) in enumerate(trials)}
     scores = {r["model"]: r for r in board.collect()}
     rows = [(n, p, scores[n]["score_val"], scores[n]["fit_time"]) for n, p in held.items() if n in scores]
-    # the earliest of equally good trials
-    run.best = max(rows, key=lambda r: r[2])[0]
-    run.models = {run.best: run.models[run.best]}
     table = train.sparkSession.createDataFrame(
         rows, "trial string, params map<string,string>, score_val double, fit_time double"
     )
