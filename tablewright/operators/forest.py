@@ -20,6 +20,7 @@ import math
 import time
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -431,11 +432,15 @@ class Search:
         self.n_classes = n_classes
         self.edges = bin_edges(fitting, self.slots, most_bins)
         self.n_bins = max(2, *[len(e) + 1 for e in self.edges])
-        self.cells = count_cells(ready, self.edges, n_classes)
+        self.ready = ready
         self.grown: dict[int, Grown] = {}
         self.trials: dict[str, Trial] = {}
         self.ends: dict[tuple[int, int], np.ndarray] = {}
 
+    @cached_property
+    def cells(self) -> DataFrame:
+        return count_cells(self.ready, self.edges, self.n_classes)
+
     def grow(self, estimators: Mapping[str, RandomForestClassifier]) -> None:
         """Grow all of ``estimators``; what was grown before is replaced."""
         self.grown, self.ends = {}, {}

@@ -191,6 +191,13 @@ def test_other_forests_are_left_to_mllib(mixed):
     assert not forest.can_share({"a": est()}, 0)
 
 
+def test_nodes_with_large_counts_leave_the_search_to_mllib(mixed, monkeypatch):
+    monkeypatch.setattr(forest, "NODE_BYTES", 1)
+    monkeypatch.setattr(forest, "count_cells", None)
+    run, table = train.tune_family(mixed, "y", KEY, "RF", n_trials=2)
+    assert table.count() == 2 and list(run.models) == [run.best] and table.first()["trial"] == run.best
+
+
 def test_counted_rows_score_as_single_rows(spark):
     rows = [("m", i % 3, (i * 7) % 3, (i % 9 + 1) / 10, i % 4 + 1) for i in range(40)]
     counted = spark.createDataFrame(rows, "model string, actual int, predicted int, q double, n bigint").localCheckpoint()
